@@ -52,7 +52,8 @@ _RANK = {w: i + 1 for i, w in enumerate(WORDS)}
 _LONGEST = max(map(len, WORDS))
 _SWAPS = str.maketrans("@430157$!", "aaeoistsi")
 _ROWS = ("`1234567890-=", "qwertyuiop[]", "asdfghjkl;'", "zxcvbnm,./")
-_DATE = re.compile(r"(?:(?:19\d\d|20[0-2]\d)([-/._]?)(?:0?[1-9]|1[0-2])\1(?:0?[1-9]|[12]\d|3[01])|(?:0?[1-9]|[12]\d|3[01])([-/._]?)(?:0?[1-9]|1[0-2])\2(?:19\d\d|20[0-2]\d)|(?:19\d\d|20[0-2]\d))")
+_YEAR, _MONTH, _DAY = r"(?:19\d\d|20[0-2]\d)", r"(?:1[0-2]|0[1-9]|[1-9])", r"(?:[12]\d|3[01]|0[1-9]|[1-9])"
+_DATE = re.compile(rf"{_YEAR}([-/._]?){_MONTH}\1{_DAY}|{_DAY}([-/._]?){_MONTH}\2{_YEAR}|{_YEAR}")
 DAYS = 130 * 365
 
 
