@@ -24,12 +24,16 @@ BLOCK = 1024
 COUNTS = np.array([60, 30, 20, 15, 12, 10, 8, 7, 6, 5, 4, 3, 2, 1], np.int64)
 WIDTHS = np.array([1, 2, 3, 4, 5, 6, 7, 8, 10, 12, 15, 20, 30, 60], np.int64)
 ESCAPE = np.uint64(1 << 60)
+#: Bit lengths of 16-bit values.
+SHORT = np.repeat(np.arange(17, dtype=np.uint8), [1] + [1 << k for k in range(16)])
 #: Blocks encoded at once; bounds the working memory.
 BATCH = 512
 
 
 def _bits(v: np.ndarray) -> np.ndarray:
     """Bit length of each value below 2^60, as uint8."""
+    if len(v) and int(v.max()) < 1 << 16:
+        return SHORT[v.astype(np.uint16)]
     n = np.zeros(v.shape, np.uint8)
     for k in range(60 if len(v) and int(v.max()) >= 1 << 32 else 32):
         step = v >= np.uint64(1 << k)
@@ -69,31 +73,33 @@ def encode_blocks(ids: np.ndarray) -> tuple[np.ndarray, np.ndarray, np.ndarray,
 
     select = np.full(need.shape, len(COUNTS) - 1, np.uint8)
     for s in range(len(COUNTS) - 2, -1, -1):
-        w = window(int(COUNTS[s]))
-        np.putmask(select, w <= WIDTHS[s], np.uint8(s))
+        fits = window(int(COUNTS[s])) <= WIDTHS[s]
+        select[fits] = s
     length = np.full(blocks, BLOCK, np.int64)
     length[-1] = len(ids) - (blocks - 1) * BLOCK
-    # all blocks walk from word to word together
-    at = np.zeros(blocks, np.int64)
-    live = np.arange(blocks)
-    steps: list[tuple[np.ndarray, np.ndarray, np.ndarray]] = []
-    while len(live):
-        s = select[live, at[live]]
-        steps.append((live, at[live].copy(), s))
-        at[live] += COUNTS[s]
-        live = live[at[live] < length[live]]
-    block = np.concatenate([x[0] for x in steps])
-    start = np.concatenate([x[1] for x in steps])
-    sel = np.concatenate([x[2] for x in steps])
-    order = np.lexsort((start, block))
-    block, start, sel = block[order], start[order], sel[order]
+    # all blocks walk from word to word together; a place is block * width + position
+    width = BLOCK + pad
+    flat_select = select.ravel()
+    jump = COUNTS[flat_select].astype(np.uint8)
+    at = np.arange(blocks) * width
+    end = at + length
+    steps: list[np.ndarray] = []
+    while len(at):
+        steps.append(at)
+        at = at + jump[at]
+        live = at < end
+        if not live.all():
+            at, end = at[live], end[live]
+    base = np.sort(np.concatenate(steps))
+    sel, block = flat_select[base], base // width
     words = sel.astype(np.uint64) << np.uint64(60)
     flat = grid.ravel()
-    base = block * (BLOCK + pad) + start
     for s in np.unique(sel):
         own = np.flatnonzero(sel == s)
+        at, packed = base[own], np.zeros(len(own), np.uint64)
         for k in range(int(COUNTS[s])):
-            words[own] |= flat[base[own] + k] << np.uint64(k * int(WIDTHS[s]))
+            packed |= flat[at + k] << np.uint64(k * int(WIDTHS[s]))
+        words[own] |= packed
     return words, np.bincount(block, minlength=blocks), where, what
 
 

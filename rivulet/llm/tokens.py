@@ -25,7 +25,7 @@ ODD = re.compile("[^\t\n\r\x0b\x0c\x20-\x7e\xc0-\xd6\xd8-\xf6\xf8-įı-ɏ]")
 #: Latin-1 character of their own follow U+0142 in order of bytes; 0xAD is the last of them.
 BYTES = {b: (chr(b) if b > 0xA0 and b != 0xAD else chr(0x143) if b == 0xAD else chr(0x122 + b - 0x80)) for b in range(0x80, 0x100)}
 
-#: Pieces remembered by each Python process; about 200 bytes each.
+#: Pieces remembered by each Python process; about 150 bytes each.
 MAX_PIECES = 600_000
 
 
@@ -41,6 +41,19 @@ class _Pieces(dict):
         return n
 
 
+class _Growing:
+    """An array with room at its end."""
+
+    def __init__(self, dtype: np.dtype) -> None:
+        self.all, self.n = np.zeros(1 << 16, dtype), 0
+
+    def extend(self, values: np.ndarray) -> None:
+        if self.n + len(values) > len(self.all):
+            self.all = np.concatenate([self.all[: self.n], np.zeros(self.n + len(values), self.all.dtype)])
+        self.all[self.n : self.n + len(values)] = values
+        self.n += len(values)
+
+
 class Encoder:
     """Ids of texts for one tokenizer file. `spaced`: the tokenizer keeps the space before a word (byte-level BPE)."""
 
@@ -65,9 +78,7 @@ class Encoder:
 
     def _reset(self) -> None:
         self.pieces = _Pieces()
-        self.flat = np.zeros(0, self.dtype)
-        self.at = np.zeros(0, np.int64)
-        self.size = np.zeros(0, np.int64)
+        self.flat, self.at, self.size = _Growing(self.dtype), _Growing(np.int32), _Growing(np.int32)
 
     def _plain(self, text: str) -> bool:
         if ODD.search(text) or any(s in text for s in self.special):
@@ -82,12 +93,18 @@ class Encoder:
         got: list[list[int] | None] = [None] * len(new)
         model = self.tok.model.tokenize
         lead = "\u0120" if self.spaced else ""
+        known, old, ats, sizes, flat = self.pieces.get, self.at.n, self.at.all, self.size.all, self.flat.all
         rest = []
         for i, piece in enumerate(new):
             core, stop = (piece[:-1], piece[-1]) if piece[-1:] in (",", ".") else (piece, "")
             if not core.isalpha():
                 rest.append(i)
                 continue
+            if stop:
+                n = known(core)
+                if n is not None and n < old:
+                    got[i] = flat[ats[n] : ats[n] + sizes[n]].tolist() + self.stops[stop]
+                    continue
             if not core.isascii():
                 core = core.encode().decode("latin-1").translate(BYTES)
             got[i] = [t.id for t in model(lead + core)]
@@ -103,9 +120,9 @@ class Encoder:
             for n, w in zip(enc.ids, enc.word_ids, strict=True):
                 got[rest[w]].append(n)
         size = np.fromiter(map(len, got), np.int64, len(got))
-        self.at = np.concatenate([self.at, len(self.flat) + np.cumsum(size) - size])
-        self.size = np.concatenate([self.size, size])
-        self.flat = np.concatenate([self.flat, np.fromiter(chain.from_iterable(got), self.dtype, int(size.sum()))])
+        self.at.extend(self.flat.n + np.cumsum(size) - size)
+        self.size.extend(size)
+        self.flat.extend(np.fromiter(chain.from_iterable(got), self.dtype, int(size.sum())))
 
     def __call__(self, texts: list[str | None]) -> list[np.ndarray]:
         """Ids of each text without special tokens; null is empty."""
@@ -136,11 +153,11 @@ class Encoder:
             self._learn()
         if rows:
             row = np.concatenate(rows)
-            size = self.size[row]
-            ends = np.cumsum(size)
-            take = np.repeat(self.at[row] - (ends - size), size)
-            take += np.arange(len(take))
-            flat = self.flat[take]
+            size = self.size.all[row]
+            ends = np.cumsum(size, dtype=np.int64)
+            take = np.repeat(self.at.all[row] - (ends - size), size)
+            take += np.arange(len(take), dtype=take.dtype)
+            flat = self.flat.all[take]
             cuts = ends[np.cumsum([len(r) for r in rows]) - 1]
             start = 0
             for i, end in zip(fast, cuts.tolist(), strict=True):
