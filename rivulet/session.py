@@ -2,7 +2,10 @@
 
 from __future__ import annotations
 
+import atexit
 import os
+import shutil
+import tempfile
 from pathlib import Path
 
 from pyspark.sql import DataFrame, SparkSession
@@ -34,3 +37,18 @@ def make_importable(spark: SparkSession) -> SparkSession:
 
 def table(spark: SparkSession, sf_dir: str, name: str) -> DataFrame:
     return spark.read.parquet(f"{sf_dir}/{name}.parquet")
+
+
+def shared_dir(spark: SparkSession) -> str:
+    """The folder that driver and executors share (spark.checkpoint.dir); a local one only where that is unset, as in tests."""
+    root = spark.conf.get("spark.checkpoint.dir", None)
+    if root:
+        return root.rstrip("/")
+    global _LOCAL
+    if _LOCAL is None:
+        _LOCAL = tempfile.mkdtemp(prefix="rivulet-")
+        atexit.register(shutil.rmtree, _LOCAL, ignore_errors=True)
+    return _LOCAL
+
+
+_LOCAL: str | None = None
