@@ -6,9 +6,10 @@ least squares, starting from r = 1:
 
     minimise  1/2 sum_d (sum_i r_i t_i p_id - T_d)^2 / N_d        N_d: expected tokens of domain d at r = 1
 
-by projected gradient with the metric t_i, so that documents of one posterior keep one rate whatever their length:
-r_i <- clip(r_i - step * sum_d p_id (E_d - T_d) / N_d). A step needs the totals E_d only, which each partition adds up for
-itself; the history of residuals (a few numbers a step) gives each document its rate, so no rate is stored before the end.
+by accelerated projected gradient with the metric t_i, so that documents of one posterior keep one rate whatever their
+length: from a point y a little ahead of r, r_i <- clip(y_i - step * sum_d p_id (E_d(y) - T_d) / N_d). A step needs the
+totals E_d only, which each partition adds up for itself; the history of residuals (a few numbers a step) gives each
+document its rate, so no rate is stored before the end.
 """
 
 from __future__ import annotations
@@ -33,7 +34,9 @@ WORDS = 1500
 SHAPE = 8
 #: Target weights of the query, by domain.
 TARGETS = {"high": 0.6, "low": 0.35, "toxic": 0.05}
-MAX_STEPS = 60
+#: The largest rate.
+MOST = 16.0
+MAX_STEPS = 40
 TOLERANCE = 1e-4
 
 _WORD = re.compile(r"[^\W\d_]+")
@@ -69,6 +72,10 @@ class Classifier:
     def __init__(self, rows: list[tuple[str, str]]) -> None:
         self.domains = sorted({d for _, d in rows})
         kinds = len(self.domains)
+        self.vocabulary: dict[str, int] = {}
+        self.weights = np.zeros((SHAPE + 1, kinds))
+        if kinds < 2:
+            return
         y = np.array([self.domains.index(d) for _, d in rows], np.int64)
         split = [self._split(t) for t, _ in rows]
         sets = [set(w) for w in split]
@@ -90,9 +97,7 @@ class Classifier:
             x[i, [self.vocabulary[v] for v in s & self.vocabulary.keys()]] = 1
             x[i, -SHAPE - 1 : -1] = _shape(rows[i][0], w)
         x[:, -1] = 1
-        self.weights = np.zeros((x.shape[1], kinds))
-        if kinds > 1:
-            self._fit(x, y, kinds)
+        self._fit(x, y, kinds)
 
     def _fit(self, x: np.ndarray, y: np.ndarray, kinds: int, steps: int = 300, ridge: float = 2e-4) -> None:
         """Accelerated gradient on the mean log loss; the step is the inverse of its curvature bound."""
@@ -102,7 +107,7 @@ class Classifier:
             v = x.T @ (x @ v)
             v /= np.linalg.norm(v)
         step = 1 / (0.5 * np.linalg.norm(x @ v) ** 2 / len(x) + ridge)
-        w = ahead = self.weights
+        w = ahead = np.zeros((x.shape[1], kinds))
         for n in range(steps):
             z = x @ ahead
             p = np.exp(z - z.max(axis=1, keepdims=True))
@@ -174,11 +179,20 @@ class Rates:
         self.step, self.most = step, most
         self.history: list[np.ndarray] = []
 
+    def _replay(self, p: np.ndarray) -> tuple[np.ndarray, np.ndarray]:
+        """The rates after all steps so far, and the point ahead of them at which the next residual is taken."""
+        r = ahead = np.ones(len(p))
+        for k, g in enumerate(self.history):
+            new = np.clip(ahead - self.step * (p @ g), 0, self.most)
+            ahead = new + k / (k + 3) * (new - r)
+            r = new
+        return r, ahead
+
     def __call__(self, p: np.ndarray) -> np.ndarray:
-        r = np.ones(len(p))
-        for g in self.history:
-            r = np.clip(r - self.step * (p @ g), 0, self.most)
-        return r
+        return self._replay(p)[0]
+
+    def ahead(self, p: np.ndarray) -> np.ndarray:
+        return self._replay(p)[1]
 
 
 def _totals(table: DataFrame, kinds: int, value: Callable[[np.ndarray, np.ndarray], np.ndarray], size: int) -> np.ndarray:
@@ -200,7 +214,7 @@ def _totals(table: DataFrame, kinds: int, value: Callable[[np.ndarray, np.ndarra
     return out
 
 
-def fit(table: DataFrame, domains: list[str], targets: dict[str, float] | None = None, multiply: dict[str, float] | None = None, most: float = 4.0) -> tuple[Rates, dict]:
+def fit(table: DataFrame, domains: list[str], targets: dict[str, float] | None = None, multiply: dict[str, float] | None = None, most: float = MOST) -> tuple[Rates, dict]:
     """Rates for a written table with mix_tokens and mix_p.
 
     targets: weights of the domains; the tokens of all documents are dealt out by them. multiply: instead, factors on the
@@ -217,16 +231,14 @@ def fit(table: DataFrame, domains: list[str], targets: dict[str, float] | None =
         goal = natural * np.array([(multiply or {}).get(d, 1.0) for d in domains])
     scaled = gram / np.sqrt(np.outer(natural, natural))
     rates = Rates(1 / max(np.linalg.eigvalsh(scaled).max(), 1e-9), most)
-    reached, steps = natural, 0
-    while steps < MAX_STEPS and np.abs(reached - goal).max() > TOLERANCE * natural.sum():
-        before = reached
-        rates.history.append((reached - goal) / natural)
-        reached = _totals(table, kinds, lambda t, p: (t * rates(p)) @ p, kinds)
-        steps += 1
-        if np.abs(reached - before).max() < TOLERANCE / 50 * natural.sum():
-            break
+    at, still = natural, 0
+    while len(rates.history) < MAX_STEPS and still < 2 and np.abs(at - goal).max() > TOLERANCE * natural.sum():
+        rates.history.append((at - goal) / natural)
+        before, at = at, _totals(table, kinds, lambda t, p: (t * rates.ahead(p)) @ p, kinds)
+        still = still + 1 if np.abs(at - before).max() < TOLERANCE / 20 * natural.sum() else 0
+    reached = _totals(table, kinds, lambda t, p: (t * rates(p)) @ p, kinds)
     named = lambda x: dict(zip(domains, x.tolist(), strict=True))
-    return rates, {"natural": named(natural), "target": named(goal), "reached": named(reached), "steps": steps}
+    return rates, {"natural": named(natural), "target": named(goal), "reached": named(reached), "steps": len(rates.history)}
 
 
 def with_rate(table: DataFrame, rates: Rates) -> DataFrame:
@@ -244,7 +256,7 @@ def with_rate(table: DataFrame, rates: Rates) -> DataFrame:
     return table.mapInArrow(work, plus(table, mix_rate="double")).withColumn("mix_copies", F.floor(F.col("mix_rate") + u).cast("long"))
 
 
-def mix(docs: DataFrame, labelled: DataFrame, targets: dict[str, float] = TARGETS, most: float = 4.0) -> tuple[DataFrame, list[str], dict]:
+def mix(docs: DataFrame, labelled: DataFrame, targets: dict[str, float] = TARGETS, most: float = MOST) -> tuple[DataFrame, list[str], dict]:
     """doc_id, mix_tokens, mix_p, mix_rate, mix_copies of every row of docs (doc_id, text); the domains; the report of fit().
 
     Null and empty texts count one token and get the posterior of an empty text; doc_id may be null; repeated rows are
