@@ -336,7 +336,7 @@ def test_query_syntax():
 
 
 def test_search_phrases_accents_and_snippets(spark):
-    rows = [(1, "Open source news", "about open source tools", "x"), (2, "Source open", "no", "open mind and a source"), (3, "Mã nguồn mở", "tiếng Việt", "nội dung")]
+    rows = [(1, "Open source news", "about open source tools", "x"), (2, "Source mind", "no", "open mind and a source ends"), (3, "Mã nguồn mở", "tiếng Việt", "nội dung")]
     d = spark.createDataFrame([(*r, "published", T0) for r in rows], "id long, title string, summary string, body string, status string, published_at timestamp_ntz")
     d = d.withColumn("tsv", search.vector(F.col("title"), F.col("summary"), F.col("body")))
     ids = lambda raw: [r["id"] for r in search.search(d, raw).collect()]
