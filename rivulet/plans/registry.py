@@ -90,8 +90,7 @@ def vector_rows(spark: SparkSession, sf: str) -> DataFrame:
 
 
 def search_documents(spark: SparkSession, sf: str) -> DataFrame:
-    d = table(spark, sf, "documents").select(F.col("doc_id").alias("id"), F.left("text", F.lit(80)).alias("title"), F.substring("text", 81, 200).alias("summary"), F.col("text").alias("body"), F.lit("published").alias("status"), _hours(F.col("doc_id") % 72).alias("published_at"))
-    return d.withColumn("tsv", search.vector(F.col("title"), F.col("summary"), F.col("body")))
+    return table(spark, sf, "documents").select(F.col("doc_id").alias("id"), F.left("text", F.lit(80)).alias("title"), F.substring("text", 81, 200).alias("summary"), F.col("text").alias("body"), F.lit("published").alias("status"), _hours(F.col("doc_id") % 72).alias("published_at"))
 
 
 # ---------------------------------------------------------------- feed
@@ -464,7 +463,7 @@ QUERY = 'the "of the" -idiot OR été'
 def fts_search(spark, sf):
     q = search.parse_query(QUERY)
     d = search_documents(spark, sf)
-    hits = d.filter(search.matches(F.col("tsv"), q)).select("id", F.round(search.rank_tf(F.col("tsv"), q), 6).alias("rank"))
+    hits = search.matching(search.postings(d), q, d).select("id", F.round(search.rank_tf(F.col("places"), q), 6).alias("rank"))
     return hits.orderBy(F.desc("rank"), "id").limit(30)
 
 

@@ -338,9 +338,14 @@ def test_query_syntax():
 def test_search_phrases_accents_and_snippets(spark):
     rows = [(1, "Open source news", "about open source tools", "x"), (2, "Source mind", "no", "open mind and a source ends"), (3, "Mã nguồn mở", "tiếng Việt", "nội dung")]
     d = spark.createDataFrame([(*r, "published", T0) for r in rows], "id long, title string, summary string, body string, status string, published_at timestamp_ntz")
-    d = d.withColumn("tsv", search.vector(F.col("title"), F.col("summary"), F.col("body")))
     ids = lambda raw: [r["id"] for r in search.search(d, raw).collect()]
     assert ids('"open source"') == [1] and ids("open source")[0] == 1 and set(ids("open")) == {1, 2} and ids("open -tools") == [2] and ids("ma nguon") == [3] and ids("") == []
+    assert set(ids("-open")) == {3}
+    vector = {r["id"]: {(p["lexeme"], p["pos"], p["weight"]) for p in r["tsv"]} for r in search.with_vector(d).collect()}
+    index = {}
+    for r in search.postings(d).collect():
+        index.setdefault(r["id"], set()).add((r["lexeme"], r["pos"], r["weight"]))
+    assert vector == index and ("nguon", 5, "A") in vector[3]
     assert "<mark>open</mark> <mark>source</mark>" in search.search(d, "open source").first()["snippet"]
 
 
