@@ -74,6 +74,27 @@ _HEALTH = """SELECT time_bucket(INTERVAL '6 hours', ts, TIMESTAMP '1970-01-01 00
 _AGO = "epoch_us(TIMESTAMP '2024-01-31 00:00:00' - ts) / 1e6"
 _EXACT = "SELECT id, first_value(id) OVER (PARTITION BY content_hash ORDER BY published_at, id) AS winner FROM hashed WHERE content_hash IS NOT NULL"
 
+# fingerprints in SQL: FNV-1a and the mix in 128-bit integers modulo 2^64, one hash for each window of three tokens
+_SEP = "[ \\n\\t,.;:!?\"''()\\[\\]{}<>/\\\\|—–\\-…“”‘’]+"
+_TWO64 = "18446744073709551616::UHUGEINT"
+
+
+def _mul(a: str, b: int) -> str:
+    return f"(({a})::UHUGEINT * {b}::UHUGEINT % {_TWO64})::UBIGINT"
+
+
+_SIMHASH = f"""toks AS (SELECT id, list_filter(regexp_split_to_array(lower(norm), '{_SEP}'), lambda w: w <> '') AS w FROM hashed WHERE length(norm) >= 500),
+  win AS (SELECT id, unnest(list_transform(range(1, len(w) - 1), lambda i: w[i] || ' ' || w[i + 1] || ' ' || w[i + 2] || ' ')) AS s FROM toks WHERE len(w) >= 10),
+  one AS (SELECT s, list_reduce(list_prepend(14695981039346656037::UBIGINT, list_transform(string_split(s, ''), lambda c: unicode(c)::UBIGINT)), lambda h, c: {_mul("xor(h, c)", 0x100000001B3)}) AS h FROM (SELECT DISTINCT s FROM win)),
+  m1 AS (SELECT s, {_mul("xor(h, h >> 30::UBIGINT)", 0xBF58476D1CE4E5B9)} AS h FROM one), m2 AS (SELECT s, {_mul("xor(h, h >> 27::UBIGINT)", 0x94D049BB133111EB)} AS h FROM m1), m3 AS (SELECT s, xor(h, h >> 31::UBIGINT) AS h FROM m2),
+  votes AS (SELECT id, b, sum(CASE WHEN (h >> b::UBIGINT) & 1::UBIGINT = 1 THEN 1 ELSE -1 END) AS v FROM win JOIN m3 USING (s), range(64) t(b) GROUP BY id, b),
+  many AS (SELECT id FROM win GROUP BY id HAVING count(DISTINCT s) >= 8),
+  fps AS (SELECT id, sum(CASE WHEN v > 0 THEN power(2, b)::HUGEINT ELSE 0::HUGEINT END)::UBIGINT AS u FROM votes SEMI JOIN many USING (id) GROUP BY id),
+  signed AS (SELECT id, (u::HUGEINT - CASE WHEN u >= 9223372036854775808 THEN 18446744073709551616::HUGEINT ELSE 0 END)::BIGINT AS simhash FROM fps),
+  prints AS (SELECT h.id, h.published_at, h.content_hash, s.simhash FROM hashed h LEFT JOIN signed s USING (id))"""
+_NEAR = """SELECT l.id AS loser, w.id AS winner, bit_count(xor(l.simhash, w.simhash))::INTEGER AS distance, w.published_at AS winner_at FROM {0} l JOIN {0} w ON (w.published_at, w.id) < (l.published_at, l.id)
+  AND w.published_at > l.published_at - INTERVAL 48 HOUR AND bit_count(xor(l.simhash, w.simhash)) <= 3"""
+
 ORACLE_SQL: dict[str, str] = {
     "feed_first_page": f"WITH {_ARTICLES}, {_CUSTOMERS} {_FEED} ORDER BY a.published_at DESC, a.id DESC LIMIT 30",
     "feed_keyset_page": f"WITH {_ARTICLES}, {_CUSTOMERS} {_FEED} AND (a.published_at, a.id) < (TIMESTAMP '1998-01-01 00:00:00', 600) ORDER BY a.published_at DESC, a.id DESC LIMIT 50",
@@ -94,6 +115,14 @@ ORACLE_SQL: dict[str, str] = {
     "dedup_exact": f"WITH {_BODIES}, w AS ({_EXACT}) SELECT id, winner FROM w WHERE id <> winner",
     "dedup_exact_counts": f"WITH {_BODIES}, g AS (SELECT content_hash, count(*) AS n FROM hashed WHERE content_hash IS NOT NULL GROUP BY 1) SELECT count(*)::BIGINT AS groups, sum(n)::BIGINT AS hashed, sum(n - 1)::BIGINT AS losers, max(n)::BIGINT AS largest FROM g",
     "dedup_exact_windows": f"WITH {_BODIES} SELECT id, first_value(id) OVER (PARTITION BY content_hash ORDER BY published_at, id) AS first_id, count(*) OVER (PARTITION BY content_hash)::BIGINT AS group_size FROM hashed WHERE content_hash IS NOT NULL",
+    "simhash_fingerprint": f"WITH {_BODIES}, {_SIMHASH} SELECT id, simhash FROM prints",
+    "dedup_near_pairs": f"WITH {_BODIES}, {_SIMHASH}, n AS ({_NEAR.format('prints')}) SELECT loser, winner, distance FROM n",
+    "hamming_histogram": f"WITH {_BODIES}, {_SIMHASH} SELECT bit_count(xor(a.simhash, b.simhash))::INTEGER AS distance, count(*)::BIGINT AS pairs FROM prints a JOIN prints b ON a.id < b.id AND bit_count(xor(a.simhash, b.simhash)) <= 3 GROUP BY 1",
+    "dedup_sweep": f"""WITH {_BODIES}, {_SIMHASH}, x AS (SELECT id, first_value(id) OVER (PARTITION BY content_hash ORDER BY published_at, id) AS winner FROM prints WHERE content_hash IS NOT NULL),
+        exact AS (SELECT id, winner FROM x WHERE id <> winner), rest AS (SELECT * FROM prints WHERE id NOT IN (SELECT id FROM exact)), n AS ({_NEAR.format('rest')}),
+        d AS (SELECT id, winner FROM exact UNION ALL SELECT loser, arg_min(winner, (winner_at, winner)) FROM n GROUP BY loser)
+        SELECT p.id, CASE WHEN d.id IS NULL THEN 'published' ELSE 'duplicate' END AS status, CASE WHEN u.winner IS NOT NULL AND u.winner <> p.id THEN u.winner ELSE d.winner END AS duplicate_of_id
+        FROM prints p LEFT JOIN d ON d.id = p.id LEFT JOIN d u ON u.id = d.winner""",
     "dedup_flatten": """WITH a AS (SELECT o_orderkey AS id, CASE WHEN o_orderkey % 3 <> 0 THEN 'duplicate' ELSE 'published' END AS status, CASE WHEN o_orderkey % 3 <> 0 THEN o_orderkey // 2 END AS d FROM orders)
         SELECT a.id, a.status, CASE WHEN a.status = 'duplicate' AND u.d IS NOT NULL AND u.d <> a.id THEN u.d ELSE a.d END AS duplicate_of_id FROM a LEFT JOIN a u ON u.id = a.d AND u.status = 'duplicate'""",
     "jobs_by_state": f"WITH {_JOBS} SELECT state, count(*)::BIGINT AS n FROM jobs GROUP BY state",

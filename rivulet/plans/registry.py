@@ -468,7 +468,7 @@ def fts_search(spark, sf):
 
 
 def fts_rank_cd(spark, sf):
-    return search.search(search_documents(spark, sf), "idiot été", 30).select("id", F.round("rank", 6).alias("rank"), "snippet")
+    return search.search(search_documents(spark, sf), "the of", 30).select("id", F.round("rank", 6).alias("rank"), "snippet")
 
 
 def title_trigram_pairs(spark, sf):
