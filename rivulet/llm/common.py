@@ -21,6 +21,17 @@ def worker_cache() -> dict:
     return sys.__dict__.setdefault("_rivulet_cache", {})
 
 
+#: Rows of an Arrow batch where whole texts go to Python: a few MB each, in the JVM's direct memory and in the worker.
+BATCH_ROWS = 1000
+
+
+def small_batches(df: DataFrame) -> None:
+    """Lower the session's Arrow batch size to BATCH_ROWS, if it is larger."""
+    conf, key = df.sparkSession.conf, "spark.sql.execution.arrow.maxRecordsPerBatch"
+    if not 0 < int(conf.get(key)) <= BATCH_ROWS:
+        conf.set(key, BATCH_ROWS)
+
+
 def shared_dir(spark: SparkSession) -> str:
     """The folder that driver and executors share: spark.checkpoint.dir. Only where it is unset (tests) is one made here."""
     root = spark.conf.get("spark.checkpoint.dir", None)
@@ -65,6 +76,12 @@ def attach(left: DataFrame, right: DataFrame, key: str, weight: str) -> DataFram
     return hot_part.unionByName(rest)
 
 
+def _follow(p: DataFrame) -> DataFrame:
+    """node, parent of the parent, and the parent before."""
+    up = p.select(F.col("node").alias("before"), F.col("parent").alias("next"))
+    return p.select("node", F.col("parent").alias("before")).join(up, "before").select("node", F.col("next").alias("parent"), "before")
+
+
 def connected_components(edges: DataFrame) -> DataFrame:
     """(node, root) for every node of edges (a, b); root is the smallest node that can be reached.
 
@@ -81,8 +98,8 @@ def connected_components(edges: DataFrame) -> DataFrame:
         p = both.groupBy(F.col("a").alias("node")).agg(F.min("b").alias("m"))
         p = materialise(p.select("node", F.least("node", "m").alias("parent")), "cc-parents")
         while True:
-            up = p.select(F.col("node").alias("parent"), F.col("parent").alias("next"))
-            q = p.join(up, "parent").select("node", F.col("next").alias("parent"), (F.col("next") != F.col("parent")).alias("moved"))
+            # two doublings for each written table
+            q = _follow(_follow(p.select("node", "parent"))).select("node", "parent", (F.col("parent") != F.col("before")).alias("moved"))
             q = materialise(q, "cc-jump")
             moved = not q.filter("moved").isEmpty()
             p = q.drop("moved")

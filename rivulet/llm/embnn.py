@@ -233,7 +233,7 @@ def link_vectors(vectors: DataFrame, threshold: float = THRESHOLD, tile: int = T
     member = coded.select("node", F.size("embedding").alias("dim"), F.explode("filters").alias("filter"))
     # as many filters as the code has, for each dimension: bounded, so the crowded ones can be broadcast
     crowd = member.groupBy("dim", "filter").count().filter(F.col("count") > 1)
-    crowd = materialise(crowd.select("dim", "filter", F.ceil(F.col("count") / tile).cast("int").alias("g")), "caps-crowd")
+    crowd = materialise(crowd.select("dim", "filter", F.ceil(F.col("count") / tile).cast("int").alias("g")).coalesce(4), "caps-crowd")
     open_ = coded.select("node", "n", "embedding", "filters", F.size("embedding").alias("dim"), F.explode("filters").alias("filter")).join(F.broadcast(crowd), ["dim", "filter"])
     group = F.pmod(F.xxhash64("node"), F.col("g")).cast("int")
     met = open_.withColumn("own", group).withColumn("other", F.explode(F.sequence(F.lit(0), F.col("g") - 1)))

@@ -18,13 +18,15 @@ import pyarrow as pa
 from pyspark.sql import DataFrame, Window
 from pyspark.sql import functions as F
 
-from .common import worker_cache
+from .common import small_batches, worker_cache
 
 ORDER = 3
 #: The bounded training sample: so many labelled documents of each language, the first in order of a hash of their ids,
 #: among those of at most so many characters.
 SAMPLE_DOCS = 300
 SAMPLE_CHARS = 20_000
+#: The sample is gathered from so many shares by hash, each of which gives four times its part at most.
+SALTS = 64
 #: A text is rejected as not in any learned language if its best code takes more bits a byte than this.
 MAX_BITS = 6.5
 #: The score is the posterior of the language for a stretch of so many bytes of average code length.
@@ -203,8 +205,8 @@ def train(docs: DataFrame, sample_docs: int = SAMPLE_DOCS, sample_chars: int = S
     rows = docs.select(F.col("doc_id").cast("long").alias("doc_id"), F.col("text").cast("string").alias("text"), F.col("lang").cast("string").alias("lang"))
     fit = rows.filter(F.col("lang").isNotNull() & ~held_out() & F.col("doc_id").isNotNull() & (F.length("text") <= sample_chars) & F.col("text").rlike(r"\p{L}"))
     keys = fit.select("lang", "doc_id", F.xxhash64("doc_id").alias("h"))
-    part = keys.withColumn("salt", F.pmod(F.col("h"), F.lit(64)))
-    part = part.withColumn("k", F.row_number().over(Window.partitionBy("lang", "salt").orderBy("h", "doc_id"))).filter(F.col("k") <= sample_docs)
+    part = keys.withColumn("salt", F.pmod(F.col("h"), F.lit(SALTS)))
+    part = part.withColumn("k", F.row_number().over(Window.partitionBy("lang", "salt").orderBy("h", "doc_id"))).filter(F.col("k") <= -(-4 * sample_docs // SALTS))
     pick = part.withColumn("k", F.row_number().over(Window.partitionBy("lang").orderBy("h", "doc_id"))).filter(F.col("k") <= sample_docs).select("lang", "doc_id")
     ids = pick.collect()  # at most sample_docs for each language
     wanted = docs.sparkSession.createDataFrame([(r["doc_id"], r["lang"]) for r in ids], "doc_id long, lang string")
@@ -249,6 +251,7 @@ def identify(docs: DataFrame, model: Model) -> DataFrame:
                 lang, score, bits = get().predict(piece.column(2).to_pylist())
                 yield pa.RecordBatch.from_arrays([piece.column(0), piece.column(1), pa.array(lang, pa.string()), pa.array(score, pa.float64()), pa.array(bits, pa.float64())], ["doc_id", "held_out", "lang_pred", "score", "bits"])
 
+    small_batches(docs)
     rows = docs.select(F.col("doc_id").cast("long").alias("doc_id"), held_out().alias("held_out"), F.col("text").cast("string").alias("text"))
     return rows.mapInArrow(work, "doc_id long, held_out boolean, lang_pred string, score double, bits double")
 
@@ -265,4 +268,5 @@ def keep_identified(docs: DataFrame, model: Model, max_bits: float = MAX_BITS) -
                 lang, _, bits = get().predict(piece.column(at).to_pylist())
                 yield piece.filter(pa.array([x != "und" and b <= max_bits for x, b in zip(lang, bits, strict=True)], pa.bool_()))
 
+    small_batches(docs)
     return docs.mapInArrow(work, docs.schema)

@@ -23,12 +23,14 @@ import pyarrow as pa
 from pyspark.sql import DataFrame, Window
 from pyspark.sql import functions as F
 
-from .common import materialise, plus
+from .common import materialise, plus, small_batches
 
 #: The bounded training sample: so many labelled documents of each domain, first in order of a hash of their ids, among
 #: those of at most so many characters.
 SAMPLE_DOCS = 1500
 SAMPLE_CHARS = 20_000
+#: The sample is gathered from so many shares by hash, each of which gives four times its part at most.
+SALTS = 64
 #: Words of the classifier: those with the largest chi-square between domains.
 WORDS = 1500
 SHAPE = 8
@@ -140,7 +142,7 @@ def train(docs: DataFrame, labelled: DataFrame, sample_docs: int = SAMPLE_DOCS,
     domain come to the driver.
     """
     keys = labelled.distinct().withColumn("h", F.xxhash64("doc_id"))
-    part = keys.withColumn("k", F.row_number().over(Window.partitionBy("domain", F.pmod("h", F.lit(64))).orderBy("h", "doc_id"))).filter(F.col("k") <= sample_docs)
+    part = keys.withColumn("k", F.row_number().over(Window.partitionBy("domain", F.pmod("h", F.lit(SALTS))).orderBy("h", "doc_id"))).filter(F.col("k") <= -(-4 * sample_docs // SALTS))
     pick = part.withColumn("k", F.row_number().over(Window.partitionBy("domain").orderBy("h", "doc_id"))).filter(F.col("k") <= sample_docs)
     ids = [(r["doc_id"], r["domain"]) for r in pick.select("doc_id", "domain").collect()]
     if not ids:
@@ -169,6 +171,7 @@ def with_posterior(docs: DataFrame, model: Classifier) -> DataFrame:
             more = [pa.array([n for n, _ in got], pa.int64()), pa.array([p for _, p in got], pa.list_(pa.float64()))]
             yield pa.RecordBatch.from_arrays([*batch.columns, *more], [*batch.schema.names, "mix_tokens", "mix_p"])
 
+    small_batches(docs)
     return docs.mapInArrow(work, schema)
 
 

@@ -17,7 +17,7 @@ from pyspark import TaskContext
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
-from .common import materialise
+from .common import materialise, small_batches
 from .tokens import Encoder
 
 ROWS = 500
@@ -47,6 +47,7 @@ def tokenise(docs: DataFrame, tokenizer: str, spaced: bool, end_id: int) -> Data
                     ["part", "local_start", "doc_id", "n_tokens", "ids"],
                 )
 
+    small_batches(docs)
     rows = docs.select(F.col("doc_id").cast("long").alias("doc_id"), F.col("text").cast("string").alias("text"))
     return materialise(rows.mapInArrow(encode, "part int, local_start long, doc_id long, n_tokens long, ids binary"), "pack-tokens")
 

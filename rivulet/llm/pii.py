@@ -18,6 +18,7 @@ import pyarrow as pa
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
+from .common import small_batches
 from .spans import Span, redact
 
 BASE = ("email", "ip", "card", "phone")
@@ -177,5 +178,6 @@ def detect(docs: DataFrame, keep: float = 0.5, with_text: bool = True) -> DataFr
                     texts.append(redact(text, [(a, b) for _, a, b in found], "[PII]") if with_text and text is not None else None)
                 yield pa.RecordBatch.from_arrays([piece.column(0), pa.array(spans, schema.field(1).type), pa.array(texts, pa.string())], schema=schema)
 
+    small_batches(docs)
     rows = docs.select(F.col("doc_id").cast("long").alias("doc_id"), F.col("text").cast("string").alias("text"))
     return rows.mapInArrow(work, SCHEMA)

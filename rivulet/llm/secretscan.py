@@ -21,6 +21,7 @@ import pyarrow as pa
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
+from .common import small_batches
 from .spans import Span, redact
 
 BASE = ("assign", "access", "hex")
@@ -208,6 +209,7 @@ def detect(docs: DataFrame, with_text: bool = True) -> DataFrame:
                 clean = [redact(t, [(s["start"], s["end"]) for s in own], "[SECRET]") if with_text and t is not None else None for t, own in zip(texts, spans, strict=True)]
                 yield pa.RecordBatch.from_arrays([piece.column(0), pa.array(spans, _KIND), pa.array(clean, pa.string())], ["doc_id", "spans", "redacted"])
 
+    small_batches(docs)
     rows = docs.select(F.col("doc_id").cast("long").alias("doc_id"), F.col("text").cast("string").alias("text"))
     return rows.mapInArrow(work, SCHEMA)
 
@@ -237,4 +239,5 @@ def redact_documents(docs: DataFrame) -> DataFrame:
                 columns[k] = pa.array([len(t) if own else n for t, own, n in zip(fresh, found, old, strict=True)], batch.schema.field(k).type)
             yield pa.RecordBatch.from_arrays(columns, schema=batch.schema)
 
+    small_batches(docs)
     return docs.mapInArrow(work, schema)

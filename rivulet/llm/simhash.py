@@ -16,7 +16,7 @@ import pyarrow as pa
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
-from .common import attach, connected_components, materialise, plus
+from .common import attach, connected_components, materialise, plus, small_batches
 
 WORDS = 3
 SEED = 42
@@ -24,6 +24,8 @@ RADIUS = 3
 TILE = 4096
 #: Class code: quarter counts to the base 17.
 BASE = (1, 17, 289, 4913)
+#: Files of a table whose size has a bound.
+BOUNDED = 4
 #: Rows of a tile compared with another tile at once; bounds the working memory at 8 TILE bytes times this.
 ROWS = 256
 #: Hashes whose bits are counted at once.
@@ -60,6 +62,7 @@ def with_fingerprint(docs: DataFrame, words: int = WORDS, name: str = "fp") -> D
             fp = np.array([fingerprint(x.as_py(), words) for x in batch.column(at)], np.uint64)
             yield pa.RecordBatch.from_arrays([*batch.columns, pa.array(fp.view(np.int64))], [*batch.schema.names, name])
 
+    small_batches(docs)
     return docs.mapInArrow(work, schema)
 
 
@@ -122,7 +125,7 @@ def links(fps: DataFrame, radius: int = RADIUS, tile: int = TILE) -> DataFrame:
     quarter = lambda k: F.bit_count(F.shiftrightunsigned("fp", 16 * k).bitwiseAND(F.lit(0xFFFF).cast("long"))).cast("int")
     classed = fps.select("fp", sum(quarter(k) * BASE[k] for k in range(4)).alias("cls"))
     # at most 17^4 classes, so their counts can be broadcast
-    count = materialise(classed.groupBy("cls").agg(F.count("*").alias("n")), "simhash-classes")
+    count = materialise(classed.groupBy("cls").agg(F.count("*").alias("n")).coalesce(BOUNDED), "simhash-classes")
     tiles = classed.join(F.broadcast(count), "cls").groupBy("cls", F.pmod(F.xxhash64("fp"), F.ceil(F.col("n") / tile)).alias("tile")).agg(F.collect_list("fp").alias("fps"))
     tiles = materialise(tiles, "simhash-tiles")
     digit = lambda c, k: F.floor(c / BASE[k]).cast("int") % 17
@@ -130,7 +133,7 @@ def links(fps: DataFrame, radius: int = RADIUS, tile: int = TILE) -> DataFrame:
     near = F.filter(own, lambda s: _all(*[(digit(F.col("cls"), k) + s[f"d{k}"]).between(0, 16) for k in range(4)]))
     to = F.transform(near, lambda s: F.col("cls") + sum(s[f"d{k}"] * BASE[k] for k in range(4)))
     pairs = count.select("cls", F.explode(to).alias("to")).join(F.broadcast(count.select(F.col("cls").alias("to"))), "to", "left_semi")
-    pairs = materialise(pairs, "simhash-class-pairs").groupBy("cls").agg(F.collect_list("to").alias("to"))
+    pairs = materialise(pairs.coalesce(BOUNDED), "simhash-class-pairs").groupBy("cls").agg(F.collect_list("to").alias("to"))
     left = tiles.join(pairs, "cls").select(F.col("cls").alias("a_cls"), F.col("tile").alias("a_tile"), F.col("fps").alias("a"), F.explode("to").alias("cls"))
     met = left.join(tiles, "cls").filter((F.col("a_cls") != F.col("cls")) | (F.col("a_tile") <= F.col("tile")))
     met = met.select("a", F.col("fps").alias("b"), ((F.col("a_cls") == F.col("cls")) & (F.col("a_tile") == F.col("tile"))).alias("same"))

@@ -12,7 +12,7 @@ from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
 from . import simple8b
-from .common import materialise, new_path
+from .common import materialise, new_path, small_batches
 from .tokens import Encoder
 
 #: Rows tokenised at once in a Python worker.
@@ -27,6 +27,7 @@ def write_token_files(docs: DataFrame, tokenizer: str, end_id: int, folder: str
     are ignored. Texts are dealt out by ranges of doc_id, so a hot source does not matter. A lost task writes the same
     file again and moves it into place whole.
     """
+    small_batches(docs)
     folder = folder or new_path(docs.sparkSession, "token-files")
 
     def write(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
