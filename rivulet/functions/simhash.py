@@ -21,43 +21,63 @@ BANDS = 4
 _TO_SPACE = {ord(c): " " for c in SEPARATORS}
 
 
-def _windows(words: list[str]) -> np.ndarray:
-    """FNV-1a over the UTF-16 units of each window of words, a blank after each word; all windows side by side."""
-    distinct = sorted(set(words))
-    number = {w: i for i, w in enumerate(distinct)}
-    units = [np.frombuffer((w + " ").encode("utf-16-le"), np.uint16) for w in distinct]
-    size = np.array([len(u) for u in units])
-    grid = np.zeros((len(distinct), int(size.max())), np.uint64)
-    for i, u in enumerate(units):
-        grid[i, : len(u)] = u
-    at = np.array([number[w] for w in words])
-    h = np.full(len(words) - SHINGLE + 1, FNV_START, np.uint64)
-    for k in range(SHINGLE):
-        own = at[k : k + len(h)]
-        for j in range(int(size[own].max())):
-            live = size[own] > j
-            h[live] = (h[live] ^ grid[own[live], j]) * np.uint64(FNV_PRIME)
-    return h
-
-
-def fingerprint(norm: str | None) -> int | None:
-    """Of a normalized body, as a signed 64-bit number; null if it is too short or has too few features."""
-    if norm is None or len(norm) < MIN_HASHABLE:
-        return None
-    words = norm.lower().translate(_TO_SPACE).split(" ")
-    words = [w for w in words if w]
-    if len(words) < MIN_TOKENS:
-        return None
+#: Texts hashed side by side.
+ROWS = 256
+
+
+def _hashes(units: np.ndarray, start: np.ndarray, length: np.ndarray) -> np.ndarray:
+    """FNV-1a over units[start : start + length] for many stretches side by side, the longest ones first."""
+    order = np.argsort(-length, kind="stable")
+    start, length = start[order], length[order]
+    h = np.full(len(start), FNV_START, np.uint64)
+    live = len(start)
+    for j in range(int(length[0]) if len(length) else 0):
+        if length[live - 1] <= j:
+            live = int(np.searchsorted(-length, -j, "left"))
+        h[:live] = (h[:live] ^ units[start[:live] + j]) * np.uint64(FNV_PRIME)
+    out = np.empty_like(h)
+    out[order] = h
+    return out
+
+
+def fingerprints(norms: list[str | None]) -> list[int | None]:
+    """Of normalized bodies, as signed 64-bit numbers; null where a body is too short or has too few features."""
+    out: list[int | None] = [None] * len(norms)
+    rows, counts, texts = [], [], []
+    for i, norm in enumerate(norms):
+        if norm is not None and len(norm) >= MIN_HASHABLE:
+            words = [w for w in norm.lower().translate(_TO_SPACE).split(" ") if w]
+            if len(words) >= MIN_TOKENS:
+                rows.append(i)
+                counts.append(len(words))
+                texts.extend(words)
+    if not rows:
+        return out
+    # one blank after each word: a window is then one stretch of UTF-16 units
+    units = np.frombuffer((" ".join(texts) + " ").encode("utf-16-le"), np.uint16)
+    ends = np.flatnonzero(units == 0x20) + 1
+    starts = np.concatenate([[0], ends[:-1]])
+    last = np.cumsum(counts)
+    first = last - counts
+    at = np.concatenate([np.arange(a, b - SHINGLE + 1) for a, b in zip(first, last, strict=True)])
     with np.errstate(over="ignore"):
-        z = _windows(words)
+        z = _hashes(units.astype(np.uint64), starts[at], ends[at + SHINGLE - 1] - starts[at])
         for shift, factor in MIX:
             z = z ^ (z >> np.uint64(shift))
             if factor:
                 z = z * np.uint64(factor)
-    if len(np.unique(z)) < MIN_FEATURES:
-        return None
-    ones = np.unpackbits(z.view(np.uint8).reshape(-1, 8), axis=1, bitorder="little").sum(axis=0, dtype=np.int64)
-    return int(np.packbits(2 * ones > len(z), bitorder="little").view(np.int64)[0])
+    lo = 0
+    for i, n in zip(rows, counts, strict=True):
+        own = z[lo : lo + n - SHINGLE + 1]
+        lo += n - SHINGLE + 1
+        if len(np.unique(own)) >= MIN_FEATURES:
+            ones = np.unpackbits(own.view(np.uint8).reshape(-1, 8), axis=1, bitorder="little").sum(axis=0, dtype=np.int64)
+            out[i] = int(np.packbits(2 * ones > len(own), bitorder="little").view(np.int64)[0])
+    return out
+
+
+def fingerprint(norm: str | None) -> int | None:
+    return fingerprints([norm])[0]
 
 
 def with_simhash(df: DataFrame, norm: str = "norm", name: str = "simhash") -> DataFrame:
@@ -66,7 +86,7 @@ def with_simhash(df: DataFrame, norm: str = "norm", name: str = "simhash") -> Da
     @F.arrow_udf("bigint")
     def of(parts: Iterator[pa.Array]) -> Iterator[pa.Array]:
         for part in parts:
-            yield pa.array([fingerprint(x.as_py()) for x in part], pa.int64())
+            yield pa.array([f for lo in range(0, len(part), ROWS) for f in fingerprints(part.slice(lo, ROWS).to_pylist())], pa.int64())
 
     return df.withColumn(name, of(F.col(norm)))
 

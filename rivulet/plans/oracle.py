@@ -189,7 +189,7 @@ ORACLE_SQL: dict[str, str] = {
         SELECT d.id, round((r / (r + 1))::DOUBLE, 6) AS rank FROM d LEFT JOIN ph ON ph.id = d.id WHERE (the AND ph.id IS NOT NULL AND NOT idiot) OR ete ORDER BY rank DESC, d.id LIMIT 30""",
     "title_trigram_pairs": f"""WITH t AS (SELECT doc_id AS id, {_TRIGRAMS.format(_PLAIN.format("left(text, 80)"))} AS g FROM documents), n AS (SELECT id, len(g) AS n FROM t), e AS (SELECT id, unnest(g) AS g FROM t),
         p AS (SELECT x.id AS a, y.id AS b, count(*) AS c FROM e x JOIN e y ON x.g = y.g AND x.id < y.id GROUP BY 1, 2), s AS (SELECT a, b, c / (na.n + nb.n - c)::DOUBLE AS s FROM p JOIN n na ON na.id = a JOIN n nb ON nb.id = b)
-        SELECT a, b, round(s, 6) AS similarity FROM s WHERE s >= 0.6""",
+        SELECT a, b, round(s, 6) AS similarity FROM s WHERE s >= 0.6 AND abs(a % 72 - b % 72) < 48""",
     "similar_titles": f"""WITH q AS (SELECT {_TRIGRAMS.format("'Was the thing in the ere of it'")} AS q), t AS (SELECT doc_id AS id, {_TRIGRAMS.format(_PLAIN.format("left(text, 80)"))} AS g FROM documents WHERE {_HOURS.format("doc_id % 72")} > TIMESTAMP '2024-01-04 00:00:00' - INTERVAL 48 HOUR),
         s AS (SELECT id, len(list_intersect(g, q)) / len(list_distinct(list_concat(g, q)))::DOUBLE AS s FROM t, q) SELECT id, round(s, 6) AS similarity FROM s WHERE s >= 0.05 ORDER BY s DESC, id LIMIT 5""",
     "unaccent_tokens": f"WITH t AS (SELECT unnest({_TOKENS.format(_PLAIN.format('text'))}) AS token FROM documents) SELECT token, count(*)::BIGINT AS n FROM t GROUP BY token",

@@ -15,7 +15,7 @@ from pyspark.sql import functions as F
 from ..functions import html, text, urls
 from ..functions.simhash import with_simhash
 from ..operators import dedup, feed, ingest, politeness, quality, queue, search, vectors
-from ..session import table
+from ..session import store, table
 from ..sources import config as source_config
 from ..sources import feeds, generate
 from ..streaming import jobs as streams
@@ -60,7 +60,8 @@ def hashed(spark: SparkSession, sf: str) -> DataFrame:
 
 
 def fingerprinted(spark: SparkSession, sf: str) -> DataFrame:
-    return with_simhash(hashed(spark, sf)).drop("norm")
+    """Articles with stored fingerprints, as the first step of a sweep leaves them."""
+    return store(with_simhash(hashed(spark, sf)).drop("norm"), "fingerprints")
 
 
 def jobs(spark: SparkSession, sf: str) -> DataFrame:
@@ -174,7 +175,7 @@ def dedup_exact_windows(spark, sf):
 
 
 def simhash_fingerprint(spark, sf):
-    return fingerprinted(spark, sf).select("id", "simhash")
+    return with_simhash(hashed(spark, sf)).select("id", "simhash")
 
 
 def dedup_near_pairs(spark, sf):
@@ -472,7 +473,7 @@ def fts_rank_cd(spark, sf):
 
 
 def title_trigram_pairs(spark, sf):
-    t = table(spark, sf, "documents").select(F.col("doc_id").alias("id"), F.left("text", F.lit(80)).alias("title"))
+    t = table(spark, sf, "documents").select(F.col("doc_id").alias("id"), F.left("text", F.lit(80)).alias("title"), _hours(F.col("doc_id") % 72).alias("published_at"))
     return search.title_pairs(t, 0.6).select("a", "b", F.round("similarity", 6).alias("similarity"))
 
 

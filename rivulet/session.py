@@ -6,6 +6,7 @@ import atexit
 import os
 import shutil
 import tempfile
+import uuid
 from pathlib import Path
 
 from pyspark.sql import DataFrame, SparkSession
@@ -52,3 +53,10 @@ def shared_dir(spark: SparkSession) -> str:
 
 
 _LOCAL: str | None = None
+
+
+def store(df: DataFrame, label: str) -> DataFrame:
+    """df as a written table in the shared folder: what it took to compute is not done again, nor lost with an executor."""
+    path = f"{shared_dir(df.sparkSession)}/rivulet/{label}-{uuid.uuid4().hex}"
+    df.write.parquet(path)
+    return df.sparkSession.read.schema(df.schema).parquet(path)
