@@ -24,11 +24,11 @@ from .common import attach, connected_components, materialise, worker_cache
 from .simhash import _forest
 
 THRESHOLD = 0.95
-TURNS = 6
+TURNS = 10
 BLOCKS = 2
-CODE = 64
-#: Chosen so that a vector of 64 dimensions is in some 20 of the 24,576 filters; the tests measure the recall.
-CAP = 0.38
+CODE = 40
+#: Chosen so that a vector of 64 dimensions is in some 24 of the 16,000 filters; the tests measure the recall.
+CAP = 0.37
 SEED = 20
 TILE = 1024
 
