@@ -150,7 +150,11 @@ def _all(*conditions):
 def components(prints: DataFrame, radius: int = RADIUS, tile: int = TILE) -> DataFrame:
     """prints (doc_id, fp, a written table): fp, component_id and n (rows with that fp) for each fingerprint."""
     fps = materialise(prints.groupBy("fp").agg(F.min("doc_id").alias("least"), F.count("*").alias("n")), "simhash-fps")
-    roots = connected_components(links(fps.select("fp"), radius, tile))
+    return named(fps, connected_components(links(fps.select("fp"), radius, tile)))
+
+
+def named(fps: DataFrame, roots: DataFrame) -> DataFrame:
+    """fps (fp, least doc_id, n, a written table) and the roots of linked ones: fp, component_id and n, written."""
     rooted = fps.join(roots.withColumnRenamed("node", "fp"), "fp", "left").withColumn("root", F.coalesce("root", "fp"))
     rooted = materialise(rooted, "simhash-rooted")
     least = rooted.groupBy("root").agg(F.min("least").alias("component_id"), F.sum("n").alias("rows"), F.count("*").alias("fps"))
@@ -181,13 +185,20 @@ def one_of_each(docs: DataFrame, words: int = WORDS, radius: int = RADIUS) -> Da
     marked = with_fingerprint(text, words).drop("text").withColumn("rid", F.monotonically_increasing_id())
     table = materialise(marked, "simhash-docs")
     prints = table.select(F.col(f"c{names.index('doc_id')}").cast("long").alias("doc_id"), "fp", "rid")
-    comp = components(prints, radius)
+    return first_of_each(table, prints, components(prints, radius)).toDF(*names)
+
+
+def first_of_each(table: DataFrame, prints: DataFrame, comp: DataFrame) -> DataFrame:
+    """The row of table (rid, fp and others, written) with the smallest doc_id of each component, without rid and fp.
+
+    prints: doc_id, fp, rid. Among rows with the same smallest doc_id the first written one stays; rows with null doc_id
+    come last.
+    """
     best = attach(prints, comp.withColumn("key", F.col("component_id")), "fp", "n")
     # a component is named by its smallest doc_id; fingerprints without any doc_id are named by themselves
     name = F.struct(F.col("component_id"), F.when(F.col("component_id").isNull(), F.col("fp")).alias("alone"))
     keep = best.groupBy(name.alias("name")).agg(F.min(F.struct(F.col("doc_id").isNull().alias("none"), "doc_id", "rid")).alias("first"))
-    kept = table.join(keep.select(F.col("first.rid").alias("rid")), "rid", "left_semi").drop("rid", "fp")
-    return kept.toDF(*names)
+    return table.join(keep.select(F.col("first.rid").alias("rid")), "rid", "left_semi").drop("rid", "fp")
 
 
 def hex_fingerprint(column: str = "fp"):
