@@ -1,7 +1,7 @@
 """Operator 6: secrets. Patterns propose values; a password guess-cost decides on values in credential context.
 
 Base kinds (assign, access, hex) follow their contract exactly and always stay. The further kind `credential` is the
-value after another credential word (pwd, passphrase, client_secret, ...), or inside a URL's user part, if guessing it
+whole value after a credential word (those of assign, pwd, passphrase, client_secret, ...), or inside a URL's user part, if guessing it
 costs at least 10^MIN_LOG10 tries. The cost is a dynamic program over the value: the cheapest segmentation into
   words         rank in WORDS, any spelling in case or with common digit-for-letter swaps
   dates         1900 to 2029 with or without separators
@@ -35,7 +35,7 @@ WINDOW = 64
 _ASSIGN = re.compile(r"""(password|passwd|secret|token|api_?key)["']?\x20*[:=]\x20*["']?([A-Za-z0-9+/_.=-]+)""", re.I | re.A)
 _ACCESS = re.compile(r"AKIA[A-Z0-9]+")
 _HEX = re.compile(r"[0-9a-f]{24,}")
-_KEYWORD = re.compile(r"""(?<![A-Za-z0-9])(?:pwd|pass|passphrase|passcode|pin|credentials?|auth|bearer|private_?key|access_?key|secret_?key|client_?secret|auth_?token)["']?\x20*(?:[:=]|=>|\x20)\x20*["']?([!-&(-~]{6,256})""", re.I | re.A)
+_KEYWORD = re.compile(r"""(?<![A-Za-z0-9])(?:password|passwd|secret|token|api_?key|pwd|pass|passphrase|passcode|pin|credentials?|auth|bearer|private_?key|access_?key|secret_?key|client_?secret|auth_?token)["']?\x20*(?:[:=]|=>|\x20)\x20*["']?([!-&(-~]{6,256})""", re.I | re.A)
 _URL = re.compile(r"[a-z][a-z0-9+.-]{1,15}://[^\s:/@]{1,64}:([^\s/@]{6,256})@")
 _PLACEHOLDER = re.compile(r"(?i)^(?:\$\{.*|<.*>|\{\{.*|%\(?.*|\*+|x+|\.+|none|null|true|false|undefined|change_?me|your_.*|example.*)$")
 
