@@ -35,8 +35,8 @@ WINDOW = 64
 _ASSIGN = re.compile(r"""(password|passwd|secret|token|api_?key)["']?\x20*[:=]\x20*["']?([A-Za-z0-9+/_.=-]+)""", re.I | re.A)
 _ACCESS = re.compile(r"AKIA[A-Z0-9]+")
 _HEX = re.compile(r"[0-9a-f]{24,}")
-_KEYWORD = re.compile(r"""(?<![A-Za-z0-9])(?:password|passwd|secret|token|api_?key|pwd|pass|passphrase|passcode|pin|credentials?|auth|bearer|private_?key|access_?key|secret_?key|client_?secret|auth_?token)["']?\x20*(?:[:=]|=>|\x20)\x20*["']?([!-&(-~]{6,256})""", re.I | re.A)
-_URL = re.compile(r"[a-z][a-z0-9+.-]{1,15}://[^\s:/@]{1,64}:([^\s/@]{6,256})@")
+_KEYWORD = re.compile(r"""(?<![A-Za-z0-9])(?:password|passwd|secret|token|api_?key|pwd|pass|passphrase|passcode|pin|credentials?|auth|bearer|private_?key|access_?key|secret_?key|client_?secret|auth_?token)["']?\x20*(?:[:=]|=>|\x20)\x20*["']?([!-&(-~]{6,})""", re.I | re.A)
+_URL = re.compile(r"[a-z][a-z0-9+.-]{1,15}://[^\s:/@]+:([^\s/@]{6,})@")
 _PLACEHOLDER = re.compile(r"(?i)^(?:\$\{.*|<.*>|\{\{.*|%\(?.*|\*+|x+|\.+|none|null|true|false|undefined|change_?me|your_.*|example.*)$")
 
 # fixed values: common words of guessed passwords, most common first

@@ -20,3 +20,12 @@ def test_base_keywords_take_whole_values():
         assert credentials(f'{word}="k#9fQ2!xLw7$"') == ["k#9fQ2!xLw7$"]
     assert clean("my password: P@ss#w0rd!92xQ, ok") == "my password: [SECRET], ok"
     assert not credentials("password: changeme") and not credentials("the secret of the garden") and not credentials("password: [SECRET]")
+
+
+def test_long_values_are_taken_whole():
+    rng = random.Random(4)
+    make = lambda n: "".join(rng.choice("abcdefghijkmnpqrstuvwxyzABCDEFGHJKLMNPQRSTUVWXYZ23456789") for _ in range(n))
+    long = make(423)
+    assert clean(f"head: Bearer {long} end") == "head: Bearer [SECRET] end"
+    assert credentials(f"https://{make(90)}:{long}@host/x") == [long]
+    assert credentials(f"pwd: {long * 30}") == [long * 30]
