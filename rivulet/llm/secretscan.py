@@ -37,6 +37,7 @@ _ACCESS = re.compile(r"AKIA[A-Z0-9]+")
 _HEX = re.compile(r"[0-9a-f]{24,}")
 _KEYWORD = re.compile(r"""(?<![A-Za-z0-9])(?:password|passwd|secret|token|api_?key|pwd|pass|passphrase|passcode|pin|credentials?|auth|bearer|private_?key|access_?key|secret_?key|client_?secret|auth_?token)["']?\x20*(?:[:=]|=>|\x20)\x20*["']?([!-&(-~]{6,})""", re.I | re.A)
 _URL = re.compile(r"[a-z][a-z0-9+.-]{1,15}://[^\s:/@]+:([^\s/@]{6,})@")
+_QUOTE = re.compile(r'''(?<!\\)"''')
 _PLACEHOLDER = re.compile(r"(?i)^(?:\$\{.*|<.*>|\{\{.*|%\(?.*|\*+|x+|\.+|none|null|true|false|undefined|change_?me|your_.*|example.*)$")
 
 # fixed values: common words of guessed passwords, most common first
@@ -154,7 +155,10 @@ def credentials(text: str) -> list[tuple[int, int, float]]:
     if not _worth(text):
         return out
     for m in (*_KEYWORD.finditer(text), *_URL.finditer(text)):
-        value = m[1].rstrip("\"'`,;.)]}>")
+        value = m[1]
+        if text[m.start(1) - 1] == '"':
+            value = _QUOTE.split(value, maxsplit=1)[0]  # a quoted value ends at its quote
+        value = value.rstrip("\"'`,;.)]}>")
         if len(value) < 6 or _PLACEHOLDER.match(value) or (value.isalpha() and value.islower()) or "://" in value:
             continue
         if m.re is _KEYWORD and not any(c.isdigit() for c in value) and not re.search(r"[:=]", m.group()[: m.start(1) - m.start()]):
@@ -177,7 +181,7 @@ def find(text: str | None) -> tuple[list[Span], list[Span], list[float | None]]:
     spans = list(base)
     taken = [(a, b) for _, a, b in base]
     for a, b, cost in credentials(text):
-        if not any(x < b and a < y for x, y in taken):
+        if not any(x <= a and b <= y for x, y in taken):
             spans.append(("credential", a, b))
             taken.append((a, b))
             costs.append(cost)

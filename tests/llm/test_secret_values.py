@@ -29,3 +29,11 @@ def test_long_values_are_taken_whole():
     assert clean(f"head: Bearer {long} end") == "head: Bearer [SECRET] end"
     assert credentials(f"https://{make(90)}:{long}@host/x") == [long]
     assert credentials(f"pwd: {long * 30}") == [long * 30]
+
+
+def test_longer_credentials_stay_beside_base_spans():
+    text = 'client_secret="Passw0rd99!@#zzQ8xY"'
+    assert secretscan.find(text)[1] == [("assign", 7, 25), ("credential", 15, 34)]
+    assert clean(text) == 'client_[SECRET]"'
+    assert [k for k, _, _ in secretscan.find("token=abcdefQ123")[1]] == ["assign"]
+    assert clean('x *** token = "ab8ca1b325bc4f85aa6a"### y') == 'x *** [SECRET]"### y'
