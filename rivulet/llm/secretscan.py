@@ -35,7 +35,8 @@ WINDOW = 64
 _ASSIGN = re.compile(r"""(password|passwd|secret|token|api_?key)["']?\x20*[:=]\x20*["']?([A-Za-z0-9+/_.=-]+)""", re.I | re.A)
 _ACCESS = re.compile(r"AKIA[A-Z0-9]+")
 _HEX = re.compile(r"[0-9a-f]{24,}")
-_KEYWORD = re.compile(r"""(?<![A-Za-z0-9])(?:password|passwd|secret|token|api_?key|pwd|pass|passphrase|passcode|pin|credentials?|auth|bearer|private_?key|access_?key|secret_?key|client_?secret|auth_?token)["']?\x20*(?:[:=]|=>|\x20)\x20*["']?([!-&(-~]{6,})""", re.I | re.A)
+_CONTEXT = re.compile(r"password|passwd|secret|token|api_?key|pwd|pass|passphrase|passcode|pin|credentials?|auth|bearer|private_?key|access_?key|secret_?key|client_?secret|auth_?token", re.I | re.A)
+_KEYWORD = re.compile(rf"""(?<![A-Za-z0-9])(?:{_CONTEXT.pattern})["']?\x20*(?:[:=]|=>|\x20)\x20*["']?([!-&(-~]{{6,}})""", re.I | re.A)
 _URL = re.compile(r"[a-z][a-z0-9+.-]{1,15}://[^\s:/@]+:([^\s/@]{6,})@")
 _QUOTE = re.compile(r'''(?<!\\)"''')
 _PLACEHOLDER = re.compile(r"(?i)^(?:\$\{.*|<.*>|\{\{.*|%\(?.*|\*+|x+|\.+|none|null|true|false|undefined|change_?me|your_.*|example.*)$")
@@ -149,23 +150,33 @@ def _worth(text: str) -> bool:
     return ":" in text or "=" in text
 
 
+def _scored(text: str, m: re.Match) -> tuple[int, int, float] | None:
+    """start, end and cost of the value of a match, if it costs enough."""
+    value = m[1]
+    if text[m.start(1) - 1] == '"':
+        value = _QUOTE.split(value, maxsplit=1)[0]  # a quoted value ends at its quote
+    value = value.rstrip("\"'`,;.)]}>")
+    if len(value) < 6 or _PLACEHOLDER.match(value) or _CONTEXT.fullmatch(value) or "://" in value:
+        return None
+    if m.re is _KEYWORD and not any(c.isdigit() for c in value) and not re.search(r"[:=]", m.group()[: m.start(1) - m.start()]):
+        return None  # "pass something" in prose
+    cost = guess_cost(value)
+    return (m.start(1), m.start(1) + len(value), cost) if cost >= MIN_LOG10 else None
+
+
 def credentials(text: str) -> list[tuple[int, int, float]]:
-    """start, end and cost of the values in credential context that cost enough."""
-    out = []
-    if not _worth(text):
-        return out
-    for m in (*_KEYWORD.finditer(text), *_URL.finditer(text)):
-        value = m[1]
-        if text[m.start(1) - 1] == '"':
-            value = _QUOTE.split(value, maxsplit=1)[0]  # a quoted value ends at its quote
-        value = value.rstrip("\"'`,;.)]}>")
-        if len(value) < 6 or _PLACEHOLDER.match(value) or (value.isalpha() and value.islower()) or "://" in value:
-            continue
-        if m.re is _KEYWORD and not any(c.isdigit() for c in value) and not re.search(r"[:=]", m.group()[: m.start(1) - m.start()]):
-            continue  # "pass something" in prose
-        cost = guess_cost(value)
-        if cost >= MIN_LOG10:
-            out.append((m.start(1), m.start(1) + len(value), cost))
+    """start, end and cost of the values in credential context that cost enough.
+
+    After a value that is not taken the search goes on at its start, so that "auth: bearer ..." finds what follows.
+    """
+    out, at = [], 0
+    while m := _KEYWORD.search(text, at):
+        one = _scored(text, m)
+        at = one[1] if one else m.start(1)
+        if one:
+            out.append(one)
+    if "://" in text:
+        out += filter(None, (_scored(text, m) for m in _URL.finditer(text)))
     return out
 
 

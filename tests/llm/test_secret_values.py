@@ -37,3 +37,12 @@ def test_longer_credentials_stay_beside_base_spans():
     assert clean(text) == 'client_[SECRET]"'
     assert [k for k, _, _ in secretscan.find("token=abcdefQ123")[1]] == ["assign"]
     assert clean('x *** token = "ab8ca1b325bc4f85aa6a"### y') == 'x *** [SECRET]"### y'
+
+
+def test_guess_cost_decides_on_all_values():
+    assert credentials("passphrase: xkqzvjwphfmbtrlg") == ["xkqzvjwphfmbtrlg"]
+    assert credentials("postgres://app:xkqzvjwphfmbtrlg@db/x") == ["xkqzvjwphfmbtrlg"]
+    for text in ("bearer 8fk3Lq92mZx7Qw", "note: bearer 8fk3Lq92mZx7Qw", "auth: bearer 8fk3Lq92mZx7Qw", "auth=Bearer 8fk3Lq92mZx7Qw"):
+        assert credentials(text) == ["8fk3Lq92mZx7Qw"]
+    assert credentials('{"pwd":"g7#Kq2!mZ","pass":"b8$Lw3?nY"}') == ["g7#Kq2!mZ", "b8$Lw3?nY"]
+    assert not credentials("pwd: dragonmonkey") and not credentials("please pass international borders") and not credentials("auth: bearer")
