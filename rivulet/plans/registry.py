@@ -518,10 +518,12 @@ def _streamed(spark, sf, name):
 
 
 def stream_dedup(spark, sf):
-    """Articles by stream: the sweep of the last snapshot is that of the whole table."""
+    """Articles by stream: the sweep of the last snapshot, all its layers, is that of the whole table."""
     d = _streamed(spark, sf, "documents")
-    a = d.select(F.col("doc_id").alias("id"), _hours(F.col("doc_id") % 72).alias("published_at"), F.lit("published").alias("status"), text.content_hash(text.normalize_plain(F.col("text"))).alias("content_hash"), F.lit(None).cast("long").alias("simhash"), F.lit(None).cast("long").alias("duplicate_of_id"))
-    q, snapshots = streams.run_on_snapshots(a, streams.dedup_step, a.schema)
+    norm = text.normalize_plain(F.col("text"))
+    b = d.select(F.col("doc_id").alias("id"), _hours(F.col("doc_id") % 72).alias("published_at"), F.lit("published").alias("status"), text.content_hash(norm).alias("content_hash"), norm.alias("norm"), F.lit(None).cast("long").alias("duplicate_of_id"))
+    a = with_simhash(b).drop("norm")
+    q, snapshots = streams.run_on_snapshots(a, lambda snapshot, batch: streams.dedup_step(snapshot, store(batch, "stream-fingerprints")), a.schema)
     q.awaitTermination()
     return snapshots.read().select("id", "status", "duplicate_of_id")
 
