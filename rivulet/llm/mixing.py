@@ -36,8 +36,8 @@ WORDS = 1500
 SHAPE = 8
 #: Target weights of the query, by domain.
 TARGETS = {"high": 0.6, "low": 0.35, "toxic": 0.05}
-#: The largest rate.
-MOST = 16.0
+#: The largest rate: no bound, as the method has none.
+MOST = float("inf")
 MAX_STEPS = 40
 TOLERANCE = 1e-4
 
