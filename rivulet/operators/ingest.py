@@ -9,6 +9,7 @@ from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
 
 from ..functions import html, text, urls
+from ..session import store
 
 ARTICLE = "id long, source_id long, canonical_url string, url_hash binary, title string, summary string, content_hash binary, word_count int, status string, published_at timestamp, duplicate_of_id long, extract_attempts int, version int"
 
@@ -94,12 +95,15 @@ def upsert(existing: DataFrame, batch: DataFrame, next_id: int) -> DataFrame:
 
 
 def number_new(rows: DataFrame, next_id: int, order: str = "url_hash") -> DataFrame:
-    """Consecutive ids for rows without one, without gathering them in one task.
+    """Consecutive ids in order of a column for rows without one, without gathering them in one task.
 
-    Ranges of the order column are counted, the counts summed up on the driver (one for each range), and each range is
-    numbered by itself.
+    The new rows are written once, by ranges of the order column, each with the number of its range: where a range begins
+    is sampled, so ranges made twice need not be the same. The written ranges are counted, the counts summed up on the
+    driver (one for each range), and each range is numbered by itself. Rows with equal values of the column get ids of
+    their own.
     """
-    fresh = rows.filter("id is null").repartitionByRange(order).sortWithinPartitions(order).withColumn("_part", F.spark_partition_id())
+    ranged = rows.filter("id is null").repartitionByRange(order).withColumn("_part", F.spark_partition_id())
+    fresh = store(ranged, "new-rows")
     counts = sorted((r["_part"], r["n"]) for r in fresh.groupBy("_part").agg(F.count("*").alias("n")).collect())
     if not counts:
         return rows

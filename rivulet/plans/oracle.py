@@ -156,7 +156,7 @@ ORACLE_SQL: dict[str, str] = {
           CASE h WHEN 0 THEN 5.0 ELSE 3.0 END::DOUBLE AS gap_seconds FROM p""",
     "robots_expiry": "SELECT 'https://h' || i || '.example' AS origin, CASE WHEN i = 3 THEN 60 ELSE 84630 END::BIGINT AS seconds FROM range(5) t(i)",
     "upsert_idempotent": f"""WITH e AS (SELECT *, 'https://c.example/' || c_custkey AS u FROM customer WHERE c_custkey % 2 = 0), b AS (SELECT *, 'https://c.example/' || c_custkey AS u, CASE WHEN c_custkey % 12 = 0 THEN 'old' ELSE 'new' END AS s FROM customer WHERE c_custkey % 3 = 0)
-        SELECT coalesce(e.u, b.u) AS canonical_url, coalesce(b.c_name, e.c_name) AS title, coalesce(b.s, 'old') AS summary, CASE WHEN e.u IS NULL THEN 7 ELSE e.c_nationkey END::BIGINT AS source_id,
+        SELECT CASE WHEN e.u IS NULL THEN 9999999 + row_number() OVER (PARTITION BY e.u IS NULL ORDER BY sha256(b.u)) ELSE e.c_custkey END::BIGINT AS id, coalesce(e.u, b.u) AS canonical_url, coalesce(b.c_name, e.c_name) AS title, coalesce(b.s, 'old') AS summary, CASE WHEN e.u IS NULL THEN 7 ELSE e.c_nationkey END::BIGINT AS source_id,
           CASE WHEN e.u IS NULL THEN {_NOW} ELSE TIMESTAMP '2024-01-01 00:00:00' END AS published_at, CASE WHEN e.u IS NOT NULL AND b.s = 'new' THEN 1 ELSE 0 END::INTEGER AS version,
           CASE WHEN e.c_custkey % 4 = 0 THEN sha256(e.u) END AS content_hash, CASE WHEN e.u IS NULL THEN 'insert' WHEN b.s = 'new' THEN 'update' ELSE 'none' END AS change, 'none' AS second_change
         FROM e FULL JOIN b ON e.u = b.u""",
@@ -201,7 +201,9 @@ ORACLE_SQL: dict[str, str] = {
         SELECT id, arg_min(other, (p, other)) AS winner FROM s GROUP BY id""",
     "synthetic_articles": """WITH a AS (SELECT i % 50 + 1 AS source_id, CASE WHEN i % 100 < 92 THEN 'published' WHEN i % 100 < 96 THEN 'failed' ELSE 'duplicate' END AS status, TIMESTAMP '2026-01-01 00:00:00' - INTERVAL 1 MINUTE * ((i * 7919) % 1051200) AS published_at, 'https://bench.example/' || md5(i::VARCHAR) AS canonical_url, 200 + i % 1800 AS word_count FROM range(1, 500001) t(i))
         SELECT source_id, status, count(*)::BIGINT AS n, min(published_at) AS first_at, max(canonical_url) AS last_url, sum(word_count)::BIGINT AS words FROM a GROUP BY source_id, status""",
-    "stream_dedup": f"WITH {_BODIES}, w AS ({_EXACT}) SELECT b.id, CASE WHEN w.winner <> b.id THEN 'duplicate' ELSE 'published' END AS status, CASE WHEN w.winner <> b.id THEN w.winner END AS duplicate_of_id FROM bodies b LEFT JOIN w USING (id)",
     "stream_enqueue": f"SELECT DISTINCT user_id AS source_id, 'fetch_feed' AS job_type, 'pending' AS state, {_NOW} AS scheduled_at FROM events",
     "stream_health": f"WITH h AS ({_HEALTH}) SELECT * FROM h WHERE window_start + INTERVAL 6 HOUR <= (SELECT max(ts) - INTERVAL 1 HOUR FROM events)",
 }
+
+# the streamed sweep runs the same layers as the one over the whole table
+ORACLE_SQL["stream_dedup"] = ORACLE_SQL["dedup_sweep"]

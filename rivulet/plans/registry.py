@@ -350,9 +350,9 @@ def upsert_idempotent(spark, sf):
         url.alias("canonical_url"), h.alias("url_hash"), F.lit(7).cast("long").alias("source_id"), _at(NOW).alias("published_at"), F.col("c_name").alias("title"), F.when(k % 12 == 0, "old").otherwise("new").alias("summary"),
         F.lit(None).cast("binary").alias("content_hash"), F.lit(None).cast("int").alias("word_count"), k.alias("k"),
     )
-    first = ingest.upsert(existing, batch, 10_000_000)
+    first = store(ingest.upsert(existing, batch, 10_000_000), "upserted")
     again = ingest.upsert(first.drop("change"), batch, 20_000_000)
-    a = first.select("canonical_url", "title", "summary", "source_id", "published_at", "version", F.lower(F.hex("content_hash")).alias("content_hash"), "change")
+    a = first.select("id", "canonical_url", "title", "summary", "source_id", "published_at", "version", F.lower(F.hex("content_hash")).alias("content_hash"), "change")
     return a.join(again.select("canonical_url", F.col("change").alias("second_change")), "canonical_url")
 
 
