@@ -6,14 +6,25 @@ snapshot to snapshot, so a sweep can be repeated at will: a second one changes n
 
 from __future__ import annotations
 
+from collections.abc import Iterator
+
+import numpy as np
+import pyarrow as pa
 from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
 
 from ..functions.simhash import bands, distance
+from ..session import store
+from .skew import attach
 
 DUPLICATE = "duplicate"
 WINDOW_HOURS = 48
 RADIUS = 3
+#: Slices of the window of time that near_winners() walks through one by one.
+SLICES = 48
+#: Fingerprints of a tile of the histogram, and its largest distance (a fixed value: what the analysis shows).
+TILE = 4096
+HISTOGRAM = 20
 
 
 def first_by_group(df: DataFrame, key: Column, name: str = "winner") -> DataFrame:
@@ -25,10 +36,14 @@ def first_by_group(df: DataFrame, key: Column, name: str = "winner") -> DataFram
 
 
 def exact_winners(articles: DataFrame) -> DataFrame:
-    """id, winner of every row that loses to an earlier row with the same content hash. No time window."""
+    """id, winner of every row that loses to an earlier row with the same content hash. No time window.
+
+    Hashes with over 1/1000 of the rows are looked up by broadcast, so their rows are not brought together.
+    """
     live = articles.filter(F.col("content_hash").isNotNull() & (F.col("status") != DUPLICATE))
-    groups = first_by_group(live, F.col("content_hash")).filter("n > 1")
-    return live.select("id", F.col("content_hash").alias("group_key")).join(groups, "group_key").filter("id <> winner").select("id", "winner")
+    live = store(live.select("id", "published_at", F.col("content_hash").alias("group_key")), "live-hashes")
+    groups = store(first_by_group(live, F.col("group_key")).filter("n > 1"), "hash-groups")
+    return attach(live.drop("published_at"), groups, "group_key", "n").filter("id <> winner").select("id", "winner")
 
 
 def demote(articles: DataFrame, winners: DataFrame) -> DataFrame:
@@ -44,7 +59,7 @@ def near_pairs(articles: DataFrame, radius: int = RADIUS, hours: int = WINDOW_HO
 
     Rows that share one of four 16-bit bands and a window of time meet in an equi-join: `hours` or less apart they are
     in the same bucket or in neighbouring ones. Equal fingerprints share all bands, so each pair counts in its first
-    common band only.
+    common band only. The result is the list of all pairs; near_winners() does without it.
     """
     live = articles.filter(F.col("simhash").isNotNull() & (F.col("status") != DUPLICATE)).select("id", "published_at", "simhash")
     seconds = hours * 3600
@@ -55,15 +70,57 @@ def near_pairs(articles: DataFrame, radius: int = RADIUS, hours: int = WINDOW_HO
     earlier = F.struct("published_at", "id") < F.struct("l_published_at", "l_id")
     inside = F.col("published_at") > F.col("l_published_at") - F.make_dt_interval(hours=F.lit(hours))
     d = distance(F.col("simhash"), F.col("l_simhash"))
-    x = F.col("simhash").bitwiseXOR(F.col("l_simhash"))
-    first = F.when(x.bitwiseAND(F.lit(0xFFFF)) == 0, 0).when(F.shiftrightunsigned(x, 16).bitwiseAND(F.lit(0xFFFF).cast("long")) == 0, 1).when(F.shiftrightunsigned(x, 32).bitwiseAND(F.lit(0xFFFF).cast("long")) == 0, 2).otherwise(3)
+    first = _same_band(F.col("simhash"), F.col("l_simhash"))
     return met.filter(earlier & inside & (d <= radius) & (F.col("band") == first)).select(F.col("l_id").alias("loser"), F.col("id").alias("winner"), d.alias("distance"), F.col("published_at").alias("winner_published_at"))
 
 
+def _same_band(a: Column, b: Column) -> Column:
+    """The first band in which two fingerprints are equal."""
+    x = a.bitwiseXOR(b)
+    equal = lambda k: F.shiftrightunsigned(x, 16 * k).bitwiseAND(F.lit(0xFFFF).cast("long")) == 0
+    return F.when(equal(0), 0).when(equal(1), 1).when(equal(2), 2).otherwise(3)
+
+
 def near_winners(articles: DataFrame, radius: int = RADIUS, hours: int = WINDOW_HOURS) -> DataFrame:
-    """id, winner: for each loser the earliest, not the nearest, of the rows that it loses to."""
-    pairs = near_pairs(articles, radius, hours)
-    return pairs.groupBy(F.col("loser").alias("id")).agg(F.min(F.struct("winner_published_at", "winner")).alias("w")).select("id", F.col("w.winner").alias("winner"))
+    """id, winner: for each loser the earliest, not the nearest, of the rows that it loses to.
+
+    No pairs of rows are made. Rows with one fingerprint and time count once; fingerprints are paired once for each
+    window of time. The earliest row after a moment x is the running minimum of the rows from the latest down to x: those
+    of x's own slice of time are walked through in order, those of later slices are known from one row for each slice.
+    """
+    span = hours * 3_600_000_000
+    slice_ = max(span // SLICES, 1)
+    when = F.unix_micros(F.col("published_at").cast("timestamp"))
+    live = articles.filter(F.col("simhash").isNotNull() & (F.col("status") != DUPLICATE)).select("id", "simhash", when.alias("at"))
+    live = store(live.withColumn("spot", F.struct("simhash", "at")), "live-fingerprints")
+    spots = store(live.groupBy("spot").agg(F.min("id").alias("first"), F.count("*").alias("n")), "fingerprint-times")
+    seen = spots.select("spot.simhash", "spot.at", "first", F.floor(F.col("spot.at") / span).alias("bucket"))
+    units = seen.select("simhash", "bucket").distinct().withColumn("b", F.explode(bands(F.col("simhash")))).select("simhash", "bucket", "b.band", "b.bits")
+    mine = units.select("simhash", "bucket", "band", "bits", F.explode(F.array(F.col("bucket"), F.col("bucket") - 1)).alias("bucket2"))
+    other = units.select(F.col("simhash").alias("simhash2"), F.col("bucket").alias("bucket2"), "band", "bits")
+    close = (distance(F.col("simhash"), F.col("simhash2")) <= radius) & (F.col("band") == _same_band(F.col("simhash"), F.col("simhash2")))
+    near = mine.join(other, ["band", "bits", "bucket2"]).filter(close).select("simhash", "bucket", "simhash2", "bucket2")
+    of = seen.select(F.col("simhash").alias("simhash2"), F.col("bucket").alias("bucket2"), "at", "first")
+    entries = near.join(of, ["simhash2", "bucket2"]).groupBy("simhash", "bucket", "at").agg(F.min("first").alias("first"))
+    entries = store(entries.withColumn("slice", F.floor(F.col("at") / slice_)), "near-entries")
+
+    group = ["simhash", "bucket"]
+    down = Window.partitionBy(*group).orderBy(F.desc("slice")).rowsBetween(Window.unboundedPreceding, -1)
+    slices = entries.groupBy(*group, "slice").agg(F.min(F.struct("at", "first")).alias("least"))
+    probes = seen.select(*group, (F.col("at") - span).alias("x"), F.col("at").alias("own"))
+    probes = probes.withColumn("slice", F.floor(F.col("x") / slice_))
+    # a slice that only probes have takes its later rows from the same running minimum
+    steps = slices.select(*group, "slice", "least").unionByName(probes.select(*group, "slice").distinct(), allowMissingColumns=True)
+    later = steps.groupBy(*group, "slice").agg(F.min("least").alias("least")).select(*group, "slice", F.min("least").over(down).alias("later"))
+    line = entries.select(*group, "slice", "at", F.lit(1).alias("row"), F.struct("at", "first").alias("e"), F.lit(None).cast("long").alias("own"))
+    line = line.unionByName(probes.select(*group, "slice", F.col("x").alias("at"), F.lit(0).alias("row"), F.lit(None).cast("struct<at:bigint,first:bigint>").alias("e"), "own"))
+    # from the latest down; at one time a probe comes before the rows, as a winner is later than x
+    walk = Window.partitionBy(*group, "slice").orderBy(F.desc("at"), "row").rowsBetween(Window.unboundedPreceding, Window.currentRow)
+    inside = line.withColumn("least", F.min("e").over(walk)).filter("row = 0").select(*group, "slice", "own", "least")
+    found = inside.join(later, [*group, "slice"]).select(F.struct("simhash", F.col("own").alias("at")).alias("spot"), F.coalesce("least", "later").alias("w"))
+    best = store(found.join(spots, "spot").select("spot", F.col("w.at").alias("w_at"), F.col("w.first").alias("winner"), "n"), "near-best")
+    losers = attach(live.select("id", "spot"), best, "spot", "n")
+    return losers.filter(F.struct("w_at", "winner") < F.struct("spot.at", "id")).select("id", "winner")
 
 
 def flatten(articles: DataFrame) -> DataFrame:
@@ -102,18 +159,37 @@ def collision_plan(articles: DataFrame, canonical: Column) -> DataFrame:
     return live.join(groups, live["new_url"] == groups["group_key"]).select("id", "new_url", "winner", (F.col("id") != F.col("winner")).alias("loses"), F.col("n").alias("group_size"))
 
 
-def hamming_histogram(fps: DataFrame, most: int = 3) -> DataFrame:
-    """distance, pairs: how many pairs of rows have fingerprints at each distance up to `most` (3 at the most).
+def hamming_histogram(fps: DataFrame, most: int = HISTOGRAM, tile: int = TILE) -> DataFrame:
+    """distance, pairs: how many pairs of rows have fingerprints at each distance up to `most`. Exact at any distance.
 
-    Distinct fingerprints meet in the bands; equal ones are counted from their multiplicity, not paired.
+    Distinct fingerprints are dealt into tiles; each two tiles are a piece of work of their own, in which exclusive-or and
+    bit counts run in numpy, and give one row for each distance. Equal fingerprints are counted from their multiplicity.
+    What is compared grows with the square of the distinct fingerprints, as a histogram of all pairs has to.
     """
-    distinct = fps.filter(F.col("simhash").isNotNull()).groupBy("simhash").agg(F.count("*").alias("n"))
-    cut = distinct.withColumn("b", F.explode(bands(F.col("simhash")))).select("simhash", "n", "b.band", "b.bits")
-    other = cut.select(F.col("simhash").alias("s2"), F.col("n").alias("n2"), "band", "bits")
-    met = cut.join(other, ["band", "bits"]).filter(F.col("simhash") < F.col("s2"))
-    near = met.select("simhash", "s2", (F.col("n") * F.col("n2")).alias("pairs"), distance(F.col("simhash"), F.col("s2")).alias("distance")).filter(F.col("distance") <= most).dropDuplicates(["simhash", "s2"])
+    distinct = store(fps.filter(F.col("simhash").isNotNull()).groupBy("simhash").agg(F.count("*").alias("n")), "distinct-fingerprints")
+    tiles = max(1, -(-distinct.count() // tile))
+    dealt = distinct.select(F.pmod(F.xxhash64("simhash"), F.lit(tiles)).alias("t"), "simhash", "n")
+    blocks = store(dealt.groupBy("t").agg(F.collect_list("simhash").alias("f"), F.collect_list("n").alias("w")), "fingerprint-tiles")
+    left = blocks.select("t", F.col("f").alias("f1"), F.col("w").alias("w1"), F.explode(F.sequence(F.col("t"), F.lit(tiles - 1).cast("long"))).alias("t2"))
+    right = blocks.select(F.col("t").alias("t2"), F.col("f").alias("f2"), F.col("w").alias("w2"))
+    met = left.join(right, "t2").select("f1", "w1", "f2", "w2", (F.col("t") == F.col("t2")).alias("same"))
+    near = met.mapInArrow(_distances, "distance int, pairs long").filter(F.col("distance") <= most)
     same = distinct.select(F.lit(0).alias("distance"), F.expr("n * (n - 1) div 2").alias("pairs")).filter("pairs > 0")
-    return near.select("distance", "pairs").unionByName(same).groupBy("distance").agg(F.sum("pairs").alias("pairs"))
+    return near.unionByName(same).groupBy("distance").agg(F.sum("pairs").alias("pairs"))
+
+
+def _distances(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+    for batch in batches:
+        total = np.zeros(65, np.int64)
+        for r in range(batch.num_rows):
+            f1, w1, f2, w2 = (np.asarray(batch.column(k)[r].values.to_numpy(zero_copy_only=False)) for k in range(4))
+            same = batch.column(4)[r].as_py()
+            for i in range(len(f1)):
+                other, weight = (f2[i + 1 :], w2[i + 1 :]) if same else (f2, w2)
+                far = np.bitwise_count((other ^ f1[i]).view(np.uint64))
+                total += (np.bincount(far, weight, 65) * w1[i]).astype(np.int64)
+        some = np.flatnonzero(total)
+        yield pa.RecordBatch.from_arrays([pa.array(some.astype(np.int32)), pa.array(total[some])], ["distance", "pairs"])
 
 
 def duplicate_keys(df: DataFrame, *keys: str) -> DataFrame:

@@ -117,7 +117,7 @@ ORACLE_SQL: dict[str, str] = {
     "dedup_exact_windows": f"WITH {_BODIES} SELECT id, first_value(id) OVER (PARTITION BY content_hash ORDER BY published_at, id) AS first_id, count(*) OVER (PARTITION BY content_hash)::BIGINT AS group_size FROM hashed WHERE content_hash IS NOT NULL",
     "simhash_fingerprint": f"WITH {_BODIES}, {_SIMHASH} SELECT id, simhash FROM prints",
     "dedup_near_pairs": f"WITH {_BODIES}, {_SIMHASH}, n AS ({_NEAR.format('prints')}) SELECT loser, winner, distance FROM n",
-    "hamming_histogram": f"WITH {_BODIES}, {_SIMHASH} SELECT bit_count(xor(a.simhash, b.simhash))::INTEGER AS distance, count(*)::BIGINT AS pairs FROM prints a JOIN prints b ON a.id < b.id AND bit_count(xor(a.simhash, b.simhash)) <= 3 GROUP BY 1",
+    "hamming_histogram": f"WITH {_BODIES}, {_SIMHASH} SELECT bit_count(xor(a.simhash, b.simhash))::INTEGER AS distance, count(*)::BIGINT AS pairs FROM prints a JOIN prints b ON a.id < b.id AND bit_count(xor(a.simhash, b.simhash)) <= 20 GROUP BY 1",
     "dedup_sweep": f"""WITH {_BODIES}, {_SIMHASH}, x AS (SELECT id, first_value(id) OVER (PARTITION BY content_hash ORDER BY published_at, id) AS winner FROM prints WHERE content_hash IS NOT NULL),
         exact AS (SELECT id, winner FROM x WHERE id <> winner), rest AS (SELECT * FROM prints WHERE id NOT IN (SELECT id FROM exact)), n AS ({_NEAR.format('rest')}),
         d AS (SELECT id, winner FROM exact UNION ALL SELECT loser, arg_min(winner, (winner_at, winner)) FROM n GROUP BY loser)

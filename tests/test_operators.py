@@ -120,16 +120,33 @@ def test_near_pairs_equal_brute_force_and_plan_an_equi_join(spark):
     assert "NestedLoop" not in plan and "Cartesian" not in plan
 
 
-def test_hamming_histogram(spark):
+@pytest.mark.parametrize("tile", [7, 4096])
+def test_hamming_histogram(spark, tile):
     rows = [(None if r[4] is None else r[4],) for r in random_articles(3, 150)]
     fps = [r[0] for r in rows if r[0] is not None]
     want = {}
     for i, a in enumerate(fps):
         for b in fps[:i]:
             d = ((a ^ b) & (2**64 - 1)).bit_count()
-            if d <= 3:
-                want[d] = want.get(d, 0) + 1
-    assert {r["distance"]: r["pairs"] for r in dedup.hamming_histogram(spark.createDataFrame(rows, "simhash long")).collect()} == want
+            want[d] = want.get(d, 0) + 1
+    for most in (dedup.HISTOGRAM, 64):
+        got = dedup.hamming_histogram(spark.createDataFrame(rows, "simhash long"), most, tile).collect()
+        assert {r["distance"]: r["pairs"] for r in got} == {d: n for d, n in want.items() if d <= most}
+
+
+def test_ten_thousand_near_copies_in_one_window(spark):
+    """Each row loses to the first one of its 48 hours; as pairs these would be 50 million."""
+    rows = [(i, T0 + timedelta(seconds=17 * i), "published", None, 1 << (i % 3) if i % 2 else 0, None) for i in range(10_000)]
+    got = {r["id"]: r["winner"] for r in dedup.near_winners(spark.createDataFrame(rows, ARTICLE)).collect()}
+    first = lambda i: next(k for k in range(max(0, i - 48 * 3600 // 17 - 1), i + 1) if 17 * (i - k) < 48 * 3600)
+    assert got == {i: first(i) for i in range(1, 10_000)}
+
+
+def test_hot_hash_and_null_rows(spark):
+    rows = [(i, T0, "published", "h" if i % 2 else None, None, None) for i in range(4000)] + [(9999, None, "published", "h", None, None)]
+    got = {r["id"]: r["winner"] for r in dedup.exact_winners(spark.createDataFrame(rows, ARTICLE)).collect()}
+    assert len(got) == 2000 and set(got.values()) == {9999}  # a row without a date comes first
+    assert dedup.exact_winners(spark.createDataFrame([], ARTICLE)).count() == 0 and dedup.near_winners(spark.createDataFrame([], ARTICLE)).count() == 0
 
 
 # ---------------------------------------------------------------- feed
