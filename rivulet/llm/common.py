@@ -12,8 +12,7 @@ from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 from pyspark.sql.types import DataType, StructField, StructType
 
-#: No key that holds a smaller share of the rows counts as hot; so at most this many keys are hot, whatever the data.
-MAX_HOT_KEYS = 1000
+from ..operators.skew import attach
 
 
 def worker_cache() -> dict:
@@ -21,6 +20,9 @@ def worker_cache() -> dict:
     return sys.__dict__.setdefault("_rivulet_cache", {})
 
 
+#: Rows that may share one copy of a large row in spread_join().
+SHARE = 1000
+
 #: Rows of an Arrow batch where whole texts go to Python: a few MB each, in the JVM's direct memory and in the worker.
 BATCH_ROWS = 1000
 
@@ -61,23 +63,28 @@ def materialise(df: DataFrame, label: str) -> DataFrame:
     return spark.read.schema(df.schema).parquet(path)
 
 
-def attach(left: DataFrame, right: DataFrame, key: str, weight: str) -> DataFrame:
-    """Inner join of left with right, which has each key of left once and in `weight` its number of rows in left.
+def spread_joins(left: DataFrame, right: DataFrame, key: str, sides: dict[str, str], share: int = SHARE) -> DataFrame:
+    """left (small rows, a written table) joined with the large rows of right (which has each key once) for each of sides.
 
-    Keys with over 1/1000 of all rows are at most 1000 by count, so their rows of right can be broadcast; their rows of
-    left stay where they are. All other keys are joined by Spark's own choice. Both frames are read twice; hand in
-    written tables. Rows of left with a null key find nothing.
+    sides: column of left -> prefix that the other columns of right get. Nothing is broadcast but numbers: a key with more
+    than `share` rows in left gets a copy of its row of right for each such share, among which its rows of left are dealt.
     """
-    total = right.agg(F.sum(weight).alias("n")).first()["n"] or 0
-    right_all = right.drop(weight)
-    hot = right.filter(F.col(weight) * MAX_HOT_KEYS > F.lit(total)).drop(weight)
-    hot_part = left.join(F.broadcast(hot), key, "inner")
-    rest = left.join(F.broadcast(hot.select(key)), key, "left_anti").join(right_all, key, "inner")
-    return hot_part.unionByName(rest)
+    dealt = left
+    need = {}
+    for side in sides:
+        often = left.groupBy(side).agg(F.count("*").alias("n"))
+        need[side] = materialise(often.withColumn(f"_{side}", F.ceil(F.col("n") / share).cast("int")), "join-counts")
+        dealt = attach(dealt, need[side], side, "n").withColumn(f"_{side}", F.pmod(F.xxhash64(*left.columns), F.col(f"_{side}")).cast("int"))
+    dealt = materialise(dealt, "join-dealt")
+    for side, prefix in sides.items():
+        own = right.select(F.col(key).alias(side), *[F.col(c).alias(f"{prefix}{c}") for c in right.columns if c != key])
+        copies = own.join(need[side].drop("n"), side).withColumn(f"_{side}", F.explode(F.sequence(F.lit(0), F.col(f"_{side}") - 1)))
+        dealt = dealt.join(copies, [side, f"_{side}"])
+    return dealt.drop(*[f"_{side}" for side in sides])
 
 
 def _follow(p: DataFrame) -> DataFrame:
-    """node, parent of the parent, and the parent before."""
+    """node, parent of the parent, and the parent before. A parent of very many nodes is split by AQE's skew join."""
     up = p.select(F.col("node").alias("before"), F.col("parent").alias("next"))
     return p.select("node", F.col("parent").alias("before")).join(up, "before").select("node", F.col("next").alias("parent"), "before")
 

@@ -406,6 +406,8 @@ def test_vector_odd_rows(spark, tile):
 def test_pipeline_equals_its_plain_version(spark, sf):
     import corpus_pipeline as cp
 
+    from tests.llm.test_near_copies import plain_kept
+
     docs = spark.read.parquet(f"{sf}/documents.parquet")
     model = langid.train(docs)
     rows = sorted((r for r in docs.collect()), key=lambda r: r["doc_id"])
@@ -413,8 +415,8 @@ def test_pipeline_equals_its_plain_version(spark, sf):
     rows = [r for r, g, b in zip(rows, lang, bits, strict=True) if g != "und" and b <= langid.MAX_BITS]
     first = cp.language(spark, docs, sf)
     assert first.columns == docs.columns and sorted(r["doc_id"] for r in first.collect()) == [r["doc_id"] for r in rows]
-    comp = plain_simhash([(r["doc_id"], r["text"]) for r in rows], words=5)
-    keep = {d for d, _, c in comp if d == c}
+    # similarity 0.8 of five-word shingles, by all pairs
+    keep = set(plain_kept([(r["doc_id"], r["text"]) for r in rows]))
     second = cp.near_duplicates(spark, first, sf)
     assert second.columns == docs.columns and {r["doc_id"] for r in second.collect()} == keep
     third = cp.secrets(spark, second, sf)
