@@ -7,10 +7,11 @@ fails; that is what the text functions and the extractor need of an HTML parser.
 from __future__ import annotations
 
 import re
-from collections import defaultdict
-from collections.abc import Iterator
+from collections import Counter
+from collections.abc import Callable, Iterator
 from html.parser import HTMLParser
 
+import numpy as np
 import pyarrow as pa
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
@@ -45,6 +46,11 @@ MIN_BLOCK, MIN_ARTICLE, MAX_LINKS, MAIN_SHARE = 25, 200, 0.5, 0.4
 LEVELS = (1.0, 0.5, 0.25)
 
 
+#: What str.split() takes as white space, and what a text loses.
+_SPACE = np.array([chr(c).isspace() for c in range(0x3001)] + [False])
+_GONE = ("\u200b", "\u00ad")
+
+
 class Node:
     __slots__ = ("tag", "attrs", "children", "parent")
 
@@ -52,25 +58,6 @@ class Node:
         self.tag, self.attrs, self.parent = tag, attrs or {}, parent
         self.children: list[Node | str] = []
 
-    def walk(self) -> Iterator[Node]:
-        """All elements below, in document order, without recursion."""
-        stack = [c for c in reversed(self.children) if isinstance(c, Node)]
-        while stack:
-            n = stack.pop()
-            yield n
-            stack.extend(c for c in reversed(n.children) if isinstance(c, Node))
-
-    def remove(self) -> None:
-        if self.parent is not None:
-            self.parent.children = [c for c in self.parent.children if c is not self]
-            self.parent = None
-
-    def attached(self) -> bool:
-        n = self
-        while n.parent is not None:
-            n = n.parent
-        return n.tag == "#document"
-
     def raw_text(self) -> str:
         out: list[str] = []
         stack: list[Node | str] = [self]
@@ -113,6 +100,7 @@ class _Builder(HTMLParser):
         super().__init__(convert_charrefs=True)
         self.root = Node("#document")
         self.open = [self.root]
+        self.count: Counter[str] = Counter()  # open elements by tag, so that an end tag without a start costs nothing
 
     def handle_starttag(self, tag: str, attrs: list) -> None:
         for old, by in CLOSED_BY.items():
@@ -122,6 +110,7 @@ class _Builder(HTMLParser):
         self.open[-1].children.append(node)
         if tag not in VOID:
             self.open.append(node)
+            self.count[tag] += 1
 
     def handle_startendtag(self, tag: str, attrs: list) -> None:
         self.handle_starttag(tag, attrs)  # a slash means nothing in HTML, but for void elements
@@ -133,8 +122,11 @@ class _Builder(HTMLParser):
             self._close(tag, frozenset())
 
     def _close(self, tag: str, scope: frozenset[str]) -> None:
+        if not self.count[tag]:
+            return
         for k in range(len(self.open) - 1, 0, -1):
             if self.open[k].tag == tag:
+                self.count.subtract(n.tag for n in self.open[k:])
                 del self.open[k:]
                 return
             if self.open[k].tag in scope:
@@ -168,73 +160,147 @@ def normalize(html: str | None) -> str:
     return " ".join(text_of(html).translate({ord(c): None for c in ZERO_WIDTH}).split())
 
 
+class Layout:
+    """The elements of a tree in document order and what their texts measure, from sums over the text of the whole page.
+
+    The text of an element is one stretch of the page's text, so its length with white space folded is the visible
+    characters of the stretch and a space between each two words: differences of running sums. One pass, whatever the depth.
+    """
+
+    def __init__(self, root: Node) -> None:
+        self.nodes: list[Node] = []
+        up, first, last, end = [], [], [], []
+        pieces: list[str] = []
+        at = 0
+        stack: list[tuple[Node | str, int]] = [(root, -1)]
+        while stack:
+            n, above = stack.pop()
+            if isinstance(n, int):  # the end of element n
+                if self.nodes[n].tag in BLOCK:
+                    pieces.append(" ")
+                    at += 1
+                last[n], end[n] = at, len(self.nodes)
+            elif isinstance(n, str):
+                for c in _GONE:
+                    n = n.replace(c, "")
+                pieces.append(n)
+                at += len(n)
+            else:
+                k = len(self.nodes)
+                self.nodes.append(n)
+                up.append(above)
+                first.append(at)
+                last.append(at)
+                end.append(k + 1)
+                if n.tag in BLOCK:
+                    pieces.append(" ")
+                    at += 1
+                stack.append((k, above))
+                if n.tag not in ("script", "style"):
+                    stack.extend((c, k) for c in reversed(n.children))
+        self.up, self.end = np.array(up), np.array(end)
+        first, last = np.array(first), np.array(last)
+        code = np.frombuffer("".join(pieces).encode("utf-32-le", "surrogatepass"), np.uint32)
+        seen = ~_SPACE[np.minimum(code, len(_SPACE) - 1)]
+        starts = seen & ~np.concatenate([[False], seen[:-1]])
+        total = lambda x: np.concatenate([[0], np.cumsum(x)])
+        seen_sum, start_sum, comma_sum = total(seen), total(starts), total((code == 0x2C) | (code == 0xFF0C))
+        within = np.append(seen & ~starts, False)  # a word that began before the stretch is a word of it, too
+        words = start_sum[last] - start_sum[first] + ((last > first) & within[np.minimum(first, len(within) - 1)])
+        self.length = seen_sum[last] - seen_sum[first] + np.maximum(words - 1, 0)
+        self.commas = comma_sum[last] - comma_sum[first]
+        linked = total(np.where(np.fromiter((n.tag == "a" for n in self.nodes), bool, len(self.nodes)), self.length, 0))
+        inside = linked[self.end] - linked[np.arange(len(self.nodes))]
+        self.density = np.where(self.length > 0, np.minimum(inside / np.maximum(self.length, 1), 1.0), 1.0)
+
+    def inside(self, tag: str) -> np.ndarray:
+        """Which elements lie in an element of a tag, or are one."""
+        opened = _marks(self, lambda n: n.tag == tag)
+        depth = np.bincount(np.flatnonzero(opened), minlength=len(self.nodes) + 1) - np.bincount(self.end[opened], minlength=len(self.nodes) + 1)
+        return np.cumsum(depth)[:-1] > 0
+
+    def prune(self, junk: np.ndarray) -> Layout:
+        """The layout without the marked elements and all that is in them; the tree changes with it."""
+        if not junk.any():
+            return self
+        gone = {id(self.nodes[k]) for k in np.flatnonzero(junk)}
+        for k in {*self.up[junk].tolist()} - {-1}:
+            self.nodes[k].children = [c for c in self.nodes[k].children if id(c) not in gone]
+        return Layout(self.nodes[0])
+
+
 def link_density(node: Node) -> float:
-    """The share of an element's text that is inside links; 1 without text."""
-    total = len(node.text())
-    if not total:
-        return 1.0
-    return min(1.0, max(0.0, sum(len(n.text()) for n in node.walk() if n.tag == "a") / total))
-
-
-def _strip(doc: Node) -> None:
-    for n in list(doc.walk()):
-        inside = n.tag == "figcaption" and any(p.tag == "figure" for p in _ancestors(n))
-        if n.tag in JUNK_TAGS or n.attrs.get("aria-hidden", "").lower() == "true" or inside:
-            n.remove()
-    page = max(1, len(doc.text()))
+    """The share of an element's text that is inside links, its own included if it is one; 1 without text."""
+    return float(Layout(node).density[0])
+
+
+def _without_junk(page: Layout) -> Layout:
+    """The page without what is never article text: by tag, then by the words of class and id.
+
+    A name is believed only of elements with less than MAIN_SHARE of the page's text, and never of html and body. Names are
+    looked at twice, as elements may have mattered only beside what went first.
+    """
+    captions = _marks(page, lambda n: n.tag == "figcaption") & page.inside("figure")
+    page = page.prune(captions | _marks(page, lambda n: n.tag in JUNK_TAGS or n.attrs.get("aria-hidden", "").lower() == "true"))
+    whole = max(1, int(page.length[0]))
     for _ in range(2):
-        named = [n for n in doc.walk() if n.tag not in ("html", "body") and ("class" in n.attrs or "id" in n.attrs)]
-        junk = [n for n in named if (JUNK_ATTR.search(n.attrs.get("class", "")) or JUNK_ATTR.search(n.attrs.get("id", ""))) and len(n.text()) / page < MAIN_SHARE]
-        for n in junk:
-            n.remove()
+        small = page.length / whole < MAIN_SHARE
+        page = page.prune(small & _marks(page, _named_junk))
+    return page
 
 
-def _ancestors(node: Node) -> Iterator[Node]:
-    while node.parent is not None and node.parent.tag != "#document":
-        node = node.parent
-        yield node
+def _marks(page: Layout, rule: Callable[[Node], bool]) -> np.ndarray:
+    return np.fromiter(map(rule, page.nodes), bool, len(page.nodes))
 
 
-def _is_prose(n: Node) -> bool:
-    return n.tag in ("p", "pre", "blockquote", "td") or (n.tag == "div" and n.parent is not None and n.parent.tag in ("li", "article"))
+def _named_junk(n: Node) -> bool:
+    return n.tag not in ("html", "body") and any(JUNK_ATTR.search(n.attrs[a]) for a in ("class", "id") if a in n.attrs)
 
 
-def extract(html: str | None) -> tuple[str, str, str, float] | None:
-    """text, markup, method and link density of the main content of a page; null if there is none worth keeping.
+def _main(page: Layout) -> tuple[int, str] | None:
+    """The element that holds the article, and by which rule.
 
-    Prose blocks score by length and commas and hand their score to three ancestors, halved at each level; the best
-    ancestor by score and lack of links is the content, or else the first article, main or role=main.
+    Blocks of prose are worth 1, their commas, and up to 3 for their length. That value rises to three levels of elements
+    above, by the weights of LEVELS; the element with the most of it that isn't in links wins, and of equal ones the one
+    that a block reached first. Without any, it is the first article or main element.
     """
+    tags = np.array([n.tag for n in page.nodes])
+    parent = np.where(page.up < 0, "", tags[page.up])
+    prose = np.isin(tags, ("p", "pre", "blockquote", "td")) | ((tags == "div") & np.isin(parent, ("li", "article")))
+    blocks = np.flatnonzero(prose & (page.length >= MIN_BLOCK))
+    value = 1.0 + page.commas[blocks] + np.minimum(page.length[blocks] / 100.0, 3.0)
+    score, reached = np.zeros(len(tags)), np.full(len(tags), np.iinfo(np.int64).max)
+    at, rank = blocks, np.arange(len(blocks)) * len(LEVELS)
+    for level, weight in enumerate(LEVELS):
+        at = page.up[at]
+        on = at > 0  # the document itself holds everything and competes with nothing
+        at, value, rank = at[on], value[on], rank[on]
+        np.add.at(score, at, value * weight)
+        np.minimum.at(reached, at, rank + level)
+    worth = np.where((score > 0) & (page.density <= MAX_LINKS), score * (1 - page.density), -1.0)
+    if len(worth) and worth.max() >= 0:
+        best = np.flatnonzero(worth == worth.max())
+        return int(best[reached[best].argmin()]), "readability"
+    for k, n in enumerate(page.nodes):
+        if n.tag in ("article", "main") or n.attrs.get("role") == "main":
+            return k, "semantic-fallback"
+    return None
+
+
+def extract(html: str | None) -> tuple[str, str, str, float] | None:
+    """text, markup, method and link density of the main content of a page; null if there is none worth keeping."""
     if not html:
         return None
     try:
-        doc = parse(html)
+        page = _without_junk(Layout(parse(html)))
     except (AssertionError, ValueError):
         return None
-    _strip(doc)
-    scores: dict[Node, float] = defaultdict(float)
-    for block in doc.walk():
-        if _is_prose(block):
-            text = block.text()
-            if len(text) >= MIN_BLOCK:
-                value = 1.0 + text.count(",") + text.count("，") + min(len(text) / 100.0, 3.0)
-                for up, weight in zip(_ancestors(block), LEVELS, strict=False):
-                    scores[up] += value * weight
-    best, method, most = None, "readability", float("-inf")
-    for n, s in scores.items():
-        density = link_density(n)
-        if density <= MAX_LINKS and s * (1 - density) > most:
-            best, most = n, s * (1 - density)
-    if best is None:
-        method = "semantic-fallback"
-        best = next((n for n in doc.walk() if n.tag in ("article", "main") or n.attrs.get("role") == "main"), None)
-    if best is None:
+    found = _main(page)
+    if found is None:
         return None
-    markup = best.html()
+    markup = page.nodes[found[0]].html()
     text = normalize(markup)
-    if len(text) < MIN_ARTICLE:
-        return None
-    return text, markup, method, link_density(best)
+    return (text, markup, found[1], float(page.density[found[0]])) if len(text) >= MIN_ARTICLE else None
 
 
 def decode(body: bytes) -> str:

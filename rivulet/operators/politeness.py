@@ -2,9 +2,6 @@
 
 from __future__ import annotations
 
-import re
-
-import pyarrow as pa
 from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
 
@@ -16,70 +13,77 @@ DEFAULT_GAP = 3.0
 RULES = "struct<allows:array<string>,disallows:array<string>,crawl_delay:double,matched_agent:string>"
 
 
-def parse_robots(body: str, agent: str) -> dict:
-    """The rules of a robots file for one agent.
+def _stripped(c: Column) -> Column:
+    return F.regexp_replace(c, r"^\s+|\s+$", "")
+
+
+def parse_robots(files: DataFrame, agent: str) -> DataFrame:
+    """key, rules of files (key, body; each once): the rules of robots files for one agent, as RFC 9309 groups them.
 
-    Agents on consecutive lines share what follows; a group may come in several places; rules before any agent count for
-    nobody. The group of the agent's own name wins, then `*`, else everything is allowed. Empty values say nothing.
+    A group is one or more consecutive user-agent lines and the rules up to the next such line; rules before any agent are
+    nobody's. All groups that name the agent count together, else all groups of `*`, else everything is allowed. Empty
+    values say nothing; of several delays the last one counts. Each file is numbered, grouped and gathered by itself.
     """
-    groups: dict[str, list[tuple[str, str]]] = {}
-    members: list[str] = []
-    naming = False
-    for line in body[:MAX_CHARS].splitlines():
-        field, sep, value = line.split("#", 1)[0].strip().partition(":")
-        field, value = field.strip().lower(), value.strip()
-        if not sep or not field:
-            continue
-        if field == "user-agent":
-            members = [*members, value.lower()] if naming else [value.lower()]
-            groups.setdefault(value.lower(), [])
-        elif field in ("allow", "disallow", "crawl-delay"):
-            for m in members:
-                groups[m].append((field, value))
-        naming = field == "user-agent"
-    name = next((n for n in (agent.lower(), "*") if n in groups), None)
-    if name is None:
-        return {"allows": [], "disallows": [], "crawl_delay": None, "matched_agent": None}
-    own = groups[name]
-    delay = next((v for f, v in reversed(own) if f == "crawl-delay"), None)
-    return {
-        "allows": [v for f, v in own if f == "allow" and v],
-        "disallows": [v for f, v in own if f == "disallow" and v],
-        "crawl_delay": float(delay) if delay and re.fullmatch(r"[+-]?(\d+\.?\d*|\.\d+)([eE][+-]?\d+)?", delay) else None,
-        "matched_agent": name,
-    }
+    lines = files.select("key", F.posexplode(F.split(F.left("body", F.lit(MAX_CHARS)), r"\r\n|\r|\n")).alias("at", "line"))
+    cut = F.split(F.regexp_replace("line", "#.*$", ""), ":", 2)
+    pairs = lines.select("key", "at", F.lower(_stripped(cut[0])).alias("field"), _stripped(F.get(cut, F.lit(1))).alias("value")).filter("value is not null and field <> ''")
+    # one shuffle: all windows and the gathering are by file
+    file = Window.partitionBy("key")
+    names = F.col("field") == "user-agent"
+    before = F.lag(names, 1, False).over(file.orderBy("at"))
+    grouped = pairs.withColumn("first", (names & ~before).cast("int")).withColumn("group", F.sum("first").over(file.orderBy("at").rowsBetween(Window.unboundedPreceding, 0)))
+    called = F.when(names, F.when(F.lower("value") == agent.lower(), 0).when(F.col("value") == "*", 1))
+    ranked = grouped.withColumn("called", called).withColumn("best", F.min("called").over(file))
+    ours = ranked.withColumn("ours", F.max(F.coalesce(F.col("called") == F.col("best"), F.lit(False))).over(Window.partitionBy("key", "group")))
+    rule = lambda field: F.transform(F.array_sort(F.collect_list(F.when(F.col("ours") & (F.col("field") == field) & (F.col("value") != ""), F.struct("at", "value")))), lambda r: r["value"])
+    delay = F.max(F.when(F.col("ours") & (F.col("field") == "crawl-delay"), F.struct("at", "value")))["value"]
+    seconds = F.when(delay.rlike(r"^[+-]?(\d+\.?\d*|\.\d+)([eE][+-]?\d+)?$"), delay.cast("double"))
+    name = F.when(F.min("best") == 0, F.lit(agent.lower())).when(F.min("best") == 1, F.lit("*"))
+    rules = F.struct(rule("allow").alias("allows"), rule("disallow").alias("disallows"), seconds.alias("crawl_delay"), name.alias("matched_agent"))
+    return ours.groupBy("key").agg(rules.alias("rules"))
 
 
 def with_rules(robots: DataFrame, agent: str) -> DataFrame:
     """robots (origin, http_status, body, fetched_at) with rules, and expires_at.
 
-    2xx: the rules of the file. 4xx: everything is allowed. Other answers, or none: nothing is, for half an hour.
+    2xx: the rules of the file. 4xx: everything is allowed. Other answers, or none: nothing is, for half an hour. Files
+    with the same text, as many hosts have, are read once.
     """
-    kind = pa.struct([("allows", pa.list_(pa.string())), ("disallows", pa.list_(pa.string())), ("crawl_delay", pa.float64()), ("matched_agent", pa.string())])
-
-    @F.arrow_udf(RULES)
-    def parse(body: pa.Array) -> pa.Array:
-        return pa.array([parse_robots(x.as_py() or "", agent) for x in body], kind)
-
-    ok, open_ = F.col("http_status").between(200, 299), F.col("http_status").between(400, 499)
+    ok, open_ = F.coalesce(F.col("http_status").between(200, 299), F.lit(False)), F.coalesce(F.col("http_status").between(400, 499), F.lit(False))
+    keyed = robots.withColumn("_key", F.when(ok, F.sha2("body", 256)))  # lines and joins carry the hash, not the file
+    files = parse_robots(keyed.filter("_key is not null").groupBy(F.col("_key").alias("key")).agg(F.first("body").alias("body")), agent)
     free = F.from_json(F.lit('{"allows":[],"disallows":[]}'), RULES)
     closed = F.from_json(F.lit('{"allows":[],"disallows":["/"]}'), RULES)
-    answered = F.coalesce(ok | open_, F.lit(False))
-    ttl = F.when(answered, SUCCESS_TTL).otherwise(FAILURE_TTL)
-    return robots.withColumn("rules", F.when(F.coalesce(ok, F.lit(False)), parse(F.col("body"))).when(F.coalesce(open_, F.lit(False)), free).otherwise(closed)).withColumn("expires_at", F.col("fetched_at") + F.make_dt_interval(secs=ttl.cast("decimal(18,6)")))
+    ttl = F.when(ok | open_, SUCCESS_TTL).otherwise(FAILURE_TTL)
+    known = keyed.join(files.select(F.col("key").alias("_key"), F.col("rules").cast(RULES).alias("_rules")), "_key", "left").drop("_key")
+    chosen = F.when(ok, F.coalesce("_rules", free)).when(open_, free).otherwise(closed)
+    return known.withColumn("rules", chosen).drop("_rules").withColumn("expires_at", F.col("fetched_at") + F.make_dt_interval(secs=ttl.cast("decimal(18,6)")))
 
 
-def pattern_to_regex(pattern: Column) -> Column:
-    """A robots pattern as a regular expression for a path: a prefix, * for anything, $ at the end for the end."""
+def matches(pattern: Column, path: Column) -> Column:
+    """Whether a robots pattern matches a path: a prefix, * for anything, $ at the end for the end.
+
+    The stretches between the stars are looked for one after another, each at its first place behind the one before; that
+    finds a match if there is any, in one walk along the path.
+    """
     anchored = pattern.endswith("$")
-    body = F.when(anchored, F.left(pattern, F.length(pattern) - 1)).otherwise(pattern)
-    escaped = F.regexp_replace(body, r"([\\.\[\]{}()+?^$|])", r"\\$1")
-    return F.concat(F.lit("(?s)^"), F.replace(escaped, F.lit("*"), F.lit(".*")), F.when(anchored, "$").otherwise(""))
+    parts = F.split(F.when(anchored, F.left(pattern, F.length(pattern) - 1)).otherwise(pattern), r"\*")
+    head, n = parts[0], F.size(parts)
+    tail = F.element_at(parts, -1)
+    between = F.slice(parts, 2, F.greatest(F.when(anchored, n - 2).otherwise(n - 1), F.lit(0)))
+
+    def behind(at: Column, part: Column) -> Column:
+        found = F.call_function("locate", part, path, at)
+        return F.when((at == 0) | (part == ""), at).when(found == 0, 0).otherwise(found + F.length(part))
+
+    reached = F.aggregate(between, F.when(path.startswith(head), F.length(head) + 1).otherwise(0), behind)
+    ends = path.endswith(tail) & (F.length(path) - F.length(tail) + 1 >= reached)
+    return F.when(anchored & (n == 1), path == head).otherwise((reached > 0) & (~anchored | ends))
 
 
 def longest_match(patterns: Column, path: Column) -> Column:
     """The length of the longest pattern that matches, or -1."""
-    hit = F.filter(patterns, lambda p: (p != "") & F.regexp(path, pattern_to_regex(p)))
+    hit = F.filter(patterns, lambda p: (p != "") & matches(p, path))
     return F.coalesce(F.array_max(F.transform(hit, lambda p: F.length(p))), F.lit(-1))
 
 

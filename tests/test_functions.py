@@ -1,6 +1,7 @@
 """Scalar functions: URLs, texts, fingerprints, HTML."""
 
 import random
+import time
 
 import pytest
 from pyspark.sql import functions as F
@@ -181,6 +182,23 @@ def test_extract_refuses_link_lists_and_short_pages():
     assert html.extract("") is None and html.extract(None) is None and html.extract("\x00<<<") is None
 
 
+def test_extract_takes_linear_time_on_large_pages():
+    """A deep page, unclosed junk and stray end tags; eight times the size takes about eight times as long."""
+    shapes = ("<div><p>some words of prose here, that are long enough to count ", "</i><b>x<p class=menu>", "<div><a>t</a></span>")
+    for shape in shapes:
+        took = []
+        for mb in (1, 8):
+            began = time.time()
+            html.extract(shape * (mb * 2**20 // len(shape)))
+            took.append(time.time() - began)
+        assert took[0] < 10 and took[1] < 16 * max(took[0], 0.5), (shape, took)
+
+
+def test_a_candidate_that_is_a_link_is_all_link():
+    inside = " ".join(f"<p>Words of number {i}, long enough to count as prose in a page of its own.</p>" for i in range(9))
+    assert html.extract(f"<html><body><a href='/x'>{inside}</a></body></html>") is None
+
+
 def test_extract_falls_back_to_the_article_element():
     body = "no paragraph here but a long run of text without any block inside " * 10
     assert html.extract(f"<html><body><article>{body}</article></body></html>")[2] == "semantic-fallback"

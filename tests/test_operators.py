@@ -3,6 +3,7 @@
 import gzip
 import random
 import threading
+import time
 from datetime import datetime, timedelta
 from http.server import BaseHTTPRequestHandler, HTTPServer
 
@@ -212,17 +213,29 @@ Crawl-delay: x
 """
 
 
-def test_robots_groups():
-    assert politeness.parse_robots(ROBOTS, "A")["disallows"] == ["/"] and politeness.parse_robots(ROBOTS, "a")["crawl_delay"] == 2.0
-    b = politeness.parse_robots(ROBOTS, "b")
+def test_robots_groups(spark):
+    files = spark.createDataFrame([("https://a", 200, ROBOTS, T0), ("https://b", 200, ROBOTS, T0), ("https://c", 200, "", T0), ("https://d", 200, None, T0), ("https://e", None, None, T0)], "origin string, http_status int, body string, fetched_at timestamp_ntz")
+
+    def rules(agent):
+        return {r["origin"][-1]: r["rules"] for r in politeness.with_rules(files, agent).collect()}
+
+    assert rules("A")["a"]["disallows"] == ["/"] and rules("a")["b"]["crawl_delay"] == 2.0
+    b = rules("b")["a"]
     assert b["allows"] == ["/ok"] and b["crawl_delay"] is None and b["matched_agent"] == "b"
-    other = politeness.parse_robots(ROBOTS, "other")
-    assert other["matched_agent"] == "*" and other["disallows"] == []
-    assert politeness.parse_robots("", "x")["matched_agent"] is None
+    other = rules("other")
+    assert other["a"]["matched_agent"] == "*" and other["a"]["disallows"] == []
+    assert other["c"]["matched_agent"] is None and other["d"]["disallows"] == [] and other["e"]["disallows"] == ["/"]
+
+
+def test_robots_match_takes_linear_time(spark):
+    """Many stars against a long path that almost matches: a backtracking matcher would not come back."""
+    df = spark.createDataFrame([("/" + "*a" * 200 + "*b", "/" + "a" * 20_000)], "p string, path string")
+    began = time.time()
+    assert df.select(politeness.longest_match(F.array("p"), F.col("path"))).first()[0] == -1 and time.time() - began < 20
 
 
 def test_robots_patterns(spark):
-    cases = [("/a", "/abc", True), ("/a$", "/abc", False), ("/a$", "/a", True), ("/*.pdf$", "/x/y.pdf", True), ("/*.pdf$", "/x/y.pdf?z", False), ("/a*c", "/abbbc/d", True), ("/a.b", "/aXb", False), ("/(x)+[y]", "/(x)+[y]z", True), ("", "/", False)]
+    cases = [("/a", "/abc", True), ("/a$", "/abc", False), ("/a$", "/a", True), ("/*.pdf$", "/x/y.pdf", True), ("/*.pdf$", "/x/y.pdf?z", False), ("/a*c", "/abbbc/d", True), ("/a.b", "/aXb", False), ("/a*b*$", "/axb/c", True), ("/*aa$", "/aaa", True), ("*", "/", True), ("/a*a$", "/a", False), ("/x*y*z$", "/xyzz", True), ("/(x)+[y]", "/(x)+[y]z", True), ("", "/", False)]
     df = spark.createDataFrame(cases, "p string, path string, want boolean")
     got = df.select((politeness.longest_match(F.array("p"), F.col("path")) >= 0).alias("got"), "want", "p").collect()
     assert all(r["got"] == r["want"] for r in got), got
