@@ -12,6 +12,7 @@ from __future__ import annotations
 
 import ipaddress
 import re
+from bisect import bisect_left
 from collections.abc import Iterator
 
 import pyarrow as pa
@@ -138,12 +139,16 @@ def find(text: str | None, keep: float = 0.5) -> tuple[list[Span], list[Span], l
     if not text:
         return [], [], []
     base = base_spans(text)
-    taken = sorted((a, b) for _, a, b in base)
+    own = sorted((a, b) for _, a, b in base)
+    starts, reach = [a for a, _ in own], []  # the furthest end of the base spans up to each one
+    for _, b in own:
+        reach.append(max(b, reach[-1]) if reach else b)
     spans, scores = list(base), [score(text, s) for s in base]
     if _has_digit(text):
         for s in _more(text):
             v = score(text, s)
-            if v >= keep and not any(a < s[2] and s[1] < b for a, b in taken):
+            k = bisect_left(starts, s[2])  # base spans that begin before this one ends
+            if v >= keep and not (k and reach[k - 1] > s[1]):
                 spans.append(s)
                 scores.append(v)
     return base, spans, scores
@@ -162,8 +167,10 @@ SCHEMA = "doc_id long, spans array<struct<kind:string,start:long,end:long,score:
 def detect(docs: DataFrame, keep: float = 0.5, with_text: bool = True) -> DataFrame:
     """doc_id, spans and the redacted text of docs (doc_id, text).
 
-    Null text has no spans and stays null; doc_id may be null; repeated rows give repeated rows; an empty table gives no
-    rows; other columns are ignored. with_text=False leaves redacted null.
+    Null text has no spans and stays null, empty text has none; texts of any length are searched whole, in time that grows
+    with their length; doc_id may be null; repeated rows give repeated rows; there are no ties, as each row is looked at by
+    itself; an empty table gives no rows; other columns, whatever their names, are ignored. with_text=False leaves redacted
+    null.
     """
 
     def work(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:

@@ -21,7 +21,7 @@ def _docs(spark: SparkSession, sf_dir: str) -> DataFrame:
 
 
 def op1_pii(spark: SparkSession, sf_dir: str) -> DataFrame:
-    return spans.digest(pii.detect(_docs(spark, sf_dir), with_text=False), pii.BASE, pii.BASE + pii.MORE)
+    return spans.digest(pii.detect(_docs(spark, sf_dir), with_text=False), pii.BASE, pii.BASE + pii.MORE, "score")
 
 
 def op2_chat(spark: SparkSession, sf_dir: str) -> DataFrame:
@@ -45,7 +45,7 @@ def op5_packing(spark: SparkSession, sf_dir: str) -> DataFrame:
 
 
 def op6_secrets(spark: SparkSession, sf_dir: str) -> DataFrame:
-    return spans.digest(secretscan.detect(_docs(spark, sf_dir), with_text=False), secretscan.BASE, secretscan.ORDER)
+    return spans.digest(secretscan.detect(_docs(spark, sf_dir), with_text=False), secretscan.BASE, secretscan.ORDER, "cost")
 
 
 def op7_topk(spark: SparkSession, sf_dir: str) -> DataFrame:

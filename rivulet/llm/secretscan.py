@@ -2,19 +2,23 @@
 
 Base kinds (assign, access, hex) follow their contract exactly and always stay. The further kind `credential` is the
 whole value after a credential word (those of assign, pwd, passphrase, client_secret, ...), or inside a URL's user part, if guessing it
-costs at least 10^MIN_LOG10 tries. The cost is a dynamic program over the value: the cheapest segmentation into
+costs at least 10^MIN_LOG10 tries. The cost is a dynamic program over the whole value, however long: the cheapest
+segmentation into
   words         rank in WORDS, any spelling in case or with common digit-for-letter swaps
   dates         1900 to 2029 with or without separators
-  repeats       one unit of 1 to 4 characters, over and over
-  keyboard      walks along neighbouring keys of one row or column, and runs of the alphabet or of digits
+  repeats       one unit of 1 to 4 characters, over and over, as far as it goes
+  keyboard      walks along neighbouring keys, and runs of the alphabet or of digits, as far as they go
   brute force   as many tries as the class of characters has, for each character
-A segmentation of k segments costs k! times the product of the segments' costs, as its order has to be guessed too.
+The costs of the segments are multiplied, and each segment after the first costs KINDS more, as its kind has to be guessed
+too. So the program has no table of segment counts, and its time grows with the length of the value alone. It runs from the end
+of the value, and so gives the cost of every later start in the same stretch of text at once.
 """
 
 from __future__ import annotations
 
 import math
 import re
+from bisect import bisect_right
 from collections.abc import Iterator
 
 import pyarrow as pa
@@ -28,18 +32,22 @@ BASE = ("assign", "access", "hex")
 MORE = ("credential",)
 ORDER = BASE + MORE
 MIN_LOG10 = 8.0
-#: A value is scored by the dynamic program up to this length; longer ones cost more than MIN_LOG10 unless one unit repeats,
-#: and are scored window by window, each window by itself.
-WINDOW = 64
+#: Kinds of segments that a guesser chooses from.
+KINDS = 5
 
 _ASSIGN = re.compile(r"""(password|passwd|secret|token|api_?key)["']?\x20*[:=]\x20*["']?([A-Za-z0-9+/_.=-]+)""", re.I | re.A)
 _ACCESS = re.compile(r"AKIA[A-Z0-9]+")
 _HEX = re.compile(r"[0-9a-f]{24,}")
 _CONTEXT = re.compile(r"password|passwd|secret|token|api_?key|pwd|pass|passphrase|passcode|pin|credentials?|auth|bearer|private_?key|access_?key|secret_?key|client_?secret|auth_?token", re.I | re.A)
-_KEYWORD = re.compile(rf"""(?<![A-Za-z0-9])(?:{_CONTEXT.pattern})["']?\x20*(?:[:=]|=>|\x20)\x20*["']?([!-&(-~]{{6,}})""", re.I | re.A)
-_URL = re.compile(r"[a-z][a-z0-9+.-]{1,15}://[^\s:/@]+:([^\s/@]{6,})@")
+#: A credential word, what parts it from its value, and the first six characters of that. Possessive, so that no run of
+#: blanks is gone through twice.
+_KEYWORD = re.compile(rf"""(?<![A-Za-z0-9])(?:{_CONTEXT.pattern})["']?(?P<gap>\x20*+(?:(?:=>|[:=])\x20*+|(?<=\x20)))["']?(?P<value>[!-&(-~]{{6}})""", re.I | re.A)
+_BEHIND = re.compile(r"[^!-&(-~]")
+_URL = re.compile(r"[a-z][a-z0-9+.-]{1,15}://[^\s:/@]+:(?P<value>[^\s/@]{6,})@")
 _QUOTE = re.compile(r'''(?<!\\)"''')
-_PLACEHOLDER = re.compile(r"(?i)^(?:\$\{.*|<.*>|\{\{.*|%\(?.*|\*+|x+|\.+|none|null|true|false|undefined|change_?me|your_.*|example.*)$")
+_TRAIL = frozenset("\"'`,;.)]}>")
+_PLACEHOLDER = re.compile(r"\$\{|\{\{|%|your_|example", re.I)
+_PLACEHOLDERS = re.compile(r"none|null|true|false|undefined|change_?me", re.I)
 
 # fixed values: common words of guessed passwords, most common first
 WORDS = (
@@ -72,69 +80,64 @@ def _brute(c: str) -> float:
     return math.log10(10 if c.isdigit() else 26 if c.isalpha() else 33)
 
 
-def _window_cost(s: str) -> float:
-    """log10 of the guesses for one window."""
+def _case(own: str) -> int:
+    """In how many ways as common as this one a word is written in large and small letters."""
+    if own.islower() or not any(c.isalpha() for c in own):
+        return 1
+    return 2 if own.isupper() or own.istitle() else 2 ** sum(c.isupper() for c in own)
+
+
+def suffix_costs(s: str) -> list[float]:
+    """log10 of the guesses for s[i:], for each i."""
     n, low = len(s), s.lower()
+    if len(low) != n:  # a character whose small form is two
+        low = "".join(c.lower() if len(c.lower()) == 1 else c for c in s)
     plain = low.translate(_SWAPS)
-    edges: list[list[tuple[int, float]]] = [[] for _ in range(n)]  # from start: (end, log10 cost)
-    for i in range(n):
+    join, key, turn = math.log10(KINDS), math.log10(47), math.log10(4) / 2
+    best = [0.0] * (n + 1)
+    then = [0.0] * (n + 1)  # what follows a segment that ends here
+    brute = 0.0  # the cheapest way from here that begins inside a brute-force segment
+    same = [0, 0, 0, 0]  # how far each character equals the one 1, 2, 3, 4 places behind it
+    walk = turns = up = down = 0  # steps of a walk along keys, its turns, steps of runs
+    last = None  # the step that a walk from the next character begins with
+    for i in range(n - 1, -1, -1):
+        brute = _brute(s[i]) + (min(brute, then[i + 1]) if i + 1 < n else 0.0)
+        cost = brute
         for j in range(i + 2, min(n, i + _LONGEST) + 1):
             rank = _RANK.get(low[i:j]) or (_RANK.get(plain[i:j], 0) * 4)
             if rank:
-                own = s[i:j]
-                case = 1 if own.islower() or not any(c.isalpha() for c in own) else 2 if own.isupper() or own.istitle() else 2 ** min(sum(c.isupper() for c in own), 10)
-                edges[i].append((j, math.log10(rank * case)))
-        if m := _DATE.match(s, i):
-            edges[i].append((m.end(), math.log10(130 if m.end() - i == 4 else DAYS * (4 if m[1] or m[2] else 1))))
+                cost = min(cost, math.log10(rank * _case(s[i:j])) + then[j])
+        if s[i].isdigit():
+            for j in range(i + 4, min(n, i + 10) + 1):
+                if m := _DATE.fullmatch(s, i, j):
+                    cost = min(cost, math.log10(130 if j - i == 4 else DAYS * (4 if m[1] or m[2] else 1)) + then[j])
         for unit in range(1, 5):
-            j = i + unit
-            while j + unit <= n and s[j : j + unit] == s[i : i + unit]:
-                j += unit
-            times = (j - i) // unit
+            same[unit - 1] = same[unit - 1] + 1 if i + unit < n and s[i] == s[i + unit] else 0
+            times = same[unit - 1] // unit + 1
             if times >= (3 if unit == 1 else 2):
-                edges[i].append((j, sum(map(_brute, s[i : i + unit])) + math.log10(times)))
-        j, turns, last = i + 1, 0, None
-        while j < n and low[j] in _NEXT.get(low[j - 1], ()):
-            step = ord(low[j]) - ord(low[j - 1])
-            turns += step != last
-            last, j = step, j + 1
-        if j - i >= 3:
-            edges[i].append((j, math.log10(47 * (j - i)) + min(turns, j - i) * math.log10(4) / 2))
-        for step in (1, -1):
-            j = i + 1
-            while j < n and ord(low[j]) - ord(low[j - 1]) == step and low[j].isalnum():
-                j += 1
-            if j - i >= 3:
-                edges[i].append((j, math.log10(36 * (j - i) * (1 if step == 1 else 2))))
-    # best[k][i]: cheapest way to the start i with k segments; a run of brute force is one segment
-    most = min(n, 12)
-    inf = math.inf
-    best = [[inf] * (n + 1) for _ in range(most + 1)]
-    best[0][0] = 0.0
-    sums = [0.0]
-    for c in s:
-        sums.append(sums[-1] + _brute(c))
-    for k in range(most):
-        run = inf  # the cheapest best[k][i] - sums[i] so far: brute force from i to here
-        for i in range(n + 1):
-            if i and run + sums[i] < best[k + 1][i]:
-                best[k + 1][i] = run + sums[i]
-            here = best[k][i]
-            if here < inf:
-                run = min(run, here - sums[i])
-                if i < n:
-                    for j, cost in edges[i]:
-                        if here + cost < best[k + 1][j]:
-                            best[k + 1][j] = here + cost
-    return min(best[k][n] + math.log10(math.factorial(k)) for k in range(1, most + 1)) if n else 0.0
+                cost = min(cost, sum(map(_brute, s[i : i + unit])) + math.log10(times) + then[i + unit * times])
+        step = ord(low[i + 1]) - ord(low[i]) if i + 1 < n else 0
+        if i + 1 < n and low[i + 1] in _NEXT.get(low[i], ()):
+            turns = turns + (step != last) if walk else 1
+            walk, last = walk + 1, step
+        else:
+            walk = turns = 0
+        if walk >= 2:
+            cost = min(cost, key + math.log10(walk + 1) + min(turns, walk + 1) * turn + then[i + walk + 1])
+        plain_step = i + 1 < n and low[i + 1].isalnum()
+        up = up + 1 if plain_step and step == 1 else 0
+        down = down + 1 if plain_step and step == -1 else 0
+        for run, ways in ((up, 36), (down, 72)):
+            if run >= 2:
+                cost = min(cost, math.log10(ways * (run + 1)) + then[i + run + 1])
+        best[i] = cost
+        then[i] = join + cost
+    return best
 
 
 def guess_cost(value: str) -> float:
-    """log10 of the number of guesses for a value. Long values are the sum of their windows, equal windows once."""
-    if len(value) <= WINDOW:
-        return _window_cost(value)
-    parts = [value[i : i + WINDOW] for i in range(0, len(value), WINDOW)]
-    return sum(_window_cost(p) for p in dict.fromkeys(parts))
+    """log10 of the number of guesses for a value; 0 for an empty one."""
+    return suffix_costs(value)[0]
 
 
 def base_spans(text: str) -> list[Span]:
@@ -150,18 +153,48 @@ def _worth(text: str) -> bool:
     return ":" in text or "=" in text
 
 
-def _scored(text: str, m: re.Match) -> tuple[int, int, float] | None:
-    """start, end and cost of the value of a match, if it costs enough."""
-    value = m[1]
-    if text[m.start(1) - 1] == '"':
-        value = _QUOTE.split(value, maxsplit=1)[0]  # a quoted value ends at its quote
-    value = value.rstrip("\"'`,;.)]}>")
-    if len(value) < 6 or _PLACEHOLDER.match(value) or _CONTEXT.fullmatch(value) or "://" in value:
-        return None
-    if m.re is _KEYWORD and not any(c.isdigit() for c in value) and not re.search(r"[:=]", m.group()[: m.start(1) - m.start()]):
-        return None  # "pass something" in prose
-    cost = guess_cost(value)
-    return (m.start(1), m.start(1) + len(value), cost) if cost >= MIN_LOG10 else None
+class _Values:
+    """Ends and costs of values of one text. What two values share is looked at once, so that any text takes linear time."""
+
+    def __init__(self, text: str) -> None:
+        self.text = text
+        self.run_end = self.scheme = -1
+        self.start = self.end = 0
+        self.costs: list[float] = [0.0]
+
+    def whole(self, start: int) -> int:
+        """Where the stretch of value characters ends."""
+        if start >= self.run_end:
+            m = _BEHIND.search(self.text, start)
+            self.run_end = m.start() if m else len(self.text)
+        return self.run_end
+
+    def has_address(self, start: int, end: int) -> bool:
+        if 0 <= self.scheme < start or self.scheme < 0:
+            at = self.text.find("://", start)
+            self.scheme = at if at >= 0 else len(self.text)
+        return self.scheme + 3 <= end
+
+    def cost(self, start: int, end: int) -> float:
+        if end != self.end or start < self.start:
+            self.start, self.end, self.costs = start, end, suffix_costs(self.text[start:end])
+        return self.costs[start - self.start]
+
+    def scored(self, start: int, end: int, said: bool) -> tuple[int, int, float] | None:
+        """start, end and cost of a value, if it costs enough. said: a colon or the like says that it is one."""
+        text = self.text
+        if text[start - 1] == '"' and (m := _QUOTE.search(text, start, end)):
+            end = m.start()  # a quoted value ends at its quote
+        while end > start and text[end - 1] in _TRAIL:
+            end -= 1
+        if end - start < 6 or _PLACEHOLDER.match(text, start, end) or _PLACEHOLDERS.fullmatch(text, start, end) or _CONTEXT.fullmatch(text, start, end):
+            return None
+        if self.has_address(start, end) or (text[start] == "<" and text[end : end + 1] == ">"):
+            return None
+        if not said and not any(c.isdigit() for c in text[start:end]):
+            return None  # "pass something" in prose
+        cost = self.cost(start, end)
+        return (start, end, cost) if cost >= MIN_LOG10 else None
 
 
 def credentials(text: str) -> list[tuple[int, int, float]]:
@@ -169,33 +202,42 @@ def credentials(text: str) -> list[tuple[int, int, float]]:
 
     After a value that is not taken the search goes on at its start, so that "auth: bearer ..." finds what follows.
     """
-    out, at = [], 0
+    out, at, values = [], 0, _Values(text)
     while m := _KEYWORD.search(text, at):
-        one = _scored(text, m)
-        at = one[1] if one else m.start(1)
+        start = m.start("value")
+        one = values.scored(start, values.whole(start), bool(m["gap"].strip()))
+        at = one[1] if one else start
         if one:
             out.append(one)
     if "://" in text:
-        out += filter(None, (_scored(text, m) for m in _URL.finditer(text)))
+        values = _Values(text)
+        for m in _URL.finditer(text):
+            if one := values.scored(m.start("value"), m.end("value"), True):
+                out.append(one)
     return out
 
 
-def find(text: str | None) -> tuple[list[Span], list[Span], list[float | None]]:
-    """base spans; all spans; for each the log10 guess cost of its value."""
+def find(text: str | None) -> tuple[list[Span], list[Span], list[float]]:
+    """base spans; all spans, the base ones first; for each the log10 guess cost of its value.
+
+    A credential that lies in a base span or in another credential is left out.
+    """
     if not text:
         return [], [], []
     base = base_spans(text)
-    costs: list[float | None] = []
-    for kind, a, b in base:
-        value = _ASSIGN.match(text, a, b)[2] if kind == "assign" else text[a:b]
-        costs.append(guess_cost(value[: 4 * WINDOW]) if len(value) <= 4 * WINDOW else guess_cost(value))
+    costs = [guess_cost(_ASSIGN.match(text, a, b)[2] if kind == "assign" else text[a:b]) for kind, a, b in base]
     spans = list(base)
-    taken = [(a, b) for _, a, b in base]
-    for a, b, cost in credentials(text):
-        if not any(x <= a and b <= y for x, y in taken):
+    own = sorted((a, b) for _, a, b in base)
+    starts, reach = [a for a, _ in own], []  # the furthest end of the base spans up to each one
+    for _, b in own:
+        reach.append(max(b, reach[-1]) if reach else b)
+    furthest = -1
+    for a, b, cost in sorted(credentials(text), key=lambda c: (c[0], -c[1])):
+        k = bisect_right(starts, a)
+        if b > furthest and not (k and reach[k - 1] >= b):
             spans.append(("credential", a, b))
-            taken.append((a, b))
             costs.append(cost)
+            furthest = b
     return base, spans, costs
 
 
@@ -211,8 +253,10 @@ def _structs(text: str | None) -> list[dict]:
 def detect(docs: DataFrame, with_text: bool = True) -> DataFrame:
     """doc_id, spans and the redacted text of docs (doc_id, text).
 
-    Null text has no spans and stays null; doc_id may be null; repeated rows give repeated rows; an empty table gives no
-    rows; other columns are ignored. with_text=False leaves redacted null.
+    Null text has no spans and stays null, empty text has none; texts and values of any length are searched whole, in time
+    that grows with their length; doc_id may be null; repeated rows give repeated rows; there are no ties, as each row is
+    looked at by itself; an empty table gives no rows; other columns, whatever their names, are ignored. with_text=False
+    leaves redacted null.
     """
 
     def work(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
@@ -232,7 +276,8 @@ def detect(docs: DataFrame, with_text: bool = True) -> DataFrame:
 def redact_documents(docs: DataFrame) -> DataFrame:
     """docs with every secret replaced by [SECRET] in text, and n_chars, where there is such a column, counted anew.
 
-    All rows and columns stay; rows without secrets stay as they are.
+    All rows and columns stay, whatever their names; rows without secrets, with null or with empty text stay as they are.
+    Repeated rows are redacted alike; texts of any length are searched whole; an empty table gives no rows.
     """
     names = docs.columns
     at = names.index("text")

@@ -29,6 +29,12 @@ def test_long_values_are_taken_whole():
     assert clean(f"head: Bearer {long} end") == "head: Bearer [SECRET] end"
     assert credentials(f"https://{make(90)}:{long}@host/x") == [long]
     assert credentials(f"pwd: {long * 30}") == [long * 30]
+    for n in (400, 5000):
+        value = make(n)
+        for text in (f"Authorization: Bearer {value} x", f'client_secret="{value}#!" x', f"passphrase: {value.lower()} x", f"db://{make(80)}:{value}@h x"):
+            left = clean(text)
+            assert "[SECRET]" in left and not any(value[k : k + 20] in left or value.lower()[k : k + 20] in left for k in range(0, n - 20)), left[:200]
+    assert credentials("passphrase: qxzvwkjhbnmrtplk") == ["qxzvwkjhbnmrtplk"]
 
 
 def test_longer_credentials_stay_beside_base_spans():
