@@ -27,11 +27,17 @@ SHARE = 1000
 BATCH_ROWS = 1000
 
 
+#: Bytes of an Arrow batch: very long texts, or lists, come a few at a time.
+BATCH_BYTES = 16 << 20
+
+
 def small_batches(df: DataFrame) -> None:
-    """Lower the session's Arrow batch size to BATCH_ROWS, if it is larger."""
-    conf, key = df.sparkSession.conf, "spark.sql.execution.arrow.maxRecordsPerBatch"
-    if not 0 < int(conf.get(key)) <= BATCH_ROWS:
-        conf.set(key, BATCH_ROWS)
+    """Lower the session's Arrow batches to BATCH_ROWS and BATCH_BYTES, if they are larger. Results are lazy, so it stays so."""
+    conf, rows, size = df.sparkSession.conf, "spark.sql.execution.arrow.maxRecordsPerBatch", "spark.sql.execution.arrow.maxBytesPerBatch"
+    if not 0 < int(conf.get(rows)) <= BATCH_ROWS:
+        conf.set(rows, BATCH_ROWS)
+    if df.sparkSession._jsparkSession.sessionState().conf().arrowMaxBytesPerBatch() > BATCH_BYTES:
+        conf.set(size, BATCH_BYTES)
 
 
 def shared_dir(spark: SparkSession) -> str:
