@@ -21,13 +21,14 @@ from .common import attach, connected_components, materialise, plus, small_batch
 WORDS = 3
 SEED = 42
 RADIUS = 3
-TILE = 4096
+#: Fingerprints of a tile, 512 KB: of every two tiles that may be near one is copied to the other.
+TILE = 65536
 #: Class code: quarter counts to the base 17.
 BASE = (1, 17, 289, 4913)
 #: Files of a table whose size has a bound.
 BOUNDED = 4
 #: Rows of a tile compared with another tile at once; bounds the working memory at 8 TILE bytes times this.
-ROWS = 256
+ROWS = 64
 #: Hashes whose bits are counted at once.
 CHUNK = 1 << 16
 
@@ -132,10 +133,14 @@ def links(fps: DataFrame, radius: int = RADIUS, tile: int = TILE) -> DataFrame:
     own = F.array(*[F.struct(*[F.lit(d).alias(f"d{k}") for k, d in enumerate(s)]) for s in _steps(radius)])
     near = F.filter(own, lambda s: _all(*[(digit(F.col("cls"), k) + s[f"d{k}"]).between(0, 16) for k in range(4)]))
     to = F.transform(near, lambda s: F.col("cls") + sum(s[f"d{k}"] * BASE[k] for k in range(4)))
-    pairs = count.select("cls", F.explode(to).alias("to")).join(F.broadcast(count.select(F.col("cls").alias("to"))), "to", "left_semi")
-    pairs = materialise(pairs.coalesce(BOUNDED), "simhash-class-pairs").groupBy("cls").agg(F.collect_list("to").alias("to"))
-    left = tiles.join(pairs, "cls").select(F.col("cls").alias("a_cls"), F.col("tile").alias("a_tile"), F.col("fps").alias("a"), F.explode("to").alias("cls"))
-    met = left.join(tiles, "cls").filter((F.col("a_cls") != F.col("cls")) | (F.col("a_tile") <= F.col("tile")))
+    parts = count.select(F.col("cls").alias("to"), F.ceil(F.col("n") / tile).alias("parts"))
+    pairs = count.select("cls", F.explode(to).alias("to")).join(F.broadcast(parts), "to")
+    pairs = materialise(pairs.coalesce(BOUNDED), "simhash-class-pairs").groupBy("cls").agg(F.collect_list(F.struct("to", "parts")).alias("to"))
+    # each two tiles are a key of their own tile: no class, however full, meets in one task
+    left = tiles.join(pairs, "cls").select(F.col("cls").alias("a_cls"), F.col("tile").alias("a_tile"), F.col("fps").alias("a"), F.explode("to").alias("to"))
+    first = F.when(F.col("a_cls") == F.col("to.to"), F.col("a_tile")).otherwise(F.lit(0).cast("long"))
+    left = left.select("a_cls", "a_tile", "a", F.col("to.to").alias("cls"), F.explode(F.sequence(first, F.col("to.parts") - 1)).alias("tile"))
+    met = left.join(tiles, ["cls", "tile"])
     met = met.select("a", F.col("fps").alias("b"), ((F.col("a_cls") == F.col("cls")) & (F.col("a_tile") == F.col("tile"))).alias("same"))
     return met.mapInArrow(lambda it: _compare(it, radius), "a long, b long")
 
