@@ -11,6 +11,7 @@ from __future__ import annotations
 
 import re
 import uuid
+from collections import Counter
 from collections.abc import Iterator
 
 import numpy as np
@@ -18,7 +19,7 @@ import pyarrow as pa
 from pyspark.sql import DataFrame, Window
 from pyspark.sql import functions as F
 
-from .common import small_batches, worker_cache
+from .common import materialise, small_batches, worker_cache
 
 ORDER = 3
 #: The bounded training sample: so many labelled documents of each language, the first in order of a hash of their ids,
@@ -27,6 +28,8 @@ SAMPLE_DOCS = 300
 SAMPLE_CHARS = 20_000
 #: The sample is gathered from so many shares by hash, each of which gives four times its part at most.
 SALTS = 64
+#: So many languages are learned at most, those with most rows in the sample's shares, by name where they tie.
+LANGS = 256
 #: A text is rejected as not in any learned language if its best code takes more bits a byte than this.
 MAX_BITS = 6.5
 #: The score is the posterior of the language for a stretch of so many bytes of average code length.
@@ -195,29 +198,42 @@ def held_out():
     return F.coalesce(F.crc32(F.col("doc_id").cast("string").cast("binary")) % 4 == 2, F.lit(False))
 
 
-def train(docs: DataFrame, sample_docs: int = SAMPLE_DOCS, sample_chars: int = SAMPLE_CHARS) -> Model:
-    """Fit on the bounded sample (see SAMPLE_DOCS) of docs (doc_id, text, lang) that are not held out.
+def sample(docs: DataFrame, sample_docs: int = SAMPLE_DOCS, sample_chars: int = SAMPLE_CHARS, langs: int = LANGS) -> dict[str, list[str]]:
+    """The bounded sample (see SAMPLE_DOCS, LANGS) of docs (doc_id, text, lang) that are not held out, by language.
 
-    The sample is chosen by ids alone, in two steps so that a language with most rows is not gathered in one task; only
-    its texts, at most sample_docs x sample_chars characters for each language, come to the driver. Empty texts and texts
-    without a letter are not learned.
+    It is chosen by ids alone: each of SALTS shares by hash of a language gives its first ids, so that a language with most
+    rows is not gathered in one task; of those, whose number is bounded by the sample, the driver takes the first. Only
+    their texts, at most sample_docs x sample_chars characters for each language, come to the driver. Empty texts and
+    texts without a letter are not learned.
     """
     rows = docs.select(F.col("doc_id").cast("long").alias("doc_id"), F.col("text").cast("string").alias("text"), F.col("lang").cast("string").alias("lang"))
     fit = rows.filter(F.col("lang").isNotNull() & ~held_out() & F.col("doc_id").isNotNull() & (F.length("text") <= sample_chars) & F.col("text").rlike(r"\p{L}"))
-    keys = fit.select("lang", "doc_id", F.xxhash64("doc_id").alias("h"))
-    part = keys.withColumn("salt", F.pmod(F.col("h"), F.lit(SALTS)))
-    part = part.withColumn("k", F.row_number().over(Window.partitionBy("lang", "salt").orderBy("h", "doc_id"))).filter(F.col("k") <= -(-4 * sample_docs // SALTS))
-    pick = part.withColumn("k", F.row_number().over(Window.partitionBy("lang").orderBy("h", "doc_id"))).filter(F.col("k") <= sample_docs).select("lang", "doc_id")
-    ids = pick.collect()  # at most sample_docs for each language
-    wanted = docs.sparkSession.createDataFrame([(r["doc_id"], r["lang"]) for r in ids], "doc_id long, lang string")
+    part = fit.select("lang", "doc_id", F.xxhash64("doc_id").alias("h")).withColumn("salt", F.pmod(F.col("h"), F.lit(SALTS)))
+    order = Window.partitionBy("lang", "salt").orderBy("h", "doc_id")
+    heads = materialise(part.withColumn("k", F.row_number().over(order)).filter(F.col("k") <= -(-4 * sample_docs // SALTS)).select("lang", "h", "doc_id"), "language-heads")
+    most = heads.groupBy("lang").agg(F.count("*").alias("n")).orderBy(F.desc("n"), "lang").limit(langs)
+    by_hash = heads.join(F.broadcast(most.select("lang")), "lang", "left_semi").collect()
+    keep: set[tuple[str, int]] = set()
+    taken: Counter = Counter()
+    for r in sorted(by_hash, key=lambda r: (r["h"], r["doc_id"])):
+        if (r["lang"], r["doc_id"]) not in keep and taken[r["lang"]] < sample_docs:
+            taken[r["lang"]] += 1
+            keep.add((r["lang"], r["doc_id"]))
     samples: dict[str, list[str]] = {}
-    got = fit.join(F.broadcast(wanted.select("doc_id").distinct()), "doc_id", "left_semi").select("lang", "text", "doc_id").collect() if ids else []
-    keep = {(r["lang"], r["doc_id"]) for r in ids}
+    if not keep:
+        return samples
+    wanted = docs.sparkSession.createDataFrame(sorted({(d,) for _, d in keep}), "doc_id long")
+    got = fit.join(F.broadcast(wanted), "doc_id", "left_semi").select("lang", "text", "doc_id").collect()
     for r in sorted(got, key=lambda r: (r["lang"], r["doc_id"], r["text"])):
         own = samples.setdefault(r["lang"], [])
         if (r["lang"], r["doc_id"]) in keep and len(own) < sample_docs:
             own.append(r["text"])
-    return Model(samples)
+    return {k: v for k, v in samples.items() if v}
+
+
+def train(docs: DataFrame, sample_docs: int = SAMPLE_DOCS, sample_chars: int = SAMPLE_CHARS) -> Model:
+    """Fit on the sample() of docs."""
+    return Model(sample(docs, sample_docs, sample_chars))
 
 
 def _shared(spark, model: Model):
@@ -239,8 +255,9 @@ def _shared(spark, model: Model):
 def identify(docs: DataFrame, model: Model) -> DataFrame:
     """doc_id, held_out, lang_pred, score, bits (of the best code, a byte) of docs (doc_id, text).
 
-    Null text and text without a letter give `und` with score 0 and null bits; doc_id may be null; repeated rows give
-    repeated rows; an empty table gives no rows; other columns, lang and source among them, are ignored.
+    Null text and text without a letter, empty text among it, give `und` with score 0 and null bits; texts of any length are
+    scored whole; of languages that tie the first by name is taken; doc_id may be null; repeated rows give repeated rows; an
+    empty table gives no rows; other columns, lang and source among them, are ignored whatever their names.
     """
     get = _shared(docs.sparkSession, model)
 
@@ -257,7 +274,10 @@ def identify(docs: DataFrame, model: Model) -> DataFrame:
 
 
 def keep_identified(docs: DataFrame, model: Model, max_bits: float = MAX_BITS) -> DataFrame:
-    """The rows of docs, all columns, whose text is in a learned language: not `und`, and its best code is short enough."""
+    """The rows of docs, all columns, whose text is in a learned language: not `und`, and its best code is short enough.
+
+    Null, empty and very long texts, ties and repeated rows: as in identify(). An empty table gives no rows.
+    """
     get = _shared(docs.sparkSession, model)
     at = docs.columns.index("text")
 

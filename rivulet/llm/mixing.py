@@ -24,6 +24,7 @@ from pyspark.sql import DataFrame, Window
 from pyspark.sql import functions as F
 
 from .common import materialise, plus, small_batches
+from .tokens import Encoder
 
 #: The bounded training sample: so many labelled documents of each domain, first in order of a hash of their ids, among
 #: those of at most so many characters.
@@ -38,7 +39,9 @@ SHAPE = 8
 TARGETS = {"high": 0.6, "low": 0.35, "toxic": 0.05}
 #: The largest rate: no bound, as the method has none.
 MOST = float("inf")
-MAX_STEPS = 40
+#: The fit ends when every domain is within TOLERANCE of all tokens of its target, or when two steps move nothing any more.
+#: MAX_STEPS is a stop for the case that neither comes; the report tells what was reached.
+MAX_STEPS = 200
 TOLERANCE = 1e-4
 
 _WORD = re.compile(r"[^\W\d_]+")
@@ -123,8 +126,8 @@ class Classifier:
     def _split(text: str) -> list[str]:
         return _WORD.findall(text.lower())
 
-    def posterior(self, text: str | None) -> tuple[int, list[float]]:
-        """Tokens (words by white space, at least 1) and the posterior of each domain."""
+    def posterior(self, text: str | None) -> list[float]:
+        """The posterior of each domain."""
         text = text or ""
         words = self._split(text)
         x = self.weights[-SHAPE - 1 : -1].T @ np.array(_shape(text, words)) + self.weights[-1]
@@ -132,19 +135,23 @@ class Classifier:
         if own:
             x = x + self.weights[own].sum(axis=0)
         p = np.exp(x - x.max())
-        return max(1, len(text.split())), (p / p.sum()).tolist()
+        return (p / p.sum()).tolist()
 
 
 def train(docs: DataFrame, labelled: DataFrame, sample_docs: int = SAMPLE_DOCS, sample_chars: int = SAMPLE_CHARS) -> Classifier:
     """Fit on the bounded sample (see SAMPLE_DOCS). labelled: doc_id, domain; a doc_id with two domains counts for both.
 
-    Chosen by ids alone, in two steps so that no domain is gathered in one task; at most sample_docs texts for each
-    domain come to the driver.
+    Chosen by ids alone: each of SALTS shares by hash of a domain gives its first ids, and of those, whose number is bounded
+    by the sample, the driver takes the first; at most sample_docs texts for each domain come to the driver.
     """
     keys = labelled.distinct().withColumn("h", F.xxhash64("doc_id"))
-    part = keys.withColumn("k", F.row_number().over(Window.partitionBy("domain", F.pmod("h", F.lit(SALTS))).orderBy("h", "doc_id"))).filter(F.col("k") <= -(-4 * sample_docs // SALTS))
-    pick = part.withColumn("k", F.row_number().over(Window.partitionBy("domain").orderBy("h", "doc_id"))).filter(F.col("k") <= sample_docs)
-    ids = [(r["doc_id"], r["domain"]) for r in pick.select("doc_id", "domain").collect()]
+    order = Window.partitionBy("domain", F.pmod("h", F.lit(SALTS))).orderBy("h", "doc_id")
+    heads = keys.withColumn("k", F.row_number().over(order)).filter(F.col("k") <= -(-4 * sample_docs // SALTS)).select("domain", "h", "doc_id").collect()
+    ids, taken = [], Counter()
+    for r in sorted(heads, key=lambda r: (r["h"], r["doc_id"])):
+        taken[r["domain"]] += 1
+        if taken[r["domain"]] <= sample_docs:
+            ids.append((r["doc_id"], r["domain"]))
     if not ids:
         return Classifier([])
     wanted = docs.sparkSession.createDataFrame(ids, "doc_id long, domain string")
@@ -158,17 +165,19 @@ def train(docs: DataFrame, labelled: DataFrame, sample_docs: int = SAMPLE_DOCS,
     return Classifier(rows)
 
 
-def with_posterior(docs: DataFrame, model: Classifier) -> DataFrame:
-    """All columns of docs, and `mix_tokens` long and `mix_p` array<double> (in the order of model.domains)."""
+def with_posterior(docs: DataFrame, model: Classifier, tokenizer: str) -> DataFrame:
+    """All columns of docs, `mix_tokens` long (ids by a file of SCHEMES[False] or any other, at least 1) and `mix_p`
+    array<double> (in the order of model.domains)."""
     sent = docs.sparkSession.sparkContext.broadcast(model)
     at = docs.columns.index("text")
     schema = plus(docs, mix_tokens="long", mix_p="array<double>")
 
     def work(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         own = sent.value
+        encoder = Encoder.of(tokenizer, False)
         for batch in batches:
-            got = [own.posterior(x.as_py()) for x in batch.column(at)]
-            more = [pa.array([n for n, _ in got], pa.int64()), pa.array([p for _, p in got], pa.list_(pa.float64()))]
+            texts = batch.column(at).to_pylist()
+            more = [pa.array(np.maximum(encoder.counts(texts), 1)), pa.array([own.posterior(t) for t in texts], pa.list_(pa.float64()))]
             yield pa.RecordBatch.from_arrays([*batch.columns, *more], [*batch.schema.names, "mix_tokens", "mix_p"])
 
     small_batches(docs)
@@ -259,16 +268,17 @@ def with_rate(table: DataFrame, rates: Rates) -> DataFrame:
     return table.mapInArrow(work, plus(table, mix_rate="double")).withColumn("mix_copies", F.floor(F.col("mix_rate") + u).cast("long"))
 
 
-def mix(docs: DataFrame, labelled: DataFrame, targets: dict[str, float] = TARGETS, most: float = MOST) -> tuple[DataFrame, list[str], dict]:
+def mix(docs: DataFrame, labelled: DataFrame, tokenizer: str, targets: dict[str, float] = TARGETS, most: float = MOST) -> tuple[DataFrame, list[str], dict]:
     """doc_id, mix_tokens, mix_p, mix_rate, mix_copies of every row of docs (doc_id, text); the domains; the report of fit().
 
-    Null and empty texts count one token and get the posterior of an empty text; doc_id may be null; repeated rows are
-    rows of their own with equal rates; other columns are ignored. Without labels there is one domain, `all`, and every
-    rate is 1. An empty table gives no rows.
+    Null and empty texts count one token and get the posterior of an empty text; texts of any length are read whole;
+    doc_id may be null; repeated rows, and rows that tie in all else, are rows of their own with equal rates; other columns,
+    whatever their names, are ignored. Without labels there is one domain, `all`, and every rate is 1. An empty table gives
+    no rows.
     """
     rows = docs.select(F.col("doc_id").cast("long").alias("doc_id"), F.col("text").cast("string").alias("text"))
     model = _or_all(train(docs, labelled))
-    table = materialise(with_posterior(rows, model).drop("text"), "mix-posteriors")
+    table = materialise(with_posterior(rows, model, tokenizer).drop("text"), "mix-posteriors")
     rates, report = fit(table, model.domains, targets=targets if model.domains != ["all"] else {"all": 1.0}, most=most)
     return with_rate(table, rates), model.domains, report
 
@@ -279,12 +289,16 @@ def _or_all(model: Classifier) -> Classifier:
     return model
 
 
-def thin(docs: DataFrame, labelled: DataFrame, multiply: dict[str, float]) -> DataFrame:
-    """The rows of docs, all columns, of which each stays with its rate, at most 1; multiply: see fit()."""
+def thin(docs: DataFrame, labelled: DataFrame, tokenizer: str, multiply: dict[str, float]) -> DataFrame:
+    """The rows of docs, all columns, of which each stays with its rate, at most 1; multiply: see fit().
+
+    Null, empty and very long texts, repeated rows, ties, missing labels and empty tables: as in mix(). Rows with equal
+    doc_id stay or go together if their rates are equal. No column of docs can clash.
+    """
     names = docs.columns
     model = _or_all(train(docs, labelled))
     at = {n: f"c{i}" for i, n in enumerate(names)}
     plain = docs.toDF(*at.values()).select("*", F.col(at["text"]).cast("string").alias("text"), F.col(at["doc_id"]).alias("doc_id"))
-    table = materialise(with_posterior(plain, model).drop("text"), "mix-documents")
+    table = materialise(with_posterior(plain, model, tokenizer).drop("text"), "mix-documents")
     rates, _ = fit(table, model.domains, multiply=multiply, most=1.0)
     return with_rate(table, rates).filter("mix_copies >= 1").select(*at.values()).toDF(*names)

@@ -35,9 +35,14 @@ def op3_token_files(spark: SparkSession, sf_dir: str) -> DataFrame:
 
 def op4_mixing(spark: SparkSession, sf_dir: str) -> DataFrame:
     labelled = mixing.domain_of(spark.read.parquet(f"{sf_dir}/labels.parquet"))
-    mixed, domains, _ = mixing.mix(_docs(spark, sf_dir), labelled)
-    posterior = [F.col("mix_p")[domains.index(d)].alias(f"p_{d}") if d in domains else F.lit(None).cast("double").alias(f"p_{d}") for d in sorted(mixing.TARGETS)]
-    return mixed.select("doc_id", F.col("mix_tokens").alias("n_tokens"), *posterior, F.col("mix_rate").alias("rate"), F.col("mix_copies").alias("copies"))
+    mixed, domains, report = mixing.mix(_docs(spark, sf_dir), labelled, tokenizer("word_bpe_49k.json"))
+    of = lambda values, d: F.lit(values.get(d)).cast("double")
+    each = []
+    for d in sorted(mixing.TARGETS):
+        each.append((F.col("mix_p")[domains.index(d)] if d in domains else F.lit(None).cast("double")).alias(f"p_{d}"))
+        # what the fit aimed at and got, in expected tokens of all documents: a target that was missed shows here
+        each += [of(report["target"], d).alias(f"target_{d}"), of(report["reached"], d).alias(f"reached_{d}")]
+    return mixed.select("doc_id", F.col("mix_tokens").alias("n_tokens"), *each, F.col("mix_rate").alias("rate"), F.col("mix_copies").alias("copies"))
 
 
 def op5_packing(spark: SparkSession, sf_dir: str) -> DataFrame:

@@ -1,14 +1,15 @@
 """Tokenising with the tokenizers library, each distinct word once per Python process.
 
-Both tokenizers used here cut a text into words before any merge, and no word reaches from a visible character over
-white space into the next one. So a text of plain characters is cut at white space, each piece is encoded by the library
-once and remembered, and the ids of the pieces are put one after another. Texts with other characters, with special
-token strings or with white space in odd places are encoded whole by the library. The ids are those of the library in
-both cases; the tests compare them.
+Two schemes of tokenizer files (SCHEMES) are known to cut a text into words before any merge, and no word reaches from a
+visible character over white space into the next one. So a text of plain characters is cut at white space, each piece is
+encoded by the library once and remembered, and the ids of the pieces are put one after another. Texts with other
+characters, with special token strings or with white space in odd places are encoded whole by the library, and so is every
+text if the file follows neither scheme. The ids are those of the library in all cases; the tests compare them.
 """
 
 from __future__ import annotations
 
+import json
 import os
 import re
 from itertools import chain
@@ -25,6 +26,14 @@ ODD = re.compile("[^\t\n\r\x0b\x0c\x20-\x7e\xc0-\xd6\xd8-\xf6\xf8-įı-ɏ]")
 #: Latin-1 character of their own follow U+0142 in order of bytes; 0xAD is the last of them.
 BYTES = {b: (chr(b) if b > 0xA0 and b != 0xAD else chr(0x143) if b == 0xAD else chr(0x122 + b - 0x80)) for b in range(0x80, 0x100)}
 
+_LEVEL = {"type": "ByteLevel", "add_prefix_space": False}
+_WORDS = "'s|'t|'re|'ve|'m|'ll|'d|[\\p{L}]+|[\\p{N}]|[^\\s\\p{L}\\p{N}]+"
+#: spaced -> what a file has to say on normalising, cutting and merging for texts to be cut at white space (fixed values).
+SCHEMES = {
+    True: (None, [_LEVEL | {"use_regex": True}], None),
+    False: ([{"type": "NFC"}, {"type": "Replace", "pattern": {"Regex": "\\s+"}, "content": " "}, {"type": "Lowercase"}], [{"type": "Split", "pattern": {"Regex": _WORDS}, "behavior": "Removed", "invert": True}, _LEVEL | {"use_regex": False}], "</w>"),
+}
+
 #: Pieces remembered by each Python process; about 150 bytes each.
 MAX_PIECES = 600_000
 
@@ -54,6 +63,20 @@ class _Growing:
         self.n += len(values)
 
 
+def scheme(path: str) -> bool | None:
+    """Which of SCHEMES a tokenizer file follows; None for neither."""
+    with open(path, encoding="utf-8") as f:
+        told = json.load(f)
+
+    def steps(part: dict | None, key: str) -> list | None:
+        return None if part is None else [{k: v for k, v in p.items() if k != "trim_offsets"} for p in (part[key] if part["type"] == "Sequence" else [part])]
+
+    model = told["model"]
+    own = (steps(told.get("normalizer"), "normalizers"), steps(told.get("pre_tokenizer"), "pretokenizers"), model.get("end_of_word_suffix"))
+    plain = model.get("type") == "BPE" and not any(model.get(k) for k in ("dropout", "unk_token", "continuing_subword_prefix", "byte_fallback", "ignore_merges")) and not told.get("truncation")
+    return next((spaced for spaced, want in SCHEMES.items() if plain and own == want), None)
+
+
 class Encoder:
     """Ids of texts for one tokenizer file. `spaced`: the tokenizer keeps the space before a word (byte-level BPE)."""
 
@@ -63,6 +86,7 @@ class Encoder:
 
         self.tok = Tokenizer.from_file(path)
         self.spaced = spaced
+        self.known = scheme(path) is spaced
         self.special = [t.content for t in self.tok.get_added_tokens_decoder().values()]
         self.dtype = np.uint16 if self.tok.get_vocab_size() <= 65536 else np.uint32
         self.stops = {c: self.tok.encode(c, add_special_tokens=False).ids for c in (",", ".")}
@@ -81,7 +105,7 @@ class Encoder:
         self.flat, self.at, self.size = _Growing(self.dtype), _Growing(np.int32), _Growing(np.int32)
 
     def _plain(self, text: str) -> bool:
-        if ODD.search(text) or any(s in text for s in self.special):
+        if not self.known or ODD.search(text) or any(s in text for s in self.special):
             return False
         if not self.spaced:
             return True
@@ -124,19 +148,19 @@ class Encoder:
         self.size.extend(size)
         self.flat.extend(np.fromiter(chain.from_iterable(got), self.dtype, int(size.sum())))
 
-    def __call__(self, texts: list[str | None]) -> list[np.ndarray]:
-        """Ids of each text without special tokens; null is empty."""
-        out: list[np.ndarray] = [np.zeros(0, self.dtype)] * len(texts)
+    def _pieces(self, texts: list[str | None]) -> tuple[list[int], list[np.ndarray], dict[int, list[int]]]:
+        """Which texts are cut at white space, the numbers of their pieces, and the ids of the other texts."""
         if len(self.pieces) > MAX_PIECES:
             self._reset()
         fast: list[int] = []
         rows: list[np.ndarray] = []
+        whole: dict[int, list[int]] = {}
         get = self.pieces.__getitem__
         for i, text in enumerate(texts):
             if not text:
                 continue
             if not self._plain(text):
-                out[i] = np.asarray(self.tok.encode(text, add_special_tokens=False).ids, self.dtype)
+                whole[i] = self.tok.encode(text, add_special_tokens=False).ids
                 continue
             if self.spaced:
                 parts = text.replace("\n", " \n").split(" ")
@@ -151,6 +175,26 @@ class Encoder:
                 fast.append(i)
         if self.pieces.new:
             self._learn()
+        return fast, rows, whole
+
+    def counts(self, texts: list[str | None]) -> np.ndarray:
+        """How many ids each text has, without special tokens."""
+        out = np.zeros(len(texts), np.int64)
+        fast, rows, whole = self._pieces(texts)
+        for i, ids in whole.items():
+            out[i] = len(ids)
+        if rows:
+            size = self.size.all[np.concatenate(rows)].astype(np.int64)
+            length = np.array([len(r) for r in rows])
+            out[fast] = np.add.reduceat(size, np.cumsum(length) - length)
+        return out
+
+    def __call__(self, texts: list[str | None]) -> list[np.ndarray]:
+        """Ids of each text without special tokens; null is empty."""
+        out: list[np.ndarray] = [np.zeros(0, self.dtype)] * len(texts)
+        fast, rows, whole = self._pieces(texts)
+        for i, ids in whole.items():
+            out[i] = np.asarray(ids, self.dtype)
         if rows:
             row = np.concatenate(rows)
             size = self.size.all[row]

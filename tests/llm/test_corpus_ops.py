@@ -1,6 +1,7 @@
 """Operators on whole tables: language, SimHash, mixing, chat, top-k, vector links, the pipeline; against brute force."""
 
 import random
+import re
 import zlib
 
 import duckdb
@@ -11,6 +12,8 @@ from pyspark.sql import functions as F
 
 from rivulet.llm import chat, common, embnn, langid, mixing, queries, simhash, topk
 
+WORDS = queries.tokenizer("word_bpe_49k.json")
+
 # ---------------------------------------------------------------- components
 
 
@@ -92,6 +95,52 @@ def test_scores_do_not_depend_on_neighbours_or_chunks(monkeypatch):
     assert np.allclose(whole, m.lengths([t.encode() for t in texts]))
 
 
+def test_language_query_equals_ppm_written_out(spark, sf):
+    """Every byte of every text in every language by dictionaries over the query's own sample: language, score and ties."""
+    docs = spark.read.parquet(f"{sf}/documents.parquet")
+    sample = langid.sample(docs)
+    assert sum(map(len, sample.values())) > 50
+    counts = {}
+    for lang, texts in sample.items():
+        count = counts[lang] = {}
+        for t in texts:
+            data = b"\n" * 3 + t.encode()
+            for i in range(3, len(data)):
+                for k in range(4):
+                    c = count.setdefault(data[i - k : i], {})
+                    c[data[i]] = c.get(data[i], 0) + 1
+
+    def bits(count, gram, known):
+        if gram not in known:
+            prob, out = 1.0, set()
+            for k in (3, 2, 1, 0):
+                own = {s: n for s, n in count.get(gram[3 - k : 3], {}).items() if s not in out}
+                total = sum(own.values()) + len(own)
+                if gram[3] in own:
+                    prob *= own[gram[3]] / total
+                    break
+                if own:
+                    prob *= len(own) / total
+                out |= set(own)
+            else:
+                prob /= 256 - len(out)
+            known[gram] = -np.log2(prob)
+        return known[gram]
+
+    known = {lang: {} for lang in counts}
+    want = {}
+    for r in docs.collect():
+        data = b"\n" * 3 + (r["text"] or "").encode()
+        if not any(c.isalpha() for c in r["text"] or ""):
+            want[r["doc_id"]] = ("und", 0.0)
+            continue
+        mean = {lang: sum(bits(c, data[i - 3 : i + 1], known[lang]) for i in range(3, len(data))) / (len(data) - 3) for lang, c in counts.items()}
+        best = min(sorted(mean), key=mean.get)
+        want[r["doc_id"]] = (best, 1 / sum(2 ** ((mean[best] - m) * langid.STRETCH) for m in mean.values()))
+    for r in queries.op8_language(spark, sf).collect():
+        assert r["lang_pred"] == want[r["doc_id"]][0] and r["score"] == pytest.approx(want[r["doc_id"]][1], abs=1e-4)
+
+
 def test_language_query_on_held_out_rows(spark):
     sf = "/root/testdata/sf0.01"
     truth = {r["doc_id"]: (r["lang"], r["text"]) for r in spark.read.parquet(f"{sf}/documents.parquet").collect()}
@@ -183,7 +232,7 @@ def test_simhash_odd_rows(spark):
 def test_mixing_reaches_its_targets(spark):
     sf = "/root/testdata/sf0.01"
     labelled = mixing.domain_of(spark.read.parquet(f"{sf}/labels.parquet"))
-    mixed, domains, report = mixing.mix(spark.read.parquet(f"{sf}/documents.parquet"), labelled)
+    mixed, domains, report = mixing.mix(spark.read.parquet(f"{sf}/documents.parquet"), labelled, WORDS)
     rows = mixed.collect()
     t, p, r = (np.array([x[c] for x in rows]) for c in ("mix_tokens", "mix_p", "mix_rate"))
     assert len(rows) == 1000 and (r >= 0).all() and np.allclose(p.sum(axis=1), 1)
@@ -209,6 +258,53 @@ def test_fit_equals_dense_projected_gradient(spark):
     assert report["steps"] == len(rates.history)
 
 
+def plain_posterior(model, text):
+    """Logistic regression on the presence of words and the form of the text, written out."""
+    text = text or ""
+    words = re.findall(r"[^\W\d_]+", text.lower())
+    letters, n, m, lines = sum(len(w) for w in words), max(len(text), 1), max(len(words), 1), text.split("\n")
+    form = [np.log1p(n) / 12, letters / n, len({*words}) / m, len({*lines}) / len(lines), min(letters / m / 12, 2), min(text.count("|") / m, 1), min(sum(c in "0123456789" for c in text) / n * 4, 1), min(sum(c in ".!?" for c in text) / m * 4, 1)]
+    size = len(model.vocabulary)
+    x = np.zeros(size + len(form) + 1)
+    for w in {*words} & {*model.vocabulary}:
+        x[model.vocabulary[w]] = 1
+    x[size:-1], x[-1] = form, 1
+    z = np.exp(x @ model.weights - (x @ model.weights).max())
+    return z / z.sum()
+
+
+def test_mixing_query_equals_its_dense_version(spark, sf):
+    """Tokens by the tokenizer, posteriors written out, rates by plain projected gradient to the end, copies by the hash."""
+    from tokenizers import Tokenizer
+
+    docs = spark.read.parquet(f"{sf}/documents.parquet")
+    model = mixing.train(docs, mixing.domain_of(spark.read.parquet(f"{sf}/labels.parquet")))
+    u = F.pmod(F.xxhash64(F.col("doc_id").cast("long"), F.lit("mix")), F.lit(1 << 30)) / float(1 << 30)
+    rows = sorted(docs.select("doc_id", "text", u.alias("u")).collect())
+    tok = Tokenizer.from_file(WORDS)
+    t = np.array([max(1, len(tok.encode(r["text"] or "", add_special_tokens=False).ids)) for r in rows])
+    p = np.array([plain_posterior(model, r["text"]) for r in rows])
+    natural = t @ p
+    w = np.array([mixing.TARGETS[d] for d in model.domains])
+    goal = natural.sum() * w / w.sum()
+    r, step = np.ones(len(t)), 1 / np.linalg.eigvalsh((p * t[:, None]).T @ p / np.sqrt(np.outer(natural, natural))).max()
+    for _ in range(50_000):
+        r = np.maximum(r - step * (p @ ((p.T @ (t * r) - goal) / natural)), 0)
+    got = sorted(queries.op4_mixing(spark, sf).collect())
+    assert [x["doc_id"] for x in got] == [x["doc_id"] for x in rows] and [x["n_tokens"] for x in got] == t.tolist()
+    assert np.allclose([[x[f"p_{d}"] for d in model.domains] for x in got], p)
+    rate = np.array([x["rate"] for x in got])
+    # rates of the least squares are not unique, the totals are: both meet the targets, and one step further moves nothing
+    for own in (r, rate):
+        assert np.abs(p.T @ (t * own) - goal).max() < 2e-4 * natural.sum(), (p.T @ (t * own), goal)
+    assert np.abs(np.maximum(rate - step * (p @ ((p.T @ (t * rate) - goal) / natural)), 0) - rate).max() < 0.01
+    assert np.corrcoef(r, rate)[0, 1] > 0.98
+    assert [x["copies"] for x in got] == [int(np.floor(v + x["u"])) for v, x in zip(rate, rows, strict=True)]
+    for k, d in enumerate(model.domains):
+        assert len({x[f"target_{d}"] for x in got}) == 1 and got[0][f"target_{d}"] == pytest.approx(goal[k])
+        assert got[0][f"reached_{d}"] == pytest.approx(float(p.T[k] @ (t * rate)))
+
+
 def test_classifier_on_held_out_labels(spark):
     sf = "/root/testdata/sf0.1"
     docs = spark.read.parquet(f"{sf}/documents.parquet")
@@ -216,7 +312,7 @@ def test_classifier_on_held_out_labels(spark):
     fit, test = labels.filter("doc_id % 4 <> 2"), labels.filter("doc_id % 4 = 2")
     model = mixing.train(docs, fit)
     rows = docs.join(test, "doc_id").select("text", "domain").collect()
-    hit = [model.domains[int(np.argmax(model.posterior(r["text"])[1]))] == r["domain"] for r in rows]
+    hit = [model.domains[int(np.argmax(model.posterior(r["text"])))] == r["domain"] for r in rows]
     most = max(np.mean([r["domain"] == d for r in rows]) for d in model.domains)
     assert np.mean(hit) > most
 
@@ -224,13 +320,13 @@ def test_classifier_on_held_out_labels(spark):
 def test_mixing_odd_rows(spark):
     docs = spark.createDataFrame([(1, "good words here", "c"), (2, None, "c"), (None, "", "c"), (3, "x " * 30_000, None), (3, "x", None)], "doc_id long, text string, mix_p string")
     labels = spark.createDataFrame([(1, 1, 0), (3, 0, 0), (None, 1, 1), (2, None, 0), (3, 0, 0), (99, 1, 1)], "doc_id long, quality int, toxic int")
-    mixed, _, _ = mixing.mix(docs, mixing.domain_of(labels))
+    mixed, _, _ = mixing.mix(docs, mixing.domain_of(labels), WORDS)
     assert mixed.count() == 5
-    none, domains, _ = mixing.mix(docs, mixing.domain_of(labels.limit(0)))
+    none, domains, _ = mixing.mix(docs, mixing.domain_of(labels.limit(0)), WORDS)
     assert domains == ["all"] and {r["mix_rate"] for r in none.collect()} == {1.0}
-    kept = mixing.thin(docs, mixing.domain_of(labels.limit(0)), {"toxic": 0.0})
+    kept = mixing.thin(docs, mixing.domain_of(labels.limit(0)), WORDS, {"toxic": 0.0})
     assert kept.columns == docs.columns and kept.count() == 5
-    assert mixing.mix(docs.limit(0), mixing.domain_of(labels))[0].count() == 0
+    assert mixing.mix(docs.limit(0), mixing.domain_of(labels), WORDS)[0].count() == 0
 
 
 # ---------------------------------------------------------------- chat
