@@ -1,19 +1,22 @@
 """Operator 10: near-duplicate vectors by spherical-cap filters with structured random product codes.
 
-There are TURNS product codes, each with a random rotation of its own. A vector is normed, turned and cut into BLOCKS
-parts. Each part has CODE random unit words; a filter direction is one word of each part, so there are CODE^BLOCKS
-directions in each code. List decoding finds all whose inner product with the vector is at least CAP: partial sums are
-extended part by part and dropped once the best words of the remaining parts could not lift them to CAP. Vectors that
+There are TURNS product codes, each with a random rotation of its own. A vector is normed, turned and cut into blocks.
+Each block has random unit words; a filter direction is one word of each block, so a code of b blocks of c words has c^b
+directions. List decoding finds all whose inner product with the vector is at least the cap: partial sums are
+extended block by block and dropped once the best words of the remaining blocks could not lift them to the cap. Vectors that
 share a filter are compared exactly, in double precision. Several small codes find more than a large one, for how many
-directions of one code exceed CAP varies much from vector to vector.
+directions of one code exceed the cap varies much from vector to vector.
 
-Equal vectors are first merged into one with a multiplicity. A filter with more members than TILE is cut into groups that
-are compared two by two, so no task holds more than two groups. A pair counts only in the smallest filter that both have.
+The number of directions follows the number of vectors (level()), and the cap is set so that a random vector is in about
+FILTERS of them: so a filter has some hundred members whatever the size of the table. Equal vectors are first merged into one
+with a multiplicity. A filter with more members than TILE is cut into groups that are compared two by two, so no task holds
+more than two groups. A pair counts only in the smallest filter that both have.
 """
 
 from __future__ import annotations
 
 from collections.abc import Iterator
+from statistics import NormalDist
 
 import numpy as np
 import pyarrow as pa
@@ -25,36 +28,66 @@ from .simhash import _forest
 
 THRESHOLD = 0.95
 TURNS = 10
-BLOCKS = 2
-CODE = 40
-#: Chosen so that a vector of 64 dimensions is in some 24 of the 16,000 filters; the tests measure the recall.
-CAP = 0.37
+#: Directions of a code for up to SMALL vectors, and how many filters a random vector is in; the tests measure the recall.
+SMALL, DIRECTIONS, FILTERS = 50_000, 1600, 24
+#: No cap is narrower than this, so that two vectors at the threshold can share one; in few dimensions that takes fewer words.
+NARROW = 0.87
+#: Vectors of fewer dimensions than this for each block have fewer blocks.
+BLOCK_DIMS = 8
 SEED = 20
 TILE = 1024
 
 
+def level(n: int) -> int:
+    """How often four times the directions are needed for n vectors, so that a filter keeps its number of members."""
+    k = 0
+    while SMALL * 4**k < n:
+        k += 1
+    return k
+
+
 class Code:
-    """Rotation and words for vectors of one dimension, from a seed."""
+    """Rotation, words and cap for vectors of one dimension, from a seed."""
 
-    def __init__(self, dim: int, seed: int = SEED, blocks: int = BLOCKS, code: int = CODE, cap: float = CAP) -> None:
+    def __init__(self, dim: int, seed: int = SEED, level: int = 0) -> None:
         rng = np.random.default_rng([seed, dim])
+        blocks = max(1, min(2 if level <= 2 else 3, dim // BLOCK_DIMS))
+        self.code = round((DIRECTIONS * 4 ** min(level, 8 if blocks > 1 else 3)) ** (1 / blocks))
+        self.size = self.code**blocks
         self.turn = np.linalg.qr(rng.standard_normal((dim, dim)))[0]
-        self.cuts = np.linspace(0, dim, min(blocks, dim) + 1).astype(int)
+        self.cuts = np.linspace(0, dim, blocks + 1).astype(int)
         self.words = []
         for lo, hi in zip(self.cuts, self.cuts[1:], strict=False):
-            w = rng.standard_normal((code, hi - lo))
-            self.words.append(w / np.linalg.norm(w, axis=1, keepdims=True) / np.sqrt(len(self.cuts) - 1))
-        # the cap that the same share of random directions exceeds in `dim` as CAP does in 64 dimensions
-        self.cap = min(cap * np.sqrt(64 / dim), 0.9)
-        self.code = code
-        self.size = code ** (len(self.cuts) - 1)
+            w = rng.standard_normal((self.code, hi - lo))
+            self.words.append(w / np.linalg.norm(w, axis=1, keepdims=True) / np.sqrt(blocks))
+        # narrower caps share less, so there are more of them
+        share = FILTERS * (1 + level / 8) / TURNS
+        x = rng.standard_normal((256, dim))
+        x /= np.linalg.norm(x, axis=1, keepdims=True)
+        self.cap = self._cap(x, share)
+        if self.cap > NARROW and blocks == 1:
+            self.cap = NARROW
+            self.code = self.size = min(self.code, max(1, -(-int(share * len(x) * self.code) // len(self.decode(x)[0]))))
+            self.words = [self.words[0][: self.code]]
+
+    def _cap(self, x: np.ndarray, share: float) -> float:
+        """The cap that random vectors exceed in `share` directions of this code on average, by halving."""
+        about = NormalDist().inv_cdf(1 - share / self.size) / np.sqrt(x.shape[1])  # if products were normal
+        lo, hi = 0.6 * about, min(1.3 * about, 1.0)
+        for _ in range(12):
+            self.cap = (lo + hi) / 2
+            if len(self.decode(x)[0]) > len(x) * share:
+                lo = self.cap
+            else:
+                hi = self.cap
+        return hi
 
     @staticmethod
-    def of(dim: int) -> list[Code]:
+    def of(dim: int, level: int) -> list[Code]:
         cache = worker_cache()
-        if ("caps", dim) not in cache:
-            cache["caps", dim] = [Code(dim, SEED + turn) for turn in range(TURNS)]
-        return cache["caps", dim]
+        if ("caps", dim, level) not in cache:
+            cache["caps", dim, level] = [Code(dim, SEED + turn, level) for turn in range(TURNS)]
+        return cache["caps", dim, level]
 
     def decode(self, unit: np.ndarray) -> tuple[np.ndarray, np.ndarray]:
         """rows and filters of all pairs of a unit vector and a direction with an inner product of at least the cap.
@@ -83,12 +116,13 @@ class Code:
         return row[order], code[order]
 
 
-def decode_all(unit: np.ndarray) -> tuple[np.ndarray, np.ndarray]:
+def decode_all(unit: np.ndarray, level: int = 0) -> tuple[np.ndarray, np.ndarray]:
     """rows and filters of all codes, ascending."""
-    codes = Code.of(unit.shape[1])
+    codes = Code.of(unit.shape[1], level)
     got = [c.decode(unit) for c in codes]
     row = np.concatenate([r for r, _ in got])
-    number = np.concatenate([f + k * codes[0].size for k, (_, f) in enumerate(got)])
+    first = np.cumsum([0] + [c.size for c in codes])
+    number = np.concatenate([f + first[k] for k, (_, f) in enumerate(got)])
     order = np.lexsort((number, row))
     return row[order], number[order]
 
@@ -100,28 +134,42 @@ def valid(vector: str = "embedding"):
     return x.isNotNull() & (F.size(x) > 0) & ~F.exists(x, bad) & F.exists(x, lambda v: v != 0)
 
 
-def _units(column: pa.ListArray) -> np.ndarray:
+def _normed(flat: np.ndarray) -> np.ndarray:
     """Unit vectors in double; scaled first, so that no square overflows or vanishes."""
-    dim = column.offsets[1].as_py() - column.offsets[0].as_py()
-    flat = column.flatten().to_numpy(zero_copy_only=False).astype(np.float64).reshape(-1, dim)
+    flat = flat.astype(np.float64)
     flat = flat / np.abs(flat).max(axis=1, keepdims=True)
     return flat / np.linalg.norm(flat, axis=1, keepdims=True)
 
 
-def _decode(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-    """node, dim, embedding -> node, filters (ascending)."""
+def _bytes(flat: np.ndarray, ends: np.ndarray) -> pa.Array:
+    """Stretches of flat, up to each of ends, as binary values."""
+    offsets = np.concatenate([[0], ends * flat.itemsize]).astype(np.int32)
+    return pa.Array.from_buffers(pa.binary(), len(ends), [None, pa.py_buffer(offsets), pa.py_buffer(np.ascontiguousarray(flat))])
+
+
+def _stretches(column: pa.BinaryArray) -> tuple[np.ndarray, np.ndarray]:
+    """The bytes of all binary values one after another, and where each begins and the last one ends."""
+    offsets = np.frombuffer(column.buffers()[1], np.int32)[column.offset : column.offset + len(column) + 1].astype(np.int64)
+    return np.frombuffer(column.buffers()[2], np.uint8)[offsets[0] : offsets[-1]], offsets - offsets[0]
+
+
+def _decode(batches: Iterator[pa.RecordBatch], level: int) -> Iterator[pa.RecordBatch]:
+    """node, n, dim, embedding -> node, n, dim, vector (its bytes), filters (ascending) and marks (their bytes)."""
     for batch in batches:
-        dims = batch.column(1).to_numpy(zero_copy_only=False)
+        dims = batch.column(2).to_numpy(zero_copy_only=False)
         for dim in np.unique(dims):
             for lo in range(0, batch.num_rows, 2048):
                 piece = batch.slice(lo, 2048)
                 piece = piece.filter(pa.array(dims[lo : lo + 2048] == dim))
-                if not piece.num_rows:
+                m = piece.num_rows
+                if not m:
                     continue
-                row, code = decode_all(_units(piece.column(2)))
-                size = np.bincount(row, minlength=piece.num_rows)
-                lists = pa.ListArray.from_arrays(pa.array(np.concatenate([[0], np.cumsum(size)]).astype(np.int32)), pa.array(code.astype(np.int32)))
-                yield pa.RecordBatch.from_arrays([piece.column(0), lists], ["node", "filters"])
+                flat = piece.column(3).flatten().to_numpy(zero_copy_only=False).reshape(m, dim)
+                row, code = decode_all(_normed(flat), level)
+                ends = np.cumsum(np.bincount(row, minlength=m))
+                lists = pa.ListArray.from_arrays(pa.array(np.concatenate([[0], ends]).astype(np.int32)), pa.array(code))
+                vector = _bytes(flat.reshape(-1), np.arange(1, m + 1) * dim)
+                yield pa.RecordBatch.from_arrays([*piece.columns[:3], vector, lists, _bytes(code, ends)], ["node", "n", "dim", "vector", "filters", "marks"])
 
 
 class _Groups:
@@ -154,15 +202,18 @@ class _Groups:
 
 
 def _verify(batches: Iterator[pa.RecordBatch], threshold: float) -> Iterator[pa.RecordBatch]:
-    """Sorted rows (dim, filter, r, s, node, side, n, embedding, filters) -> degrees (a, null, n) and links (a, b, null)."""
+    """Sorted rows (dim, filter, r, s, node, side, n, vector, marks) -> degrees (a, null, n) and links (a, b, null)."""
     for table in _Groups(["dim", "filter", "r", "s"])(batches):
         if table.num_rows < 2:
             continue
         batch = table.combine_chunks().to_batches()[0]
         here = batch.column("filter")[0].as_py()
         node, side, n = (batch.column(k).to_numpy(zero_copy_only=False) for k in ("node", "side", "n"))
-        unit = _units(batch.column("embedding"))
-        offsets, flat = batch.column("filters").offsets.to_numpy(), batch.column("filters").values.to_numpy()
+        dim = batch.column("dim")[0].as_py()
+        raw, cuts = _stretches(batch.column("vector"))
+        unit = _normed(raw.view(np.float32 if cuts[1] == 4 * dim else np.float64).reshape(-1, dim))
+        raw, cuts = _stretches(batch.column("marks"))
+        flat, offsets = raw.view(np.int64), cuts // 8
         split = batch.column("r")[0].as_py() != batch.column("s")[0].as_py()
         left = np.flatnonzero(side == 0) if split else np.arange(len(node))
         right = np.flatnonzero(side == 1) if split else left
@@ -220,35 +271,43 @@ def link_vectors(vectors: DataFrame, threshold: float = THRESHOLD, tile: int = T
     n_links counts the other rows with a cosine of at least threshold, as found by the filters; component_id is the
     smallest vec_id in reach. Vectors that are not valid() link with nothing. Repeated rows and equal vectors are linked
     with each other; a row with null vec_id has null component_id if alone. An empty table gives no rows; other columns
-    are ignored. Vectors of different lengths never link.
+    are ignored, whatever their names. Vectors of different lengths never link. Of vec_ids that tie there is nothing to
+    choose: repeated ids are rows of their own. A vector may have any length; it is looked at whole.
     """
     rows = vectors.select(F.col("vec_id").cast("long").alias("vec_id"), F.col("embedding").alias("embedding"))
-    rows = rows.withColumn("ok", F.coalesce(valid(), F.lit(False)))
+    # equal vectors are known by two hashes, 128 bits together: what is grouped and joined by is no vector
+    same = F.struct(F.xxhash64("embedding", F.lit(1)).alias("h1"), F.xxhash64("embedding", F.lit(2)).alias("h2"))
+    rows = rows.withColumn("ok", F.coalesce(valid(), F.lit(False))).withColumn("same", same)
     table = materialise(rows, "caps-rows")
     good = table.filter("ok").drop("ok")
-    merged = good.groupBy("embedding").agg(F.min("vec_id").alias("least"), F.count("*").alias("n"))
+    merged = good.groupBy("same").agg(F.min("vec_id").alias("least"), F.count("*").alias("n"), F.first("embedding").alias("embedding"))
     merged = materialise(merged.withColumn("node", F.monotonically_increasing_id()), "caps-distinct")
-    shape = merged.select("node", F.size("embedding").alias("dim"), "embedding")
-    coded = materialise(shape.mapInArrow(_decode, "node long, filters array<int>").join(merged, "node"), "caps-coded")
-    member = coded.select("node", F.size("embedding").alias("dim"), F.explode("filters").alias("filter"))
-    # as many filters as the code has, for each dimension: bounded, so the crowded ones can be broadcast
+    depth = level(merged.count())
+    kind = "float" if merged.schema["embedding"].dataType.elementType.simpleString() == "float" else "double"
+    shape = merged.select("node", "n", F.size("embedding").alias("dim"), F.col("embedding").cast(f"array<{kind}>").alias("embedding"))
+    coded = materialise(shape.mapInArrow(lambda it: _decode(it, depth), "node long, n long, dim int, vector binary, filters array<long>, marks binary"), "caps-coded")
+    member = coded.select("node", "dim", F.explode("filters").alias("filter"))
+    # filters with one member meet nothing; the others know into how many groups they are cut
     crowd = member.groupBy("dim", "filter").count().filter(F.col("count") > 1)
-    crowd = materialise(crowd.select("dim", "filter", F.ceil(F.col("count") / tile).cast("int").alias("g")).coalesce(4), "caps-crowd")
-    open_ = coded.select("node", "n", "embedding", "filters", F.size("embedding").alias("dim"), F.explode("filters").alias("filter")).join(F.broadcast(crowd), ["dim", "filter"])
+    crowd = materialise(crowd.select("dim", "filter", F.ceil(F.col("count") / tile).cast("int").alias("g")), "caps-crowd")
+    open_ = member.join(crowd, ["dim", "filter"])
     group = F.pmod(F.xxhash64("node"), F.col("g")).cast("int")
     met = open_.withColumn("own", group).withColumn("other", F.explode(F.sequence(F.lit(0), F.col("g") - 1)))
-    met = met.select("dim", "filter", F.least("own", "other").alias("r"), F.greatest("own", "other").alias("s"), "node", (F.col("own") > F.col("other")).cast("int").alias("side"), "n", "embedding", "filters")
+    met = met.select("dim", "filter", F.least("own", "other").alias("r"), F.greatest("own", "other").alias("s"), "node", (F.col("own") > F.col("other")).cast("int").alias("side"))
+    # places are made of ids alone; the vectors are attached to them last
+    met = materialise(met, "caps-places").join(coded.select("node", "n", "vector", "marks"), "node")
     # of a pair of groups the smaller one is the left side
     spread = met.repartition("dim", "filter", "r", "s").sortWithinPartitions("dim", "filter", "r", "s")
-    found = materialise(spread.mapInArrow(lambda it: _verify(it, threshold), "a long, b long, n long"), "caps-found")
+    columns = spread.select("dim", "filter", "r", "s", "node", "side", "n", "vector", "marks")
+    found = materialise(columns.mapInArrow(lambda it: _verify(it, threshold), "a long, b long, n long"), "caps-found")
     degree = found.filter("b is null").groupBy(F.col("a").alias("node")).agg(F.sum("n").alias("links"))
     roots = connected_components(found.filter("b is not null").select("a", "b"))
-    each = merged.drop("embedding").join(degree, "node", "left").join(roots, "node", "left").withColumn("root", F.coalesce("root", "node"))
+    each = merged.drop("embedding", "same").join(degree, "node", "left").join(roots, "node", "left").withColumn("root", F.coalesce("root", "node"))
     each = materialise(each, "caps-each")
     least = each.groupBy("root").agg(F.min("least").alias("component_id"))
     each = each.join(least, "root").select("node", "component_id", (F.coalesce("links", F.lit(0)) + F.col("n") - 1).alias("n_links"))
-    full = materialise(merged.select("node", "embedding", "n").join(each, "node").drop("node"), "caps-vectors")
-    linked = attach(good, full, "embedding", "n").select("vec_id", "n_links", "component_id")
+    full = materialise(merged.select("node", "same", "n").join(each, "node").drop("node"), "caps-vectors")
+    linked = attach(good.select("vec_id", "same"), full, "same", "n").select("vec_id", "n_links", "component_id")
     alone = table.filter("not ok").select("vec_id", F.lit(0).cast("long").alias("n_links"), F.col("vec_id").alias("component_id"))
     out = linked.unionByName(alone)
     return out.withColumn("kept", F.coalesce(F.col("vec_id") == F.col("component_id"), F.lit(False)))

@@ -451,21 +451,32 @@ def test_vector_query_equals_brute_force_and_sql(spark, sf):
     assert got == plain_links(rows)
 
 
-def test_vector_recall_at_the_threshold():
-    """Pairs of cosine 0.95 to 0.96 in random directions meet in a filter."""
+@pytest.mark.parametrize(("dim", "level"), [(1, 0), (2, 0), (4, 0), (8, 0), (16, 0), (32, 0), (64, 0), (128, 0), (384, 0), (768, 0), (8, 3), (24, 4), (64, 2), (64, 3), (64, 5), (64, 7), (384, 4)])
+def test_vector_recall_at_the_threshold(dim, level):
+    """Pairs of cosine 0.95 to 0.96 in random directions meet in a filter, whatever the dimensions and the size of the table."""
+    n = 800
     rng = np.random.default_rng(11)
-    x = rng.standard_normal((4000, 64))
+    x = rng.standard_normal((n, dim))
     x /= np.linalg.norm(x, axis=1, keepdims=True)
     z = rng.standard_normal(x.shape)
     z -= (z * x).sum(axis=1, keepdims=True) * x
-    z /= np.linalg.norm(z, axis=1, keepdims=True)
-    c = rng.uniform(0.95, 0.96, (4000, 1))
+    z /= np.maximum(np.linalg.norm(z, axis=1, keepdims=True), 1e-12)
+    c = rng.uniform(0.95, 0.96, (n, 1))
     y = c * x + np.sqrt(1 - c * c) * z
-    lists = []
+    lists, size = [], 0
     for v in (x, y):
-        row, code = embnn.decode_all(v)
-        lists.append([set(s.tolist()) for s in np.split(code, np.searchsorted(row, np.arange(1, 4000)))])
-    assert np.mean([bool(a & b) for a, b in zip(*lists, strict=True)]) > 0.99
+        row, code = embnn.decode_all(v / np.linalg.norm(v, axis=1, keepdims=True), level)
+        size += len(row)
+        lists.append([set(s.tolist()) for s in np.split(code, np.searchsorted(row, np.arange(1, n)))])
+    recall = np.mean([bool(a & b) for a, b in zip(*lists, strict=True)])
+    assert recall > 0.98 and size < 2 * n * 60, (recall, size / 2 / n)
+
+
+def test_filters_keep_their_size():
+    """Four times the vectors have four times the directions."""
+    assert [embnn.level(n) for n in (0, 50_000, 50_001, 200_000, 200_001, 10**9)] == [0, 0, 1, 1, 2, 8]
+    sizes = [embnn.Code(64, level=k).size for k in range(6)]
+    assert all(3.8 < b / a < 4.2 for a, b in zip(sizes, sizes[1:], strict=False))
 
 
 def test_list_decoding_finds_all_directions():
