@@ -13,7 +13,7 @@ with the closing mark. Marks inside texts are defused by a space after `<`, and
 
 from __future__ import annotations
 
-from pyspark.sql import DataFrame
+from pyspark.sql import DataFrame, Window
 from pyspark.sql import functions as F
 
 OPEN, CLOSE = "<|im_start|>", "<|im_end|>"
@@ -24,7 +24,8 @@ def rotate(turns: DataFrame, conversation: str = "conv_id", order: str = "turn",
 
     Turns go by `order`, nulls first, then by speaker and text; repeated rows are turns of their own. Null text is empty;
     a null or empty speaker is `unknown`; turns with null conversation form one dialogue with null conv_id. A dialogue of
-    system turns alone has no participant and gives no rows, as does an empty table. Other columns are ignored. A
+    system turns alone has no participant and gives no rows, as does an empty table. Other columns are ignored, whatever
+    their names; texts of any length are rendered whole, in time that grows with the rendering. A
     rendering is one value, so a dialogue is held in one task when it is put together, and it is rendered before it is
     multiplied: what is sent around is each turn once.
     """
@@ -39,27 +40,31 @@ def rotate(turns: DataFrame, conversation: str = "conv_id", order: str = "turn",
         ).alias("t"),
     )
     talks = rows.groupBy("conv_id").agg(F.array_sort(F.collect_list("t")).alias("turns"))
+    # where each speaker's own turns lie in that speaker's rendering, by running sums over the dialogue: in it the heads of
+    # the own turns say `assistant`, those of all others the name. No shuffle: a dialogue stays where it was gathered.
+    each = talks.select("conv_id", F.posexplode("turns").alias("pos", "t")).select("conv_id", "pos", "t.who", "t.text")
+    named = F.when(F.col("who") == "system", "system").otherwise(F.concat(F.lit("user name="), "who"))
+    heads = len(OPEN) + 1
+    body = F.length("text") + len(CLOSE)
+    before = lambda *keys: Window.partitionBy(*keys).orderBy("pos").rowsBetween(Window.unboundedPreceding, -1)
+    passed = F.coalesce(F.sum(heads + F.length(named) + body + 1).over(before("conv_id")), F.lit(0))
+    own = F.count(F.lit(1)).over(before("conv_id", "who"))
+    start = (passed + own * (len("assistant") - F.length(named)) + heads + len("assistant")).cast("long")
+    placed = each.withColumn("start", start).withColumn("end", F.col("start") + body)
+    turn = F.struct("pos", "who", named.alias("named"), F.concat("text", F.lit(CLOSE)).alias("body"), "start", "end")
+    talks = placed.groupBy("conv_id").agg(F.array_sort(F.collect_list(turn)).alias("turns"))
     who = F.array_sort(F.array_distinct(F.filter(F.transform("turns", lambda t: t["who"]), lambda w: w != "system")))
     each = talks.select("conv_id", "turns", F.explode(who).alias("assistant"))
-    head = lambda t: F.concat(F.lit(OPEN), F.when(t["who"] == F.col("assistant"), F.lit("assistant")).when(t["who"] == "system", F.lit("system")).otherwise(F.concat(F.lit("user name="), t["who"])), F.lit("\n"))
-    parts = F.transform("turns", lambda t: F.struct(head(t).alias("head"), F.concat(t["text"], F.lit(CLOSE)).alias("body"), (t["who"] == F.col("assistant")).alias("own")))
-    each = each.select("conv_id", "assistant", parts.alias("parts"))
-    # one pass over the turns: where each one starts, and the ranges to learn
-    zero = F.struct(F.lit(0).cast("long").alias("at"), F.array().cast("array<struct<start:bigint,end:bigint>>").alias("mask"))
-
-    def step(acc, p):
-        start = acc["at"] + F.length(p["head"])
-        end = start + F.length(p["body"])
-        more = F.when(p["own"], F.array(F.struct(start.cast("long").alias("start"), end.cast("long").alias("end")))).otherwise(F.array().cast("array<struct<start:bigint,end:bigint>>"))
-        return F.struct((end + 1).cast("long").alias("at"), F.concat(acc["mask"], more).alias("mask"))
-
+    mine = lambda t: t["who"] == F.col("assistant")
+    line = lambda t: F.concat(F.lit(OPEN), F.when(mine(t), F.lit("assistant")).otherwise(t["named"]), F.lit("\n"), t["body"], F.lit("\n"))
+    learned = F.transform(F.filter("turns", mine), lambda t: F.struct(t["start"], t["end"]))
     return each.select(
         "conv_id",
         "assistant",
-        F.size("parts").cast("long").alias("n_turns"),
-        F.size(F.filter("parts", lambda p: p["own"])).cast("long").alias("n_learned"),
-        F.array_join(F.transform("parts", lambda p: F.concat(p["head"], p["body"], F.lit("\n"))), "").alias("rendered"),
-        F.aggregate("parts", zero, step, lambda acc: acc["mask"]).alias("mask"),
+        F.size("turns").cast("long").alias("n_turns"),
+        F.size(F.filter("turns", mine)).cast("long").alias("n_learned"),
+        F.array_join(F.transform("turns", line), "").alias("rendered"),
+        learned.alias("mask"),
     )
 
 
