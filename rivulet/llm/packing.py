@@ -97,7 +97,9 @@ def cut(tokens: DataFrame, length: int = 2048) -> DataFrame:
 def pack(docs: DataFrame, tokenizer: str, spaced: bool, end_id: int, length: int = 2048) -> DataFrame:
     """Pack docs (doc_id, text) into sequences of `length` ids; only the last one has padding. See cut() for the rows.
 
-    Rows with null doc_id are packed too; an empty table gives no rows; other columns are ignored.
+    Null and empty texts are the end id alone; texts of any length are cut as often as it takes; rows with null doc_id are
+    packed too; repeated rows and rows with the same doc_id, which nothing puts in order, are documents of their own; an empty
+    table gives no rows; other columns are ignored, whatever their names.
     """
     return cut(tokenise(docs, tokenizer, spaced, end_id), length)
 

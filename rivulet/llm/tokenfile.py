@@ -22,10 +22,11 @@ ROWS = 500
 def write_token_files(docs: DataFrame, tokenizer: str, end_id: int, folder: str | None = None) -> DataFrame:
     """Encode docs (doc_id, text) and write one file for each range of doc_ids; returns the manifest.
 
-    Manifest: part int (ascending with doc_id), path, n_docs, n_ids long. Null text is empty; a null doc_id comes first;
-    rows with the same doc_id each are a document, ordered by text. An empty table gives an empty manifest. Other columns
-    are ignored. Texts are dealt out by ranges of doc_id, so a hot source does not matter. A lost task writes the same
-    file again and moves it into place whole.
+    Manifest: part int (ascending with doc_id), path, n_docs, n_ids long. Null and empty texts are the end id alone; a null
+    doc_id comes first; rows with the same doc_id each are a document, ordered by a hash of the text and, where that ties, by
+    the text; repeated rows have equal ids. Texts of any length are written whole. An empty table gives an empty manifest.
+    Other columns are ignored, whatever their names. Texts are dealt out by ranges of doc_id and that hash, so neither a hot
+    source nor one id with very many rows is one task's. A lost task writes the same file again and moves it into place whole.
     """
     small_batches(docs)
     folder = folder or new_path(docs.sparkSession, "token-files")
@@ -52,7 +53,9 @@ def write_token_files(docs: DataFrame, tokenizer: str, end_id: int, folder: str
             out.close()
         yield pa.RecordBatch.from_pydict({"part": pa.array([part], pa.int32()), "path": [path], "n_docs": [len(out.docs)], "n_ids": [out.n_ids]})
 
-    placed = docs.select(F.col("doc_id").cast("long").alias("doc_id"), F.col("text").cast("string").alias("text")).repartitionByRange("doc_id").sortWithinPartitions("doc_id", "text")
+    rows = docs.select(F.col("doc_id").cast("long").alias("doc_id"), F.col("text").cast("string").alias("text"))
+    order = ("doc_id", F.xxhash64("text"))
+    placed = rows.repartitionByRange(*order).sortWithinPartitions(*order, "text")
     return materialise(placed.mapInArrow(write, "part int, path string, n_docs long, n_ids long"), "token-manifest")
 
 
