@@ -70,11 +70,11 @@ def near_pairs(articles: DataFrame, radius: int = RADIUS, hours: int = WINDOW_HO
     earlier = F.struct("published_at", "id") < F.struct("l_published_at", "l_id")
     inside = F.col("published_at") > F.col("l_published_at") - F.make_dt_interval(hours=F.lit(hours))
     d = distance(F.col("simhash"), F.col("l_simhash"))
-    first = _same_band(F.col("simhash"), F.col("l_simhash"))
+    first = first_band(F.col("simhash"), F.col("l_simhash"))
     return met.filter(earlier & inside & (d <= radius) & (F.col("band") == first)).select(F.col("l_id").alias("loser"), F.col("id").alias("winner"), d.alias("distance"), F.col("published_at").alias("winner_published_at"))
 
 
-def _same_band(a: Column, b: Column) -> Column:
+def first_band(a: Column, b: Column) -> Column:
     """The first band in which two fingerprints are equal."""
     x = a.bitwiseXOR(b)
     equal = lambda k: F.shiftrightunsigned(x, 16 * k).bitwiseAND(F.lit(0xFFFF).cast("long")) == 0
@@ -98,7 +98,7 @@ def near_winners(articles: DataFrame, radius: int = RADIUS, hours: int = WINDOW_
     units = seen.select("simhash", "bucket").distinct().withColumn("b", F.explode(bands(F.col("simhash")))).select("simhash", "bucket", "b.band", "b.bits")
     mine = units.select("simhash", "bucket", "band", "bits", F.explode(F.array(F.col("bucket"), F.col("bucket") - 1)).alias("bucket2"))
     other = units.select(F.col("simhash").alias("simhash2"), F.col("bucket").alias("bucket2"), "band", "bits")
-    close = (distance(F.col("simhash"), F.col("simhash2")) <= radius) & (F.col("band") == _same_band(F.col("simhash"), F.col("simhash2")))
+    close = (distance(F.col("simhash"), F.col("simhash2")) <= radius) & (F.col("band") == first_band(F.col("simhash"), F.col("simhash2")))
     near = mine.join(other, ["band", "bits", "bucket2"]).filter(close).select("simhash", "bucket", "simhash2", "bucket2")
     of = seen.select(F.col("simhash").alias("simhash2"), F.col("bucket").alias("bucket2"), "at", "first")
     entries = near.join(of, ["simhash2", "bucket2"]).groupBy("simhash", "bucket", "at").agg(F.min("first").alias("first"))

@@ -4,8 +4,11 @@ from __future__ import annotations
 
 import base64
 import binascii
+import json
 from collections.abc import Iterator
 from datetime import UTC, datetime
+from http.server import BaseHTTPRequestHandler, ThreadingHTTPServer
+from urllib.parse import parse_qsl
 
 from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
@@ -54,15 +57,22 @@ def after(published_at: Column, row_id: Column, at: datetime, at_id: int, kind:
 def page(articles: DataFrame, sources: DataFrame, limit: int | None = None, cursor: str | None = None) -> DataFrame:
     """The next rows of the feed, newest first: published articles with slug and name of their source.
 
-    articles: id, source_id, canonical_url, title, summary, image_url, published_at, status. The page is cut before the
-    join, so at most `limit` rows look for their source; a source without a match drops its row, as an inner join does.
+    articles: id, source_id, canonical_url, title, summary, image_url, published_at, status. Each article's source is known by
+    a foreign key, so the page is cut before the join and at most `limit` rows look for theirs. Should some have none, the
+    page is refilled: an inner join drops such rows, so the next articles take their places.
     """
+    n = clamp(limit)
     own = articles.filter(F.col("status") == "published")
     if cursor is not None:
         own = own.filter(after(F.col("published_at"), F.col("id"), *decode_cursor(cursor), articles.schema["published_at"].dataType))
-    top = own.join(sources.select(F.col("id").alias("source_id")), "source_id", "left_semi").orderBy(F.desc("published_at"), F.desc("id")).limit(clamp(limit))
+    newest = (F.desc("published_at"), F.desc("id"))
     named = sources.select(F.col("id").alias("source_id"), F.col("slug").alias("source_slug"), F.col("name").alias("source_name"))
-    return F.broadcast(top).join(named, "source_id").select("id", "title", "summary", "canonical_url", "image_url", "published_at", "source_slug", "source_name").orderBy(F.desc("published_at"), F.desc("id"))
+    top = own.select("id", "source_id", "published_at").orderBy(*newest).limit(n)
+    homeless = top.join(named, "source_id", "left_anti").limit(1)
+    if not homeless.isEmpty():
+        own = own.join(named.select("source_id"), "source_id", "left_semi")
+    kept = ("id", "title", "summary", "canonical_url", "image_url", "published_at", "source_slug", "source_name")
+    return F.broadcast(own.orderBy(*newest).limit(n)).join(named, "source_id").select(*kept).orderBy(*newest)
 
 
 def feed(articles: DataFrame, sources: DataFrame, cursor: str | None = None, limit: int | None = None) -> dict:
@@ -72,6 +82,43 @@ def feed(articles: DataFrame, sources: DataFrame, cursor: str | None = None, lim
     return {"items": rows, "nextCursor": encode_cursor(rows[-1]["published_at"], rows[-1]["id"]) if full else None}
 
 
+#: JSON names of the columns of a page (fixed values of the read API).
+JSON_NAMES = {"id": "id", "title": "title", "summary": "summary", "canonical_url": "canonicalUrl", "image_url": "imageUrl", "published_at": "publishedAt", "source_slug": "sourceSlug", "source_name": "sourceName"}
+
+
+def respond(articles: DataFrame, sources: DataFrame, query: str = "") -> tuple[int, str]:
+    """Status and JSON body for GET /api/articles?limit=&cursor=: 400 for a cursor or limit that can't be read."""
+    asked = dict(parse_qsl(query, keep_blank_values=True))
+    try:
+        limit = int(asked["limit"]) if asked.get("limit") else None
+        got = feed(articles, sources, asked.get("cursor") or None, limit)
+    except ValueError as e:
+        return 400, json.dumps({"error": str(e)})
+    stamp = lambda v: v.isoformat() + "Z" if isinstance(v, datetime) else v
+    items = [{JSON_NAMES[k]: stamp(v) for k, v in r.items()} for r in got["items"]]
+    return 200, json.dumps({"items": items, "nextCursor": got["nextCursor"]}, ensure_ascii=False)
+
+
+def server(articles: DataFrame, sources: DataFrame, port: int = 0, host: str = "127.0.0.1") -> ThreadingHTTPServer:
+    """The read API over HTTP; the caller starts it with serve_forever()."""
+
+    class Handler(BaseHTTPRequestHandler):
+        def do_GET(self) -> None:
+            path, _, query = self.path.partition("?")
+            status, body = respond(articles, sources, query) if path == "/api/articles" else (404, json.dumps({"error": "not found"}))
+            raw = body.encode()
+            self.send_response(status)
+            self.send_header("Content-Type", "application/json; charset=utf-8")
+            self.send_header("Content-Length", str(len(raw)))
+            self.end_headers()
+            self.wfile.write(raw)
+
+        def log_message(self, *args) -> None:
+            pass
+
+    return ThreadingHTTPServer((host, port), Handler)
+
+
 def iterate(articles: DataFrame, sources: DataFrame, limit: int | None = None) -> Iterator[dict]:
     """All responses of a reader that follows nextCursor."""
     cursor = None
@@ -95,9 +142,12 @@ def offset_page(articles: DataFrame, offset: int, limit: int) -> DataFrame:
 
 
 def page_with_tags(articles: DataFrame, bridge: DataFrame, tags: DataFrame, limit: int) -> DataFrame:
-    """A page of articles first, then its tags by two outer joins. The page is small, so it is sent to the bridge rows."""
+    """A page of articles first, then its tags by two outer joins.
+
+    The page has MAX_LIMIT rows at most, so it is sent to the bridge rows; how many tags it has is not bounded, so those are
+    joined as Spark finds best.
+    """
     top = articles.filter(F.col("status") == "published").orderBy(F.desc("published_at"), F.desc("id")).limit(clamp(limit)).select("id", "published_at")
     own = bridge.join(F.broadcast(top.select(F.col("id").alias("article_id"))), "article_id", "left_semi")
     tagged = top.join(own, top["id"] == own["article_id"], "left").drop("article_id")
-    used = tags.join(F.broadcast(own.select("tag_id").distinct()), "tag_id", "left_semi")
-    return tagged.join(F.broadcast(used), "tag_id", "left")
+    return tagged.join(tags, "tag_id", "left")

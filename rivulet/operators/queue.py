@@ -43,6 +43,16 @@ def enqueue_extraction(jobs: DataFrame, sources: DataFrame, articles: DataFrame,
     return own.join(waiting, "source_id", "left_semi").join(taken, "source_id", "left_anti").select("source_id", F.lit(ARTICLE).alias("job_type"), F.lit("pending").alias("state"), now.alias("scheduled_at"))
 
 
+def _changed(jobs: DataFrame, columns: list[str], hit: Column, values: dict[str, Column]) -> DataFrame:
+    """jobs with the new values where `hit`, each in the type it had."""
+    kinds = {f.name: f.dataType for f in jobs.schema.fields}
+    return jobs.select(*[F.when(hit, values[c]).otherwise(F.col(c)).cast(kinds[c]).alias(c) if c in values else F.col(c) for c in columns])
+
+
+def _freed(values: dict[str, Column]) -> dict[str, Column]:
+    return values | {c: F.lit(None) for c in ("locked_by", "locked_until")}
+
+
 def claimable(jobs: DataFrame, job_type: str, now: Column) -> DataFrame:
     return jobs.filter((F.col("state") == "pending") & (F.col("job_type") == job_type) & (F.col("scheduled_at") <= now) & (F.col("attempt") < F.col("max_attempts")))
 
@@ -54,11 +64,9 @@ def claim(jobs: DataFrame, worker: str, job_type: str, now: Column, batch: int =
     """
     own = claimable(jobs, job_type, now).filter(F.pmod(F.col("id"), F.lit(workers)) == shard)
     taken = F.broadcast(own.orderBy("scheduled_at", "id").limit(batch).select("id", F.lit(True).alias("_taken")))
-    joined = jobs.join(taken, "id", "left")
-    hit = F.coalesce("_taken", F.lit(False))
     until = _plus(now, F.lit(LEASE_SECONDS[job_type] if lease is None else lease))
-    changed = {"state": F.lit("running"), "attempt": F.col("attempt") + 1, "started_at": now, "locked_by": F.lit(worker), "locked_until": until}
-    return joined.select(*[F.when(hit, changed[c]).otherwise(F.col(c)).cast(jobs.schema[c].dataType).alias(c) if c in changed else F.col(c) for c in jobs.columns])
+    held = {"state": F.lit("running"), "attempt": F.col("attempt") + 1, "started_at": now, "locked_by": F.lit(worker), "locked_until": until}
+    return _changed(jobs.join(taken, "id", "left"), jobs.columns, F.coalesce("_taken", F.lit(False)), held)
 
 
 def claimed(jobs: DataFrame, sources: DataFrame, worker: str) -> DataFrame:
@@ -67,18 +75,11 @@ def claimed(jobs: DataFrame, sources: DataFrame, worker: str) -> DataFrame:
     return jobs.filter((F.col("state") == "running") & (F.col("locked_by") == worker)).join(s, "source_id", "left")
 
 
-def _finish(jobs: DataFrame, hit: Column, values: dict[str, Column]) -> DataFrame:
-    return jobs.select(*[F.when(hit, values[c]).otherwise(F.col(c)).cast(jobs.schema[c].dataType).alias(c) if c in values else F.col(c) for c in jobs.columns])
-
-
-
-
 def succeed(jobs: DataFrame, ids: DataFrame, now: Column) -> DataFrame:
     """Jobs of ids are done: no lease and no error is left."""
-    joined = jobs.join(ids.select("id", F.lit(True).alias("_hit")), "id", "left")
-    done = {"state": F.lit("succeeded"), "finished_at": now, "locked_by": F.lit(None), "locked_until": F.lit(None), "last_error": F.lit(None)}
-    hit = F.coalesce("_hit", F.lit(False))
-    return joined.select(*[F.when(hit, done[c]).otherwise(F.col(c)).cast(jobs.schema[c].dataType).alias(c) if c in done else F.col(c) for c in jobs.columns])
+    joined = jobs.join(ids.select("id").distinct().withColumn("_hit", F.lit(True)), "id", "left")
+    done = _freed({"state": F.lit("succeeded"), "finished_at": now, "last_error": F.lit(None)})
+    return _changed(joined, jobs.columns, F.coalesce("_hit", F.lit(False)), done)
 
 
 def retry_or_dead(attempt: Column, max_attempts: Column) -> Column:
@@ -88,19 +89,25 @@ def retry_or_dead(attempt: Column, max_attempts: Column) -> Column:
 def fail(jobs: DataFrame, failures: DataFrame, now: Column) -> DataFrame:
     """failures: id, error, retry_at. Dead after the last attempt, else pending again at retry_at."""
     f = failures.select("id", F.left("error", F.lit(ERROR)).alias("_error"), F.col("retry_at").alias("_retry"), F.lit(True).alias("_hit"))
-    joined = jobs.join(f, "id", "left")
     dead = F.col("attempt") >= F.col("max_attempts")
-    v = {"state": retry_or_dead(F.col("attempt"), F.col("max_attempts")), "finished_at": F.when(dead, now), "scheduled_at": F.when(dead, F.col("scheduled_at")).otherwise(F.col("_retry")), "locked_by": F.lit(None), "locked_until": F.lit(None), "last_error": F.col("_error")}
-    hit = F.coalesce("_hit", F.lit(False))
-    return joined.select(*[F.when(hit, v[c]).otherwise(F.col(c)).cast(jobs.schema[c].dataType).alias(c) if c in v else F.col(c) for c in jobs.columns])
+    later = F.when(dead, F.col("scheduled_at")).otherwise(F.col("_retry"))
+    values = _freed({"state": retry_or_dead(F.col("attempt"), F.col("max_attempts")), "finished_at": F.when(dead, now), "scheduled_at": later, "last_error": F.col("_error")})
+    return _changed(jobs.join(f, "id", "left"), jobs.columns, F.coalesce("_hit", F.lit(False)), values)
+
+
+def fail_with_backoff(jobs: DataFrame, failures: DataFrame, now: Column, seed: int) -> DataFrame:
+    """failures: id, error. As fail(), each retried after job_delay() of its attempts with a jitter drawn by id and seed."""
+    spread = F.pmod(F.xxhash64("id", F.lit(seed)), F.lit(1 << 20)) / float(1 << 20)
+    known = failures.join(jobs.select("id", "attempt"), "id")
+    return fail(jobs, known.select("id", "error", _plus(now, job_delay(F.col("attempt"), jitter(spread))).alias("retry_at")), now)
 
 
 def reap(jobs: DataFrame, now: Column) -> DataFrame:
     """Running jobs whose lease is over become pending, or dead if they have no attempt left; an error is kept."""
     hit = (F.col("state") == "running") & (F.col("locked_until") < now)
     dead = F.col("attempt") >= F.col("max_attempts")
-    v = {"state": retry_or_dead(F.col("attempt"), F.col("max_attempts")), "finished_at": F.when(dead, now).otherwise(F.col("finished_at")), "locked_by": F.lit(None), "locked_until": F.lit(None), "last_error": F.coalesce("last_error", F.lit("lease expired"))}
-    return _finish(jobs, F.coalesce(hit, F.lit(False)), v)
+    values = {"state": retry_or_dead(F.col("attempt"), F.col("max_attempts")), "finished_at": F.when(dead, now).otherwise(F.col("finished_at")), "last_error": F.coalesce("last_error", F.lit("lease expired"))}
+    return _changed(jobs, jobs.columns, F.coalesce(hit, F.lit(False)), _freed(values))
 
 
 def job_delay(attempt: Column, jitter: Column | None = None, base: int = RETRY_BASE, most: int = RETRY_MAX) -> Column:
@@ -114,8 +121,9 @@ def source_delay(failures: Column, base: int = RETRY_BASE, most: int = RETRY_MAX
     return F.least(base * F.pow(F.lit(2.0), F.least(F.greatest(failures - 1, F.lit(0)), F.lit(10))), F.lit(float(most))).cast("long")
 
 
-def jitter(seed: int) -> Column:
-    return F.rand(seed) * 0.5 + 0.5
+def jitter(draw: Column) -> Column:
+    """0.5 to 1 from a draw of 0 to 1."""
+    return draw * 0.5 + 0.5
 
 
 def record_outcome(sources: DataFrame, outcomes: DataFrame, now: Column) -> DataFrame:
@@ -141,5 +149,12 @@ def log_rows(attempts: DataFrame, now: Column) -> DataFrame:
     return attempts.select("job_id", "source_id", "http_status", F.lit(None).cast("long").alias("bytes"), "duration_ms", "items_found", "items_new", F.left("error", F.lit(ERROR)).alias("error"), now.alias("created_at"))
 
 
+def append_log(attempts: DataFrame, now: Column, path: str) -> DataFrame:
+    """The rows of log_rows() appended to the log table at path, by day; returns the table as it is then."""
+    rows = log_rows(attempts, now).withColumn("day", F.to_date("created_at"))
+    rows.write.mode("append").partitionBy("day").parquet(path)
+    return attempts.sparkSession.read.schema(rows.schema).parquet(path)
+
+
 def counts_by_state(jobs: DataFrame) -> DataFrame:
     return jobs.groupBy("state").agg(F.count("*").alias("n"))

@@ -20,16 +20,23 @@ def cosine(a: Column, b: Column) -> Column:
     return dot(a, b) / (norm(a) * norm(b))
 
 
-def related(vectors: DataFrame, vec_id: int, k: int = RELATED, where: Column | None = None) -> DataFrame:
-    """id, similarity of the k nearest other vectors; where filters before the search, so none of the k is lost to it.
+def related(vectors: DataFrame, vec_id: int, k: int = RELATED, where: Column | None = None, model: str | None = None, articles: DataFrame | None = None) -> DataFrame:
+    """id, similarity of the k nearest other vectors of the same model; where filters before the search, so none of the k
+    is lost to it.
 
-    The query is one row; every other row is scored where it lies and each task keeps k.
+    vectors: id, model, vector. model: whose vector of vec_id asks; None where it has only one. articles (id, status): only
+    vectors of published articles answer. The query is one row; every other row is scored where it lies and each task keeps k.
     """
-    q = F.broadcast(vectors.filter(F.col("id") == vec_id).select(F.col("vector").alias("_q"), F.lit(1).alias("_one")).limit(1))
+    asks = vectors.filter(F.col("id") == vec_id)
+    if model is not None:
+        asks = asks.filter(F.col("model") == model)
+    q = F.broadcast(asks.select("model", F.col("vector").alias("_q")).orderBy("model").limit(1))
     pool = vectors.filter(F.col("id") != vec_id)
     if where is not None:
         pool = pool.filter(where)
-    scored = pool.withColumn("_one", F.lit(1)).join(q, "_one").select("id", cosine(F.col("vector"), F.col("_q")).alias("similarity"))
+    if articles is not None:
+        pool = pool.join(articles.filter(F.col("status") == "published").select("id"), "id", "left_semi")
+    scored = pool.join(q, "model").select("id", cosine(F.col("vector"), F.col("_q")).alias("similarity"))
     return scored.orderBy(F.desc("similarity"), "id").limit(k)
 
 

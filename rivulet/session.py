@@ -41,10 +41,16 @@ def table(spark: SparkSession, sf_dir: str, name: str) -> DataFrame:
 
 
 def shared_dir(spark: SparkSession) -> str:
-    """The folder that driver and executors share (spark.checkpoint.dir); a local one only where that is unset, as in tests."""
+    """The folder that driver and executors share (spark.checkpoint.dir).
+
+    Only a local session may do without: it gets a folder of this process, which is removed at its end. Elsewhere that would
+    split the data over the machines, so it is an error.
+    """
     root = spark.conf.get("spark.checkpoint.dir", None)
     if root:
         return root.rstrip("/")
+    if not spark.sparkContext.master.startswith("local"):
+        raise RuntimeError("spark.checkpoint.dir must name a folder that driver and executors share")
     global _LOCAL
     if _LOCAL is None:
         _LOCAL = tempfile.mkdtemp(prefix="rivulet-")
@@ -53,10 +59,31 @@ def shared_dir(spark: SparkSession) -> str:
 
 
 _LOCAL: str | None = None
+#: Tables written in this process, by session; removed with forget_written() or when the process ends.
+_WRITTEN: list[tuple[SparkSession, str]] = []
+
+
+def written(spark: SparkSession, path: str) -> str:
+    """Note a table that only this run needs."""
+    if not _WRITTEN:
+        atexit.register(forget_written)
+    _WRITTEN.append((spark, path))
+    return path
+
+
+def forget_written() -> None:
+    """Remove the noted tables from the shared folder. What was not computed to the end by now can't be any more."""
+    while _WRITTEN:
+        spark, path = _WRITTEN.pop()
+        try:
+            target = spark._jvm.org.apache.hadoop.fs.Path(path)
+            target.getFileSystem(spark._jsc.hadoopConfiguration()).delete(target, True)
+        except Exception:  # the session has ended: nothing can be reached any more
+            _WRITTEN.clear()
 
 
 def store(df: DataFrame, label: str) -> DataFrame:
     """df as a written table in the shared folder: what it took to compute is not done again, nor lost with an executor."""
-    path = f"{shared_dir(df.sparkSession)}/rivulet/{label}-{uuid.uuid4().hex}"
+    path = written(df.sparkSession, f"{shared_dir(df.sparkSession)}/rivulet/{label}-{uuid.uuid4().hex}")
     df.write.parquet(path)
     return df.sparkSession.read.schema(df.schema).parquet(path)

@@ -111,6 +111,8 @@ def write_health(stream: DataFrame, folder: str | None = None) -> tuple[Streamin
 def near_pairs_stream(left: DataFrame, right: DataFrame, hours: int = dedup.WINDOW_HOURS, radius: int = dedup.RADIUS) -> DataFrame:
     """loser, winner of two streams of fingerprints (id, published_at, simhash) by a stream-stream join with watermarks.
 
+    A pair that meets in several bands counts in the first of them.
+
     For feeds in which no row comes later than the window; the snapshot sweep has no such limit.
     """
     from ..functions.simhash import bands, distance
@@ -120,7 +122,7 @@ def near_pairs_stream(left: DataFrame, right: DataFrame, hours: int = dedup.WIND
         return named.withColumn("b", F.explode(bands(F.col(f"{p}_simhash")))).withColumn("band", F.col("b.band")).withColumn("bits", F.col("b.bits")).drop("b")
 
     inside = F.expr(f"w_published_at <= l_published_at AND w_published_at > l_published_at - INTERVAL {hours} HOURS")
-    met = cut(left, "l").join(cut(right, "w"), ["band", "bits"]).filter(inside)
+    met = cut(left, "l").join(cut(right, "w"), ["band", "bits"]).filter(inside & (F.col("band") == dedup.first_band(F.col("l_simhash"), F.col("w_simhash"))))
     earlier = F.struct("w_published_at", "w_id") < F.struct("l_published_at", "l_id")
     return met.filter(earlier & (distance(F.col("w_simhash"), F.col("l_simhash")) <= radius)).select(F.col("l_id").alias("loser"), F.col("w_id").alias("winner"))
 

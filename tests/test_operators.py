@@ -428,9 +428,9 @@ def test_stream_join_equals_batch_pairs(spark, tmp_path):
     read = lambda: streams.read_files(spark, str(tmp_path / "in"), schema)
     q = streams.near_pairs_stream(read(), read()).writeStream.format("memory").queryName("near").trigger(availableNow=True).option("checkpointLocation", str(tmp_path / "cp")).start()
     q.awaitTermination()
-    got = {(r["loser"], r["winner"]) for r in spark.table("near").collect()}
+    got = [(r["loser"], r["winner"]) for r in spark.table("near").collect()]
     want = dedup.near_pairs(spark.createDataFrame([(*r, "published") for r in rows], "id long, published_at timestamp, simhash long, status string"))
-    assert got == {(r["loser"], r["winner"]) for r in want.collect()}
+    assert sorted(got) == sorted((r["loser"], r["winner"]) for r in want.collect())  # each pair once
 
 
 def test_rate_limit_stream_equals_the_window(spark, tmp_path):
@@ -442,3 +442,69 @@ def test_rate_limit_stream_equals_the_window(spark, tmp_path):
     want = politeness.schedule(spark.createDataFrame(rows, "host string, id long, arrival double").withColumn("gap", F.lit(3.0)))
     assert {r["id"]: r["start"] for r in spark.table("rate").collect()} == {r["id"]: r["start"] for r in want.collect()}
     assert np.isfinite([r["start"] for r in spark.table("rate").collect()]).all()
+
+
+def test_shared_folder_is_needed_on_a_cluster(spark, monkeypatch, tmp_path):
+    from rivulet import session
+
+    class Elsewhere:
+        conf = spark.conf
+
+        class sparkContext:  # noqa: N801
+            master = "spark://somewhere:7077"
+
+    with pytest.raises(RuntimeError):
+        session.shared_dir(Elsewhere)
+    path = str(tmp_path / "gone")
+    spark.range(3).write.parquet(session.written(spark, path))
+    monkeypatch.setattr(session, "_WRITTEN", session._WRITTEN[-1:])
+    session.forget_written()
+    assert not (tmp_path / "gone").exists()
+
+
+def test_failures_are_retried_with_jitter(spark, sf):
+    j, now = registry.jobs(spark, sf), F.expr("TIMESTAMP_NTZ '2024-02-01 00:00:00'")
+    failures = j.filter("state = 'running'").select("id", F.lit("boom").alias("error"))
+    got = queue.fail_with_backoff(j, failures, now, seed=3).join(failures.select("id"), "id").filter("state = 'pending'").select("attempt", F.expr("scheduled_at - TIMESTAMP_NTZ '2024-02-01 00:00:00'").alias("wait")).collect()
+    assert len({r["wait"] for r in got}) > 10
+    for r in got:
+        whole = min(60 * 2 ** max(r["attempt"] - 1, 0), 3600)
+        assert whole // 2 <= r["wait"].total_seconds() <= whole
+
+
+def test_read_api(spark, sf):
+    import json
+    import urllib.request
+
+    a, s = registry.articles(spark, sf).cache(), registry.customers(spark, sf).cache()
+    httpd = feed.server(a, s)
+    threading.Thread(target=httpd.serve_forever, daemon=True).start()
+    url = f"http://127.0.0.1:{httpd.server_port}/api/articles"
+    try:
+        first = json.load(urllib.request.urlopen(f"{url}?limit=3"))
+        more = json.load(urllib.request.urlopen(f"{url}?limit=3&cursor={first['nextCursor']}"))
+        assert len(first["items"]) == 3 and not {i["id"] for i in first["items"]} & {i["id"] for i in more["items"]}
+        assert {"sourceSlug", "publishedAt", "canonicalUrl"} <= set(first["items"][0])
+        assert feed.respond(a, s, "cursor=???")[0] == 400 and feed.respond(a, s, "limit=x")[0] == 400
+        with pytest.raises(urllib.error.HTTPError):
+            urllib.request.urlopen(f"http://127.0.0.1:{httpd.server_port}/other")
+    finally:
+        httpd.shutdown()
+
+
+def test_page_refills_when_sources_are_missing(spark, sf):
+    a, s = registry.articles(spark, sf).filter("id < 400"), registry.customers(spark, sf)
+    known = s.filter("id % 3 = 0")
+    got = [r["id"] for r in feed.page(a, known, 20).collect()]
+    want = a.filter("status = 'published'").join(known.select(F.col("id").alias("source_id")), "source_id").orderBy(F.desc("published_at"), F.desc("id")).limit(20)
+    assert got == [r["id"] for r in want.collect()]
+
+
+def test_related_keeps_to_model_and_published(spark):
+    from rivulet.operators import vectors
+
+    rows = [(1, "m", [1.0, 0.0]), (2, "m", [1.0, 0.1]), (3, "other", [1.0, 0.0]), (4, "m", [1.0, 0.05]), (1, "other", [0.0, 1.0])]
+    v = spark.createDataFrame(rows, "id long, model string, vector array<double>")
+    a = spark.createDataFrame([(1, "published"), (2, "published"), (3, "published"), (4, "duplicate")], "id long, status string")
+    assert [r["id"] for r in vectors.related(v, 1, articles=a, model="m").collect()] == [2]
+    assert [r["id"] for r in vectors.related(v, 1, model="m").collect()] == [4, 2]
