@@ -448,7 +448,10 @@ def test_shared_folder_is_needed_on_a_cluster(spark, monkeypatch, tmp_path):
     from rivulet import session
 
     class Elsewhere:
-        conf = spark.conf
+        class conf:  # noqa: N801
+            @staticmethod
+            def get(key, default):
+                return default
 
         class sparkContext:  # noqa: N801
             master = "spark://somewhere:7077"
