@@ -2,10 +2,7 @@
 
 from __future__ import annotations
 
-import atexit
-import shutil
 import sys
-import tempfile
 import uuid
 
 from pyspark.sql import DataFrame, SparkSession
@@ -13,6 +10,7 @@ from pyspark.sql import functions as F
 from pyspark.sql.types import DataType, StructField, StructType
 
 from ..operators.skew import attach
+from ..session import shared_dir, written
 
 
 def worker_cache() -> dict:
@@ -40,20 +38,9 @@ def small_batches(df: DataFrame) -> None:
         conf.set(size, BATCH_BYTES)
 
 
-def shared_dir(spark: SparkSession) -> str:
-    """The folder that driver and executors share: spark.checkpoint.dir. Only where it is unset (tests) is one made here."""
-    root = spark.conf.get("spark.checkpoint.dir", None)
-    if not root:
-        cache = worker_cache()
-        if "local_dir" not in cache:
-            cache["local_dir"] = tempfile.mkdtemp(prefix="rivulet-")
-            atexit.register(shutil.rmtree, cache["local_dir"], ignore_errors=True)
-        root = cache["local_dir"]
-    return root.rstrip("/")
-
-
 def new_path(spark: SparkSession, label: str) -> str:
-    return f"{shared_dir(spark)}/rivulet/{label}-{uuid.uuid4().hex}"
+    """A name in the folder that driver and executors share, removed when the process ends."""
+    return written(spark, f"{shared_dir(spark)}/rivulet/{label}-{uuid.uuid4().hex}")
 
 
 def plus(df: DataFrame, **columns: str) -> StructType:

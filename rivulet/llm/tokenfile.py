@@ -20,7 +20,9 @@ ROWS = 500
 
 
 def write_token_files(docs: DataFrame, tokenizer: str, end_id: int, folder: str | None = None) -> DataFrame:
-    """Encode docs (doc_id, text) and write one file for each range of doc_ids; returns the manifest.
+    """Encode docs (doc_id, text) and write one file for each range of doc_ids into a folder; returns the manifest.
+
+    Without a folder the files lie in the shared one and are removed when the process ends.
 
     Manifest: part int (ascending with doc_id), path, n_docs, n_ids long. Null and empty texts are the end id alone; a null
     doc_id comes first; rows with the same doc_id each are a document, ordered by a hash of the text and, where that ties, by
