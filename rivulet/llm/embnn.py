@@ -29,7 +29,7 @@ from .simhash import _forest
 THRESHOLD = 0.95
 TURNS = 10
 #: Directions of a code for up to SMALL vectors, and how many filters a random vector is in; the tests measure the recall.
-SMALL, DIRECTIONS, FILTERS = 50_000, 1600, 24
+SMALL, DIRECTIONS, FILTERS = 100_000, 1600, 24
 #: No cap is narrower than this, so that two vectors at the threshold can share one; in few dimensions that takes fewer words.
 NARROW = 0.87
 #: Vectors of fewer dimensions than this for each block have fewer blocks.
@@ -201,12 +201,26 @@ class _Groups:
             yield pa.Table.from_batches(held)
 
 
-def _verify(batches: Iterator[pa.RecordBatch], threshold: float) -> Iterator[pa.RecordBatch]:
-    """Sorted rows (dim, filter, r, s, node, side, n, vector, marks) -> degrees (a, null, n) and links (a, b, null)."""
-    for table in _Groups(["dim", "filter", "r", "s"])(batches):
+def _places(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+    """The rows of each place (dim, filter, r, s) that has more than one; places whose keys are equal are told apart."""
+    for table in _Groups(["key"])(batches):
         if table.num_rows < 2:
             continue
         batch = table.combine_chunks().to_batches()[0]
+        place = np.stack([batch.column(k).to_numpy(zero_copy_only=False).astype(np.int64) for k in ("dim", "filter", "r", "s")], axis=1)
+        if (place == place[0]).all():
+            yield batch
+            continue
+        _, at = np.unique(place, axis=0, return_inverse=True)
+        for k in range(at.max() + 1):
+            own = batch.filter(pa.array(at.ravel() == k))
+            if own.num_rows > 1:
+                yield own
+
+
+def _verify(batches: Iterator[pa.RecordBatch], threshold: float) -> Iterator[pa.RecordBatch]:
+    """Rows (dim, filter, r, s, node, side, n, vector, marks, key) sorted by key -> degrees (a, null, n) and links (a, b, null)."""
+    for batch in _places(batches):
         here = batch.column("filter")[0].as_py()
         node, side, n = (batch.column(k).to_numpy(zero_copy_only=False) for k in ("node", "side", "n"))
         dim = batch.column("dim")[0].as_py()
@@ -286,20 +300,17 @@ def link_vectors(vectors: DataFrame, threshold: float = THRESHOLD, tile: int = T
     kind = "float" if merged.schema["embedding"].dataType.elementType.simpleString() == "float" else "double"
     shape = merged.select("node", "n", F.size("embedding").alias("dim"), F.col("embedding").cast(f"array<{kind}>").alias("embedding"))
     coded = materialise(shape.mapInArrow(lambda it: _decode(it, depth), "node long, n long, dim int, vector binary, filters array<long>, marks binary"), "caps-coded")
-    member = coded.select("node", "dim", F.explode("filters").alias("filter"))
-    # filters with one member meet nothing; the others know into how many groups they are cut
-    crowd = member.groupBy("dim", "filter").count().filter(F.col("count") > 1)
+    member = coded.select("dim", F.explode("filters").alias("filter"))
+    # only filters with more than a tile of members are cut; they are few, as each has so many
+    crowd = member.groupBy("dim", "filter").count().filter(F.col("count") > tile)
     crowd = materialise(crowd.select("dim", "filter", F.ceil(F.col("count") / tile).cast("int").alias("g")), "caps-crowd")
-    open_ = member.join(crowd, ["dim", "filter"])
-    group = F.pmod(F.xxhash64("node"), F.col("g")).cast("int")
-    met = open_.withColumn("own", group).withColumn("other", F.explode(F.sequence(F.lit(0), F.col("g") - 1)))
-    met = met.select("dim", "filter", F.least("own", "other").alias("r"), F.greatest("own", "other").alias("s"), "node", (F.col("own") > F.col("other")).cast("int").alias("side"))
-    # places are made of ids alone; the vectors are attached to them last
-    met = materialise(met, "caps-places").join(coded.select("node", "n", "vector", "marks"), "node")
-    # of a pair of groups the smaller one is the left side
-    spread = met.repartition("dim", "filter", "r", "s").sortWithinPartitions("dim", "filter", "r", "s")
-    columns = spread.select("dim", "filter", "r", "s", "node", "side", "n", "vector", "marks")
-    found = materialise(columns.mapInArrow(lambda it: _verify(it, threshold), "a long, b long, n long"), "caps-found")
+    open_ = coded.select("node", "n", "dim", "vector", "marks", F.explode("filters").alias("filter")).join(crowd, ["dim", "filter"], "left")
+    parts = F.coalesce("g", F.lit(1))
+    met = open_.withColumn("own", F.pmod(F.xxhash64("node"), parts).cast("int")).withColumn("other", F.explode(F.sequence(F.lit(0), parts - 1)))
+    met = met.select("dim", "filter", F.least("own", "other").alias("r"), F.greatest("own", "other").alias("s"), "node", (F.col("own") > F.col("other")).cast("int").alias("side"), "n", "vector", "marks")
+    # of a pair of groups the smaller one is the left side; one long to sort by is sorted fastest
+    keyed = met.withColumn("key", F.xxhash64("dim", "filter", "r", "s")).repartition("key").sortWithinPartitions("key")
+    found = materialise(keyed.mapInArrow(lambda it: _verify(it, threshold), "a long, b long, n long"), "caps-found")
     degree = found.filter("b is null").groupBy(F.col("a").alias("node")).agg(F.sum("n").alias("links"))
     roots = connected_components(found.filter("b is not null").select("a", "b"))
     each = merged.drop("embedding", "same").join(degree, "node", "left").join(roots, "node", "left").withColumn("root", F.coalesce("root", "node"))

@@ -474,7 +474,7 @@ def test_vector_recall_at_the_threshold(dim, level):
 
 def test_filters_keep_their_size():
     """Four times the vectors have four times the directions."""
-    assert [embnn.level(n) for n in (0, 50_000, 50_001, 200_000, 200_001, 10**9)] == [0, 0, 1, 1, 2, 8]
+    assert [embnn.level(n) for n in (0, 100_000, 100_001, 400_000, 400_001, 10**9)] == [0, 0, 1, 1, 2, 7]
     sizes = [embnn.Code(64, level=k).size for k in range(6)]
     assert all(3.8 < b / a < 4.2 for a, b in zip(sizes, sizes[1:], strict=False))
 
