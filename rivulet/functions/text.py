@@ -58,13 +58,13 @@ def clip_error(text: Column) -> Column:
 
 
 def unaccent(text: Column) -> Column:
-    """Latin letters without their marks; null stays null."""
-    return F.translate(text, ACCENTED, PLAIN)
+    """Latin letters without their marks; null stays null. Texts of ASCII letters alone are not walked through."""
+    return F.when(text.rlike(r"[^\x00-\x7f]"), F.translate(text, ACCENTED, PLAIN)).otherwise(text)
 
 
 def tokens(text: Column) -> Column:
     """Words of letters, digits and underscores in lower case, in order; no stemming and no stop words."""
-    return F.filter(F.split(F.lower(F.coalesce(text, F.lit(""))), r"[^\p{L}\p{N}_]+"), lambda w: w != "")
+    return F.array_remove(F.split(F.lower(F.coalesce(text, F.lit(""))), r"[^\p{L}\p{N}_]+"), "")
 
 
 def trigrams(text: Column) -> Column:

@@ -2,9 +2,17 @@
 
 from __future__ import annotations
 
+from collections.abc import Iterator
+
+import numpy as np
+import pyarrow as pa
 from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
 
+from ..session import store
+
+#: Vectors of a tile.
+TILE = 1024
 RELATED, CANDIDATES, WINDOW_DAYS, SAME = 8, 5, 3, 0.92
 
 
@@ -40,26 +48,58 @@ def related(vectors: DataFrame, vec_id: int, k: int = RELATED, where: Column | N
     return scored.orderBy(F.desc("similarity"), "id").limit(k)
 
 
-def semantic_candidates(vectors: DataFrame, days: int = WINDOW_DAYS, k: int = CANDIDATES, least: float = SAME) -> DataFrame:
-    """id, other, similarity: for each row the k nearest rows of the same model within `days` days, of at least `least`.
+def semantic_candidates(vectors: DataFrame, days: int = WINDOW_DAYS, k: int | None = CANDIDATES, least: float = SAME, tile: int = TILE) -> DataFrame:
+    """id, other, similarity, rank: for each row the k nearest rows (None: all) of the same model within `days` days, of at
+    least `least`.
 
-    vectors: id, model, published_at, vector. Rows meet by model and bucket of time, each also with the buckets beside.
+    vectors: id, model, published_at, vector. Rows lie in tiles of one model and bucket of time; a tile meets those of its own
+    bucket and of the buckets beside it, each two in a piece of work of their own. Products are taken in double in numpy, and
+    a row keeps its k best of each tile. Rows with another number of dimensions, with null or with zero vectors meet nothing.
     """
-    seconds = days * 86400
+    width = days * 86400 * 1_000_000
     at = F.unix_micros(F.col("published_at").cast("timestamp"))
-    unit = vectors.select("id", "model", at.alias("at"), F.col("vector"), norm(F.col("vector")).alias("len"), F.floor(at / (seconds * 1_000_000)).alias("bucket"))
-    other = unit.select("model", F.col("id").alias("other"), F.col("at").alias("at2"), F.col("vector").alias("v2"), F.col("len").alias("len2"), "bucket")
-    mine = unit.withColumn("bucket", F.explode(F.array(F.col("bucket") - 1, F.col("bucket"), F.col("bucket") + 1)))
-    met = mine.join(other, ["model", "bucket"]).filter((F.col("id") != F.col("other")) & (F.abs(F.col("at") - F.col("at2")) <= seconds * 1_000_000))
-    scored = met.select("id", "other", (dot(F.col("vector"), F.col("v2")) / (F.col("len") * F.col("len2"))).alias("similarity")).filter(F.col("similarity") >= least)
+    known = F.col("vector").isNotNull() & F.col("id").isNotNull() & at.isNotNull()
+    rows = store(vectors.filter(known).select("id", "model", at.alias("at"), F.size("vector").alias("dim"), F.col("vector").cast("array<double>").alias("v"), F.floor(at / width).alias("bucket")), "vector-rows")
+    counts = rows.groupBy("model", "dim", "bucket").agg(F.count("*").alias("n"))
+    counts = store(counts.select("model", "dim", "bucket", F.ceil(F.col("n") / tile).cast("int").alias("parts")), "vector-counts")
+    dealt = rows.join(counts, ["model", "dim", "bucket"]).withColumn("part", F.pmod(F.xxhash64("id"), F.col("parts")).cast("int"))
+    tiles = store(dealt.groupBy("model", "dim", "bucket", "part").agg(F.collect_list("id").alias("ids"), F.collect_list("at").alias("ats"), F.flatten(F.collect_list("v")).alias("flat")), "vector-tiles")
+    beside = tiles.withColumn("to", F.explode(F.array(*[F.col("bucket") + d for d in (-1, 0, 1)])))
+    sizes = counts.select("model", "dim", F.col("bucket").alias("to"), F.col("parts").alias("to_parts"))
+    left = beside.join(sizes, ["model", "dim", "to"]).withColumn("to_part", F.explode(F.sequence(F.lit(0), F.col("to_parts") - 1)))
+    left = left.select("model", "dim", "to", "to_part", *[F.col(c).alias(f"a_{c}") for c in ("ids", "ats", "flat")])
+    right = tiles.select("model", "dim", F.col("bucket").alias("to"), F.col("part").alias("to_part"), "ids", "ats", "flat")
+    met = left.join(right, ["model", "dim", "to", "to_part"]).select("dim", "a_ids", "a_ats", "a_flat", "ids", "ats", "flat")
+    near = met.mapInArrow(lambda it: _near(it, width, least, k), "id long, other long, similarity double")
     order = Window.partitionBy("id").orderBy(F.desc("similarity"), "other")
-    return scored.withColumn("rank", F.row_number().over(order)).filter(F.col("rank") <= k)
+    ranked = near.withColumn("rank", F.row_number().over(order))
+    return ranked if k is None else ranked.filter(F.col("rank") <= k)
+
+
+def _near(batches: Iterator[pa.RecordBatch], width: int, least: float, k: int | None) -> Iterator[pa.RecordBatch]:
+    for batch in batches:
+        for r in range(batch.num_rows):
+            dim = batch.column(0)[r].as_py()
+            values = [batch.column(c)[r].values.to_numpy(zero_copy_only=False) for c in range(1, 7)]
+            (ids, ats, flat), (ids2, ats2, flat2) = values[:3], values[3:]
+            with np.errstate(divide="ignore", invalid="ignore"):
+                x, y = flat.reshape(-1, dim), flat2.reshape(-1, dim)
+                cos = (x @ y.T) / (np.linalg.norm(x, axis=1)[:, None] * np.linalg.norm(y, axis=1)[None, :])
+            fit = (cos >= least) & (np.abs(ats[:, None] - ats2[None, :]) <= width) & (ids[:, None] != ids2[None, :])
+            i, j = np.nonzero(fit)
+            s = cos[i, j]
+            if k is not None and len(i):
+                order = np.lexsort((ids2[j], -s, i))
+                i, j, s = i[order], j[order], s[order]
+                place = np.arange(len(i)) - np.searchsorted(i, i, "left")
+                i, j, s = i[place < k], j[place < k], s[place < k]
+            yield pa.RecordBatch.from_arrays([pa.array(ids[i]), pa.array(ids2[j]), pa.array(s)], ["id", "other", "similarity"])
 
 
 def semantic_winners(vectors: DataFrame, least: float = SAME, days: int = WINDOW_DAYS) -> DataFrame:
     """id, winner: the earliest of the near rows that come before a row."""
     when = vectors.select("id", F.col("published_at").alias("p"))
-    pairs = semantic_candidates(vectors, days, 1 << 30, least).select("id", "other")
+    pairs = semantic_candidates(vectors, days, None, least).select("id", "other")
     dated = pairs.join(when, "id").join(when.select(F.col("id").alias("other"), F.col("p").alias("p2")), "other")
     earlier = dated.filter(F.struct("p2", "other") < F.struct("p", "id"))
     return earlier.groupBy("id").agg(F.min(F.struct("p2", "other")).alias("w")).select("id", F.col("w.other").alias("winner"))

@@ -15,7 +15,7 @@ from pyspark.sql import functions as F
 from ..functions import html, text, urls
 from ..functions.simhash import with_simhash
 from ..operators import dedup, feed, ingest, politeness, quality, queue, search, vectors
-from ..session import store, table
+from ..session import spread, store, table
 from ..sources import config as source_config
 from ..sources import feeds, generate
 from ..streaming import jobs as streams
@@ -50,7 +50,7 @@ def customers(spark: SparkSession, sf: str) -> DataFrame:
 
 
 def bodies(spark: SparkSession, sf: str) -> DataFrame:
-    d = table(spark, sf, "documents")
+    d = spread(table(spark, sf, "documents"))
     norm = text.normalize_plain(F.col("text"))
     return d.select(F.col("doc_id").alias("id"), _hours(F.col("doc_id") % 72).alias("published_at"), F.lit("published").alias("status"), norm.alias("norm"), F.lit(None).cast("long").alias("duplicate_of_id"))
 
@@ -91,7 +91,7 @@ def vector_rows(spark: SparkSession, sf: str) -> DataFrame:
 
 
 def search_documents(spark: SparkSession, sf: str) -> DataFrame:
-    return table(spark, sf, "documents").select(F.col("doc_id").alias("id"), F.left("text", F.lit(80)).alias("title"), F.substring("text", 81, 200).alias("summary"), F.col("text").alias("body"), F.lit("published").alias("status"), _hours(F.col("doc_id") % 72).alias("published_at"))
+    return spread(table(spark, sf, "documents")).select(F.col("doc_id").alias("id"), F.left("text", F.lit(80)).alias("title"), F.substring("text", 81, 200).alias("summary"), F.col("text").alias("body"), F.lit("published").alias("status"), _hours(F.col("doc_id") % 72).alias("published_at"))
 
 
 # ---------------------------------------------------------------- feed
@@ -132,7 +132,7 @@ def feed_time_ago(spark, sf):
 
 
 def _canonical(spark, sf):
-    return table(spark, sf, "pages").select("page_id", "url", urls.canonicalize(F.col("url")).alias("canonical_url"))
+    return spread(table(spark, sf, "pages").select("page_id", "url")).select("page_id", "url", urls.canonicalize(F.col("url")).alias("canonical_url"))
 
 
 def url_canonicalize(spark, sf):
@@ -200,25 +200,25 @@ def dedup_flatten(spark, sf):
 
 
 def html_text(spark, sf):
-    return html.with_text(table(spark, sf, "pages"), "html").select("page_id", F.length("text_plain").alias("chars"), F.sha2("text_plain", 256).alias("text_sha256"))
+    return html.with_text(spread(table(spark, sf, "pages")), "html").select("page_id", F.length("text_plain").alias("chars"), F.sha2("text_plain", 256).alias("text_sha256"))
 
 
 def html_summary(spark, sf):
-    return html.with_text(table(spark, sf, "pages"), "html").select("page_id", text.summarize(F.col("text_plain")).alias("summary"))
+    return html.with_text(spread(table(spark, sf, "pages")), "html").select("page_id", text.summarize(F.col("text_plain")).alias("summary"))
 
 
 def html_extract(spark, sf):
     e = F.col("extracted")
-    return html.with_extract(table(spark, sf, "pages"), "html").select("page_id", e["method"].alias("method"), F.length(e["text"]).alias("chars"), F.sha2(e["text"], 256).alias("text_sha256"), F.round(e["link_density"], 6).alias("link_density"))
+    return html.with_extract(spread(table(spark, sf, "pages")), "html").select("page_id", e["method"].alias("method"), F.length(e["text"]).alias("chars"), F.sha2(e["text"], 256).alias("text_sha256"), F.round(e["link_density"], 6).alias("link_density"))
 
 
 def link_density(spark, sf):
-    return html.with_link_density(table(spark, sf, "pages"), "html").select("page_id", F.round("link_density", 6).alias("link_density"))
+    return html.with_link_density(spread(table(spark, sf, "pages")), "html").select("page_id", F.round("link_density", 6).alias("link_density"))
 
 
 def extraction_store(spark, sf):
     """Extraction results in the article table: a body under the hash floor is stored without a hash."""
-    p = table(spark, sf, "pages")
+    p = spread(table(spark, sf, "pages"))
     known = p.select(F.col("page_id").alias("id"), F.lit(None).cast("binary").alias("content_hash"), F.lit(None).cast("int").alias("word_count"))
     got = html.with_extract(p, "html").filter("extracted is not null").select(F.col("page_id").alias("id"), F.col("extracted.text").alias("t"))
     h = text.content_hash(F.col("t"))
@@ -473,17 +473,17 @@ def fts_rank_cd(spark, sf):
 
 
 def title_trigram_pairs(spark, sf):
-    t = table(spark, sf, "documents").select(F.col("doc_id").alias("id"), F.left("text", F.lit(80)).alias("title"), _hours(F.col("doc_id") % 72).alias("published_at"))
+    t = spread(table(spark, sf, "documents").select("doc_id", F.left("text", F.lit(80)).alias("title"))).select(F.col("doc_id").alias("id"), "title", _hours(F.col("doc_id") % 72).alias("published_at"))
     return search.title_pairs(t, 0.6).select("a", "b", F.round("similarity", 6).alias("similarity"))
 
 
 def similar_titles(spark, sf):
-    t = table(spark, sf, "documents").select(F.col("doc_id").alias("id"), F.left("text", F.lit(80)).alias("title"), _hours(F.col("doc_id") % 72).alias("published_at"))
+    t = spread(table(spark, sf, "documents").select("doc_id", F.left("text", F.lit(80)).alias("title"))).select(F.col("doc_id").alias("id"), "title", _hours(F.col("doc_id") % 72).alias("published_at"))
     return search.similar_titles(t, "Was the thing in the ère of it", _at("2024-01-04 00:00:00"), threshold=0.05).select("id", F.round("similarity", 6).alias("similarity"))
 
 
 def unaccent_tokens(spark, sf):
-    t = table(spark, sf, "documents").select(F.explode(text.tokens(text.unaccent(F.col("text")))).alias("token"))
+    t = spread(table(spark, sf, "documents")).select(F.explode(text.tokens(text.unaccent(F.col("text")))).alias("token"))
     return t.groupBy("token").agg(F.count("*").alias("n"))
 
 
