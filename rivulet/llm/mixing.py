@@ -14,17 +14,19 @@ document its rate, so no rate is stored before the end.
 
 from __future__ import annotations
 
+import math
 import re
 from collections import Counter
 from collections.abc import Callable, Iterator
+from itertools import islice
 
 import numpy as np
 import pyarrow as pa
 from pyspark.sql import DataFrame, Window
 from pyspark.sql import functions as F
 
-from .common import materialise, plus, small_batches
-from .tokens import Encoder
+from .common import materialise, plus, small_batches, worker_cache
+from .tokens import Encoder, Growing
 
 #: The bounded training sample: so many labelled documents of each domain, first in order of a hash of their ids, among
 #: those of at most so many characters.
@@ -54,23 +56,26 @@ def domain_of(labels: DataFrame) -> DataFrame:
     return labels.filter(known).select(F.col("doc_id").cast("long").alias("doc_id"), d.alias("domain"))
 
 
-def _shape(text: str, words: list[str]) -> list[float]:
-    """Numbers on the form of a text, each about 0 to 1."""
-    n, m = max(len(text), 1), max(len(words), 1)
+def _form(text: str, letters: float, words: float, distinct: float) -> list[float]:
+    """Numbers on the form of a text with so many letters in words, words, and distinct words; each about 0 to 1."""
+    n, m = max(len(text), 1), max(words, 1)
     lines = text.split("\n")
-    letters = sum(map(len, words))
     return [
-        np.log1p(n) / 12,
+        math.log1p(n) / 12,
         letters / n,
-        len(set(words)) / m,
+        distinct / m,
         len(set(lines)) / len(lines),
         min(letters / m / 12, 2.0),
         min(text.count("|") / m, 1.0),
-        min(sum(text.count(c) for c in "0123456789") / n * 4, 1.0),
+        min(sum(map(text.count, "0123456789")) / n * 4, 1.0),
         min((text.count(".") + text.count("!") + text.count("?")) / m * 4, 1.0),
     ]
 
 
+def _shape(text: str, words: list[str]) -> list[float]:
+    return _form(text, sum(map(len, words)), len(words), len(set(words)))
+
+
 class Classifier:
     """Multinomial logistic regression on the presence of words and the form of the text."""
 
@@ -138,6 +143,81 @@ class Classifier:
         return (p / p.sum()).tolist()
 
 
+class _Words:
+    """What the classifier needs to know of each piece of text that an encoder has numbered, once per Python process.
+
+    Texts that the encoder cuts at white space are then described by gathering: their pieces are looked up once for the
+    tokens and for the words.
+    """
+
+    def __init__(self, encoder: Encoder, model: Classifier) -> None:
+        self.pieces, self.model = encoder.pieces, model
+        self.number: dict[str, int] = {}
+        self.flat, self.at, self.size, self.letters = (Growing(np.int32) for _ in range(4))
+        self.known = Growing(np.int32)  # place in the vocabulary of each word, or -1
+
+    @staticmethod
+    def of(encoder: Encoder, model: Classifier) -> _Words:
+        cache = worker_cache()
+        own = cache.get("mix-words")
+        if own is None or own.pieces is not encoder.pieces or own.model is not model:
+            own = cache["mix-words"] = _Words(encoder, model)
+        own._learn()
+        return own
+
+    def _learn(self) -> None:
+        fresh = list(islice(self.pieces, self.at.n, None)) if len(self.pieces) > self.at.n else []
+        # most pieces are a word, or a word and a stop
+        words = [[p] if p.isalpha() else [p[:-1]] if p[:-1].isalpha() and p[-1] in ",." else _WORD.findall(p) for p in fresh]
+        ids, known = [], []
+        for ws in words:
+            for w in ws:
+                n = self.number.get(w)
+                if n is None:
+                    n = self.number[w] = len(self.number)
+                    known.append(self.model.vocabulary.get(w, -1))
+                ids.append(n)
+        size = np.fromiter(map(len, words), np.int64, len(words))
+        self.at.extend(self.flat.n + np.cumsum(size) - size)
+        self.size.extend(size)
+        self.letters.extend(np.fromiter((sum(map(len, ws)) for ws in words), np.int64, len(words)))
+        self.flat.extend(np.array(ids, np.int64))
+        self.known.extend(np.array(known, np.int64))
+
+    def posteriors(self, texts: list[str], rows: list[np.ndarray]) -> np.ndarray:
+        """Of texts whose pieces have these numbers."""
+        weights, docs = self.model.weights, len(texts)
+        piece, doc = np.concatenate(rows), np.repeat(np.arange(docs), [len(r) for r in rows])
+        size = self.size.all[piece].astype(np.int64)
+        ends = np.cumsum(size)
+        word = self.flat.all[np.repeat(self.at.all[piece] - (ends - size), size) + np.arange(size.sum())].astype(np.int64)
+        m = np.bincount(doc, size, docs)
+        letters = np.bincount(doc, self.letters.all[piece], docs)
+        kinds = max(len(self.number), 1)
+        pair = np.sort(np.repeat(doc, size) * kinds + word)
+        pair = pair[np.diff(pair, prepend=-1) > 0]  # each word of each text once
+        own, place = pair // kinds, self.known.all[pair % kinds]
+        distinct = np.bincount(own, minlength=docs)
+        form = np.array([_form(t, *v) for t, *v in zip(texts, letters.tolist(), m.tolist(), distinct.tolist(), strict=True)]).reshape(docs, SHAPE)
+        x = form @ weights[-SHAPE - 1 : -1] + weights[-1]
+        hit = place >= 0
+        for k in range(x.shape[1]):
+            x[:, k] += np.bincount(own[hit], weights[place[hit], k], docs)
+        p = np.exp(x - x.max(axis=1, keepdims=True))
+        return p / p.sum(axis=1, keepdims=True)
+
+
+def describe(model: Classifier, encoder: Encoder, texts: list[str | None]) -> tuple[np.ndarray, list[list[float]]]:
+    """Tokens, at least 1, and posteriors of texts."""
+    fast, rows, whole = encoder.cut(texts)
+    counts = np.maximum(encoder.counts(len(texts), fast, rows, whole), 1)
+    out: list[list[float] | None] = [None] * len(texts)
+    if fast:
+        for i, p in zip(fast, _Words.of(encoder, model).posteriors([texts[i] for i in fast], rows).tolist(), strict=True):
+            out[i] = p
+    return counts, [model.posterior(t) if p is None else p for t, p in zip(texts, out, strict=True)]
+
+
 def train(docs: DataFrame, labelled: DataFrame, sample_docs: int = SAMPLE_DOCS, sample_chars: int = SAMPLE_CHARS) -> Classifier:
     """Fit on the bounded sample (see SAMPLE_DOCS). labelled: doc_id, domain; a doc_id with two domains counts for both.
 
@@ -177,7 +257,8 @@ def with_posterior(docs: DataFrame, model: Classifier, tokenizer: str) -> DataFr
         encoder = Encoder.of(tokenizer, False)
         for batch in batches:
             texts = batch.column(at).to_pylist()
-            more = [pa.array(np.maximum(encoder.counts(texts), 1)), pa.array([own.posterior(t) for t in texts], pa.list_(pa.float64()))]
+            counts, posteriors = describe(own, encoder, texts)
+            more = [pa.array(counts), pa.array(posteriors, pa.list_(pa.float64()))]
             yield pa.RecordBatch.from_arrays([*batch.columns, *more], [*batch.schema.names, "mix_tokens", "mix_p"])
 
     small_batches(docs)

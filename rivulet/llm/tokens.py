@@ -50,7 +50,7 @@ class _Pieces(dict):
         return n
 
 
-class _Growing:
+class Growing:
     """An array with room at its end."""
 
     def __init__(self, dtype: np.dtype) -> None:
@@ -102,7 +102,7 @@ class Encoder:
 
     def _reset(self) -> None:
         self.pieces = _Pieces()
-        self.flat, self.at, self.size = _Growing(self.dtype), _Growing(np.int32), _Growing(np.int32)
+        self.flat, self.at, self.size = Growing(self.dtype), Growing(np.int32), Growing(np.int32)
 
     def _plain(self, text: str) -> bool:
         if not self.known or ODD.search(text) or any(s in text for s in self.special):
@@ -148,7 +148,7 @@ class Encoder:
         self.size.extend(size)
         self.flat.extend(np.fromiter(chain.from_iterable(got), self.dtype, int(size.sum())))
 
-    def _pieces(self, texts: list[str | None]) -> tuple[list[int], list[np.ndarray], dict[int, list[int]]]:
+    def cut(self, texts: list[str | None]) -> tuple[list[int], list[np.ndarray], dict[int, list[int]]]:
         """Which texts are cut at white space, the numbers of their pieces, and the ids of the other texts."""
         if len(self.pieces) > MAX_PIECES:
             self._reset()
@@ -177,10 +177,9 @@ class Encoder:
             self._learn()
         return fast, rows, whole
 
-    def counts(self, texts: list[str | None]) -> np.ndarray:
-        """How many ids each text has, without special tokens."""
-        out = np.zeros(len(texts), np.int64)
-        fast, rows, whole = self._pieces(texts)
+    def counts(self, n: int, fast: list[int], rows: list[np.ndarray], whole: dict[int, list[int]]) -> np.ndarray:
+        """How many ids each of n texts has, without special tokens; the rest is what cut() gave for them."""
+        out = np.zeros(n, np.int64)
         for i, ids in whole.items():
             out[i] = len(ids)
         if rows:
@@ -192,7 +191,7 @@ class Encoder:
     def __call__(self, texts: list[str | None]) -> list[np.ndarray]:
         """Ids of each text without special tokens; null is empty."""
         out: list[np.ndarray] = [np.zeros(0, self.dtype)] * len(texts)
-        fast, rows, whole = self._pieces(texts)
+        fast, rows, whole = self.cut(texts)
         for i, ids in whole.items():
             out[i] = np.asarray(ids, self.dtype)
         if rows:
