@@ -56,14 +56,15 @@ def domain_of(labels: DataFrame) -> DataFrame:
     return labels.filter(known).select(F.col("doc_id").cast("long").alias("doc_id"), d.alias("domain"))
 
 
-def _form(text: str, letters: float, words: float, distinct: float) -> list[float]:
-    """Numbers on the form of a text with so many letters in words, words, and distinct words; each about 0 to 1."""
+def _form(text: str, letters: float, words: float, different: float) -> list[float]:
+    """Numbers on the form of a text with so many letters in words, so many words, and such a share of different pieces
+    between white space; each about 0 to 1."""
     n, m = max(len(text), 1), max(words, 1)
     lines = text.split("\n")
     return [
         math.log1p(n) / 12,
         letters / n,
-        distinct / m,
+        different,
         len(set(lines)) / len(lines),
         min(letters / m / 12, 2.0),
         min(text.count("|") / m, 1.0),
@@ -73,7 +74,8 @@ def _form(text: str, letters: float, words: float, distinct: float) -> list[floa
 
 
 def _shape(text: str, words: list[str]) -> list[float]:
-    return _form(text, sum(map(len, words)), len(words), len(set(words)))
+    pieces = text.lower().split()
+    return _form(text, sum(map(len, words)), len(words), len(set(pieces)) / max(len(pieces), 1))
 
 
 class Classifier:
@@ -147,14 +149,12 @@ class _Words:
     """What the classifier needs to know of each piece of text that an encoder has numbered, once per Python process.
 
     Texts that the encoder cuts at white space are then described by gathering: their pieces are looked up once for the
-    tokens and for the words.
+    tokens and for the words. Only words of the vocabulary are kept.
     """
 
     def __init__(self, encoder: Encoder, model: Classifier) -> None:
         self.pieces, self.model = encoder.pieces, model
-        self.number: dict[str, int] = {}
-        self.flat, self.at, self.size, self.letters = (Growing(np.int32) for _ in range(4))
-        self.known = Growing(np.int32)  # place in the vocabulary of each word, or -1
+        self.words, self.letters, self.size, self.at, self.flat = (Growing(np.int32) for _ in range(5))
 
     @staticmethod
     def of(encoder: Encoder, model: Classifier) -> _Words:
@@ -166,43 +166,50 @@ class _Words:
         return own
 
     def _learn(self) -> None:
-        fresh = list(islice(self.pieces, self.at.n, None)) if len(self.pieces) > self.at.n else []
-        # most pieces are a word, or a word and a stop
-        words = [[p] if p.isalpha() else [p[:-1]] if p[:-1].isalpha() and p[-1] in ",." else _WORD.findall(p) for p in fresh]
-        ids, known = [], []
-        for ws in words:
-            for w in ws:
-                n = self.number.get(w)
-                if n is None:
-                    n = self.number[w] = len(self.number)
-                    known.append(self.model.vocabulary.get(w, -1))
-                ids.append(n)
-        size = np.fromiter(map(len, words), np.int64, len(words))
-        self.at.extend(self.flat.n + np.cumsum(size) - size)
+        known = self.words.n
+        fresh = list(islice(self.pieces, known, None)) if len(self.pieces) > known else []
+        # most pieces are a word, or a word and a stop; -2: look closer
+        get = self.model.vocabulary.get
+        hit = np.fromiter((get(p, -1) if p.isalpha() else get(p[:-1], -1) if p[-1] in ",." and p[:-1].isalpha() else -2 for p in fresh), np.int64, len(fresh))
+        length = np.fromiter(map(len, fresh), np.int64, len(fresh))
+        stop = np.fromiter((p[-1] in ",." for p in fresh), np.int64, len(fresh))
+        words, letters, size = np.ones(len(fresh), np.int64), length - stop, (hit >= 0).astype(np.int64)
+        found: dict[int, list[int]] = {}
+        for i in np.flatnonzero(hit == -2).tolist():
+            own = _WORD.findall(fresh[i])
+            words[i], letters[i] = len(own), sum(map(len, own))
+            found[i] = [v for v in map(get, own) if v is not None]
+            size[i] = len(found[i])
+        ends = np.cumsum(size)
+        flat = np.zeros(int(size.sum()), np.int64)
+        flat[(ends - size)[hit >= 0]] = hit[hit >= 0]
+        for i, own in found.items():
+            flat[ends[i] - size[i] : ends[i]] = own
+        self.at.extend(self.flat.n + ends - size)
+        self.flat.extend(flat)
         self.size.extend(size)
-        self.letters.extend(np.fromiter((sum(map(len, ws)) for ws in words), np.int64, len(words)))
-        self.flat.extend(np.array(ids, np.int64))
-        self.known.extend(np.array(known, np.int64))
+        self.letters.extend(letters)
+        self.words.extend(words)
 
     def posteriors(self, texts: list[str], rows: list[np.ndarray]) -> np.ndarray:
         """Of texts whose pieces have these numbers."""
         weights, docs = self.model.weights, len(texts)
-        piece, doc = np.concatenate(rows), np.repeat(np.arange(docs), [len(r) for r in rows])
-        size = self.size.all[piece].astype(np.int64)
-        ends = np.cumsum(size)
-        word = self.flat.all[np.repeat(self.at.all[piece] - (ends - size), size) + np.arange(size.sum())].astype(np.int64)
-        m = np.bincount(doc, size, docs)
+        piece, length = np.concatenate(rows), np.array([len(r) for r in rows])
+        doc = np.repeat(np.arange(docs), length)
+        words = np.bincount(doc, self.words.all[piece], docs)
         letters = np.bincount(doc, self.letters.all[piece], docs)
-        kinds = max(len(self.number), 1)
-        pair = np.sort(np.repeat(doc, size) * kinds + word)
-        pair = pair[np.diff(pair, prepend=-1) > 0]  # each word of each text once
-        own, place = pair // kinds, self.known.all[pair % kinds]
-        distinct = np.bincount(own, minlength=docs)
-        form = np.array([_form(t, *v) for t, *v in zip(texts, letters.tolist(), m.tolist(), distinct.tolist(), strict=True)]).reshape(docs, SHAPE)
+        different = np.array([len(set(r.tolist())) for r in rows]) / length
+        form = np.array([_form(t, *v) for t, *v in zip(texts, letters.tolist(), words.tolist(), different.tolist(), strict=True)]).reshape(docs, SHAPE)
         x = form @ weights[-SHAPE - 1 : -1] + weights[-1]
-        hit = place >= 0
+        some = self.size.all[piece] > 0
+        piece, doc = piece[some], doc[some]
+        size = self.size.all[piece].astype(np.int64)
+        ends = np.cumsum(size)
+        place = self.flat.all[np.repeat(self.at.all[piece] - (ends - size), size) + np.arange(size.sum())].astype(np.int64)
+        pair = np.unique(np.repeat(doc, size) * WORDS + place)  # each word of each text once
+        own, place = pair // WORDS, pair % WORDS
         for k in range(x.shape[1]):
-            x[:, k] += np.bincount(own[hit], weights[place[hit], k], docs)
+            x[:, k] += np.bincount(own, weights[place, k], docs)
         p = np.exp(x - x.max(axis=1, keepdims=True))
         return p / p.sum(axis=1, keepdims=True)
 
@@ -254,7 +261,7 @@ def with_posterior(docs: DataFrame, model: Classifier, tokenizer: str) -> DataFr
 
     def work(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         own = sent.value
-        encoder = Encoder.of(tokenizer, False)
+        encoder = Encoder.of(tokenizer, False, counting=True)
         for batch in batches:
             texts = batch.column(at).to_pylist()
             counts, posteriors = describe(own, encoder, texts)

@@ -78,14 +78,15 @@ def scheme(path: str) -> bool | None:
 
 
 class Encoder:
-    """Ids of texts for one tokenizer file. `spaced`: the tokenizer keeps the space before a word (byte-level BPE)."""
+    """Ids of texts for one tokenizer file. `spaced`: the tokenizer keeps the space before a word (byte-level BPE).
+    `counting`: only how many ids a piece has is remembered, for counts()."""
 
-    def __init__(self, path: str, spaced: bool) -> None:
+    def __init__(self, path: str, spaced: bool, counting: bool = False) -> None:
         os.environ["TOKENIZERS_PARALLELISM"] = "false"
         from tokenizers import Tokenizer
 
         self.tok = Tokenizer.from_file(path)
-        self.spaced = spaced
+        self.spaced, self.counting = spaced, counting
         self.known = scheme(path) is spaced
         self.special = [t.content for t in self.tok.get_added_tokens_decoder().values()]
         self.dtype = np.uint16 if self.tok.get_vocab_size() <= 65536 else np.uint32
@@ -93,11 +94,11 @@ class Encoder:
         self._reset()
 
     @staticmethod
-    def of(path: str, spaced: bool) -> Encoder:
+    def of(path: str, spaced: bool, counting: bool = False) -> Encoder:
         cache = worker_cache()
-        key = ("encoder", path, spaced)
+        key = ("encoder", path, spaced, counting)
         if key not in cache:
-            cache[key] = Encoder(path, spaced)
+            cache[key] = Encoder(path, spaced, counting)
         return cache[key]
 
     def _reset(self) -> None:
@@ -111,6 +112,32 @@ class Encoder:
             return True
         return not ("  " in text or "\n\n" in text or "\n " in text or " \n" in text or "\t" in text or "\r" in text or "\x0b" in text or "\x0c" in text)
 
+    def _measure(self) -> None:
+        """Count the ids of the new pieces."""
+        new, self.pieces.new = self.pieces.new, []
+        model, lead = self.tok.model.tokenize, "\u0120" if self.spaced else ""
+        size: list[int] = []
+        rest: list[int] = []
+        for piece in new:
+            stop = piece[-1:] in (",", ".")
+            core = piece[:-1] if stop else piece
+            if core.isalpha():
+                size.append(len(model(lead + (core if core.isascii() else core.encode().decode("latin-1").translate(BYTES)))) + stop)
+            else:
+                rest.append(len(size))
+                size.append(0)
+        sizes = np.array(size, np.int64)
+        if rest:
+            of = self._words([new[i] for i in rest]).word_ids
+            sizes[rest] = np.bincount(np.array(of, np.int64), minlength=len(rest))
+        self.size.extend(sizes)
+
+    def _words(self, words: list[str]):
+        """The library's encoding of pieces as words of their own."""
+        if self.spaced:
+            words = [w if w[:1] == "\n" else w[1:] if w[:1] == "\0" else " " + w for w in words]
+        return self.tok.encode(words, is_pretokenized=True, add_special_tokens=False)
+
     def _learn(self) -> None:
         """Encode the new pieces. A piece is a word with the white space before it; most are letters and one stop."""
         new, self.pieces.new = self.pieces.new, []
@@ -135,10 +162,7 @@ class Encoder:
             if stop:
                 got[i] += self.stops[stop]
         if rest:
-            words = [new[i] for i in rest]
-            if self.spaced:
-                words = [w if w[:1] == "\n" else w[1:] if w[:1] == "\0" else " " + w for w in words]
-            enc = self.tok.encode(words, is_pretokenized=True, add_special_tokens=False)
+            enc = self._words([new[i] for i in rest])
             for i in rest:
                 got[i] = []
             for n, w in zip(enc.ids, enc.word_ids, strict=True):
@@ -174,7 +198,7 @@ class Encoder:
                 rows.append(np.fromiter(map(get, parts), np.int32, len(parts)))
                 fast.append(i)
         if self.pieces.new:
-            self._learn()
+            self._measure() if self.counting else self._learn()
         return fast, rows, whole
 
     def counts(self, n: int, fast: list[int], rows: list[np.ndarray], whole: dict[int, list[int]]) -> np.ndarray:

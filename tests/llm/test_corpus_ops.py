@@ -263,7 +263,7 @@ def plain_posterior(model, text):
     text = text or ""
     words = re.findall(r"[^\W\d_]+", text.lower())
     letters, n, m, lines = sum(len(w) for w in words), max(len(text), 1), max(len(words), 1), text.split("\n")
-    form = [np.log1p(n) / 12, letters / n, len({*words}) / m, len({*lines}) / len(lines), min(letters / m / 12, 2), min(text.count("|") / m, 1), min(sum(c in "0123456789" for c in text) / n * 4, 1), min(sum(c in ".!?" for c in text) / m * 4, 1)]
+    form = [np.log1p(n) / 12, letters / n, len({*text.lower().split()}) / max(len(text.split()), 1), len({*lines}) / len(lines), min(letters / m / 12, 2), min(text.count("|") / m, 1), min(sum(c in "0123456789" for c in text) / n * 4, 1), min(sum(c in ".!?" for c in text) / m * 4, 1)]
     size = len(model.vocabulary)
     x = np.zeros(size + len(form) + 1)
     for w in {*words} & {*model.vocabulary}:
