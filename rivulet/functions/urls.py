@@ -61,6 +61,14 @@ def url_hash(canonical: Column) -> Column:
     return F.unhex(F.sha2(canonical, 256))
 
 
+def uuid_of(canonical: Column) -> Column:
+    """A UUID (version 3 form) that an address always has again: from the MD5 of it."""
+    h = F.md5(canonical.cast("binary"))
+    part = lambda at, n: F.substr(h, F.lit(at), F.lit(n))
+    variant = F.element_at(F.array(*map(F.lit, "89ab")), (F.conv(part(17, 1), 16, 10).cast("int") % 4 + 1))
+    return F.concat(part(1, 8), F.lit("-"), part(9, 4), F.lit("-3"), part(14, 3), F.lit("-"), variant, part(18, 3), F.lit("-"), part(21, 12))
+
+
 def host_of(url: Column) -> Column:
     """Host in lower case without port; null if there is none."""
     return F.lower(_part(url, "HOST"))
@@ -71,6 +79,11 @@ def origin_of(url: Column) -> Column:
     return F.concat(_part(url, "PROTOCOL"), F.lit("://"), host_of(url))
 
 
+def base_of(url: Column) -> Column:
+    """scheme://host:port without user and password: where a host's files are asked for."""
+    return F.concat(_part(url, "PROTOCOL"), F.lit("://"), F.regexp_replace(_part(url, "AUTHORITY"), "^.*@", ""))
+
+
 def robots_path(url: Column) -> Column:
     """Path (at least /) and query, as robots patterns see them; null if the URL can't be parsed."""
     path = _part(url, "PATH")

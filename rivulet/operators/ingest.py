@@ -94,6 +94,12 @@ def upsert(existing: DataFrame, batch: DataFrame, next_id: int) -> DataFrame:
     return number_new(out, next_id)
 
 
+def change_counts(upserted: DataFrame) -> DataFrame:
+    """source_id, written, updated, unchanged, bodied: what an upsert did, by source."""
+    n = lambda c: F.count_if(F.col("change") == c)
+    return upserted.groupBy("source_id").agg(n("insert").alias("written"), n("update").alias("updated"), n("none").alias("unchanged"), F.count("content_hash").alias("bodied"))
+
+
 def number_new(rows: DataFrame, next_id: int, order: str = "url_hash") -> DataFrame:
     """Consecutive ids in order of a column for rows without one, without gathering them in one task.
 

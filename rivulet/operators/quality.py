@@ -58,3 +58,31 @@ def live_jobs_over_one(jobs: DataFrame) -> DataFrame:
 def out_of_unit(df: DataFrame, column: str) -> DataFrame:
     c: Column = F.col(column)
     return df.filter(c.isNotNull() & ~c.between(0, 1))
+
+
+def health_by_source(log: DataFrame) -> DataFrame:
+    """source_id, n, success_rate, p50_ms, p99_ms, max_ms of a crawl log. The percentiles interpolate between two attempts."""
+    ok = F.count_if(F.col("error").isNull()) / F.count("*")
+    p = lambda q: F.percentile("duration_ms", F.lit(q))
+    return log.groupBy("source_id").agg(F.count("*").alias("n"), ok.alias("success_rate"), p(0.5).alias("p50_ms"), p(0.99).alias("p99_ms"), F.max("duration_ms").alias("max_ms"))
+
+
+def queue_depth(jobs: DataFrame, now: Column) -> DataFrame:
+    """job_type, pending, due, running, expired, oldest_due: what waits, and since when, for each kind of job."""
+    due = (F.col("state") == "pending") & (F.col("scheduled_at") <= now)
+    expired = (F.col("state") == "running") & (F.col("locked_until") < now)
+    return jobs.groupBy("job_type").agg(
+        F.count_if(F.col("state") == "pending").alias("pending"), F.count_if(due).alias("due"), F.count_if(F.col("state") == "running").alias("running"),
+        F.count_if(F.coalesce(expired, F.lit(False))).alias("expired"), F.min(F.when(due, F.col("scheduled_at"))).alias("oldest_due"),
+    )
+
+
+def hosts_by_source(urls: DataFrame, host: Column) -> DataFrame:
+    """source_id, urls, hosts: over how many hosts the addresses of a source are spread."""
+    return urls.groupBy("source_id").agg(F.count("*").alias("urls"), F.countDistinct(host).alias("hosts"))
+
+
+def sampled(df: DataFrame, key: Column, percent: int) -> DataFrame:
+    """The rows whose key falls into so many of a hundred shares by MD5: the same rows at every run and in every engine."""
+    share = F.conv(F.left(F.md5(key.cast("string").cast("binary")), F.lit(8)), 16, 10).cast("long") % 100
+    return df.filter(share < percent)

@@ -207,3 +207,52 @@ ORACLE_SQL: dict[str, str] = {
 
 # the streamed sweep runs the same layers as the one over the whole table
 ORACLE_SQL["stream_dedup"] = ORACLE_SQL["dedup_sweep"]
+
+# pages: their grammar has comments, raw script and style, inline a, b and meta, four entities and cut-off ends
+_FOLD = r"""trim(regexp_replace(replace(replace(replace(replace(regexp_replace(regexp_replace(regexp_replace({}, '</?(a|b|meta)( [^>]*)?>', '', 'g'), '<[^>]*>', ' ', 'g'), '&amp;?', '&', 'g'), '&copy;', '©'), '&middot;', '·'), '&quot;', '"'), chr(8203), ''), '[\s\x0b\x{{a0}}]+', ' ', 'g'))"""
+_PAGES = rf"""cut AS (SELECT page_id, regexp_replace(regexp_replace(regexp_replace(html, '(?s)<!--.*?-->', '', 'g'), '(?s)<(script|style)>.*?</(script|style)>', '', 'g'), '<[^>]*$', '') AS h FROM pages),
+  texts AS (SELECT page_id, h, {_FOLD.format("h")} AS t FROM cut),
+  found AS (SELECT page_id, regexp_extract(h, '(?s)<article>(.*?)(?:</article>|$)', 1) AS a FROM cut),
+  blocks AS (SELECT page_id, {_FOLD.format("a")} AS body, list_bool_or(list_transform(string_split(a, '<p>')[2:], lambda x: length({_FOLD.format("split_part(x, '</p>', 1)")}) >= 25)) AS prose FROM found)"""
+
+_LOGGED = "(SELECT user_id % 20 AS source_id, value AS ms, event_type = 'error' AS bad FROM events)"
+_UPSERT_SIDES = """e AS (SELECT c_custkey AS k, c_nationkey AS nation, TRUE AS old FROM customer WHERE c_custkey % 2 = 0), b AS (SELECT c_custkey AS k FROM customer WHERE c_custkey % 3 = 0)"""
+ORACLE_SQL |= {
+    "html_text": f"WITH {_PAGES} SELECT page_id, length(t)::INTEGER AS chars, sha256(t) AS text_sha256 FROM texts",
+    "html_summary": rf"WITH {_PAGES} SELECT page_id, CASE WHEN t = '' THEN NULL WHEN length(t) > 280 THEN regexp_replace(left(t, 279), '\s+$', '') || '…' ELSE t END AS summary FROM texts",
+    "link_density": f"""WITH {_PAGES}, l AS (SELECT page_id, length(t) AS n, list_sum(list_transform(regexp_extract_all(h, '(?s)<a [^>]*>(.*?)(?:</a>|$)', 1), lambda x: length({_FOLD.format("x")}))) AS a FROM texts)
+        SELECT page_id, CASE WHEN n = 0 THEN 1.0 ELSE round(least(1.0, coalesce(a, 0) / n), 6) END::DOUBLE AS link_density FROM l""",
+    "html_extract": f"""WITH {_PAGES} SELECT page_id, CASE WHEN length(body) >= 200 THEN CASE WHEN coalesce(prose, FALSE) THEN 'readability' ELSE 'semantic-fallback' END END AS method, CASE WHEN length(body) >= 200 THEN length(body) END::INTEGER AS chars,
+        CASE WHEN length(body) >= 200 THEN sha256(body) END AS text_sha256, CASE WHEN length(body) >= 200 THEN 0.0 END::DOUBLE AS link_density FROM blocks""",
+    "extraction_store": f"WITH {_PAGES} SELECT page_id AS id, CASE WHEN length(body) >= 500 THEN sha256(body) END AS content_hash, CASE WHEN length(body) >= 500 THEN length(body) - length(replace(body, ' ', '')) + 1 END::INTEGER AS word_count FROM blocks",
+    "source_hosts": f"WITH {_CANONICAL} SELECT page_id % 4 AS source_id, count(*)::BIGINT AS urls, count(DISTINCT host)::BIGINT AS hosts FROM canonical GROUP BY 1",
+    "crawl_health_sources": f"""SELECT source_id, count(*)::BIGINT AS n, round(count(*) FILTER (WHERE NOT bad) / count(*), 6) AS success_rate, round(quantile_cont(ms, 0.5), 6) AS p50_ms, round(quantile_cont(ms, 0.99), 6) AS p99_ms, round(max(ms), 6) AS max_ms FROM {_LOGGED} GROUP BY 1""",
+    "queue_depth": f"""WITH {_JOBS} SELECT job_type, (count(*) FILTER (WHERE state = 'pending'))::BIGINT AS pending, (count(*) FILTER (WHERE state = 'pending' AND scheduled_at <= {_NOW}))::BIGINT AS due, (count(*) FILTER (WHERE state = 'running'))::BIGINT AS running,
+        (count(*) FILTER (WHERE state = 'running' AND locked_until < {_NOW}))::BIGINT AS expired, min(scheduled_at) FILTER (WHERE state = 'pending' AND scheduled_at <= {_NOW}) AS oldest_due FROM jobs GROUP BY job_type""",
+    "crawl_health_sliding": """WITH w AS (SELECT time_bucket(INTERVAL '3 hours', ts, TIMESTAMP '1970-01-01 00:00:00') - INTERVAL 3 HOUR * i AS window_start, event_type, value FROM events, range(2) r(i))
+        SELECT window_start, count(*)::BIGINT AS n, (count(*) FILTER (WHERE event_type = 'error'))::BIGINT AS n_errors, round(avg(value), 6) AS avg_ms, max(value) AS max_ms FROM w GROUP BY 1""",
+    "session_activity": """WITH o AS (SELECT user_id, ts, lag(ts) OVER (PARTITION BY user_id ORDER BY ts) AS p FROM events), s AS (SELECT user_id, ts, sum(CASE WHEN p IS NULL OR ts >= p + INTERVAL 12 HOUR THEN 1 ELSE 0 END) OVER (PARTITION BY user_id ORDER BY ts) AS k FROM o)
+        SELECT user_id, min(ts) AS started_at, count(*)::BIGINT AS n FROM s GROUP BY user_id, k""",
+    "status_rollup": f"WITH {_ARTICLES} SELECT status, summary AS priority, count(*)::BIGINT AS n, grouping_id(status, summary)::INTEGER AS level FROM articles GROUP BY ROLLUP (status, summary)",
+    "article_sample": "SELECT o_orderkey AS id, o_custkey AS source_id FROM orders WHERE ('0x' || left(md5(o_orderkey::VARCHAR), 8))::BIGINT % 100 < 10",
+    "source_sets": f"""WITH {_JOBS}, {_SOURCES}, l AS (SELECT DISTINCT source_id FROM jobs WHERE state IN ('pending', 'running')), d AS (SELECT id AS source_id FROM crawl WHERE enabled AND feed_url IS NOT NULL AND next_crawl_at <= {_NOW})
+        SELECT 'both' AS part, source_id FROM (SELECT * FROM l INTERSECT SELECT * FROM d) UNION ALL SELECT 'live only', source_id FROM (SELECT * FROM l EXCEPT SELECT * FROM d)
+        UNION ALL SELECT 'due only', source_id FROM (SELECT * FROM d EXCEPT SELECT * FROM l) UNION ALL SELECT 'either', source_id FROM (SELECT * FROM l UNION SELECT * FROM d)""",
+    "event_windows": """SELECT event_id, lag(event_id) OVER w AS before, lead(event_id, 2) OVER w AS second_after, (ntile(4) OVER w)::INTEGER AS quarter, (dense_rank() OVER (PARTITION BY user_id ORDER BY event_type))::INTEGER AS kind_rank,
+        (count(*) OVER (PARTITION BY user_id ORDER BY epoch(date_trunc('second', ts)) RANGE BETWEEN 86400 PRECEDING AND CURRENT ROW))::BIGINT AS in_a_day FROM events WINDOW w AS (PARTITION BY user_id ORDER BY ts, event_id)""",
+    "ingest_counters": f"""WITH {_UPSERT_SIDES}, m AS (SELECT coalesce(e.k, b.k) AS k, e.k IS NOT NULL AS old, b.k IS NOT NULL AS new, CASE WHEN e.k IS NULL THEN 7 ELSE nation END AS source_id FROM e FULL JOIN b ON e.k = b.k)
+        SELECT source_id::BIGINT AS source_id, (count(*) FILTER (WHERE NOT old))::BIGINT AS written, (count(*) FILTER (WHERE old AND new AND k % 12 <> 0))::BIGINT AS updated, (count(*) FILTER (WHERE old AND (NOT new OR k % 12 = 0)))::BIGINT AS unchanged,
+          (count(*) FILTER (WHERE old AND k % 4 = 0))::BIGINT AS bodied FROM m GROUP BY 1""",
+    "fingerprint_backlog": "SELECT doc_id AS id, length(text)::INTEGER AS chars FROM documents WHERE doc_id % 3 <> 0 AND doc_id % 2 = 0 AND length(text) >= 500",
+    "full_content_ingest": f"""WITH d AS (SELECT doc_id, translate(coalesce(text, ''), '<>&', '   ') AS text FROM documents), n AS (SELECT doc_id, replace(replace({_NORM}, chr(173), ''), chr(8203), '') AS norm FROM d)
+        SELECT 'https://d.example/' || doc_id AS canonical_url, 'short' AS summary, CASE WHEN doc_id % 3 = 0 AND length(norm) >= 500 THEN length(norm) - length(replace(norm, ' ', '')) + 1 END::INTEGER AS word_count, CASE WHEN doc_id % 3 = 0 AND length(norm) >= 500 THEN sha256(norm) END AS content_hash FROM n""",
+    "article_touch": f"""WITH o AS (SELECT o_orderkey AS id, o_orderpriority AS t, CASE WHEN o_orderkey % 5 = 0 THEN 'changed' WHEN o_orderkey % 7 = 0 THEN NULL ELSE o_orderpriority END AS title FROM orders)
+        SELECT id, title, CASE WHEN id % 11 = 0 OR title IS DISTINCT FROM t THEN {_NOW} ELSE TIMESTAMP '2024-01-01 00:00:00' END AS updated_at FROM o""",
+    "url_uuid": f"""WITH {_CANONICAL}, h AS (SELECT page_id, md5(canonical_url) AS h FROM canonical)
+        SELECT page_id, substr(h, 1, 8) || '-' || substr(h, 9, 4) || '-3' || substr(h, 14, 3) || '-' || substr('89ab', (strpos('0123456789abcdef', substr(h, 17, 1)) - 1) % 4 + 1, 1) || substr(h, 18, 3) || '-' || substr(h, 21, 12) AS uuid FROM h""",
+    "fts_refresh": "WITH "
+    + _tsv().replace(
+        "left(text, 80) AS title", "CASE WHEN doc_id % 3 = 0 THEN 'New title ' || doc_id ELSE left(text, 80) END AS title"
+    ).replace("FROM documents)", "FROM documents WHERE doc_id % 10 <> 1)")
+    + " SELECT id, lexeme, count(*)::BIGINT AS n, min(pos)::INTEGER AS first_pos, min(weight) AS best_weight FROM postings GROUP BY id, lexeme",
+}

@@ -7,17 +7,19 @@ embeddings are article vectors.
 
 from __future__ import annotations
 
+import uuid
 from datetime import datetime
 
-from pyspark.sql import DataFrame, SparkSession
+from pyspark.sql import DataFrame, SparkSession, Window
 from pyspark.sql import functions as F
 
 from ..functions import html, text, urls
 from ..functions.simhash import with_simhash
 from ..operators import dedup, feed, ingest, politeness, quality, queue, search, vectors
-from ..session import spread, store, table
+from ..session import shared_dir, spread, store, table, written
 from ..sources import config as source_config
 from ..sources import feeds, generate
+from ..streaming import cycle
 from ..streaming import jobs as streams
 
 NOW = "2024-01-15 00:00:00"
@@ -336,8 +338,8 @@ def robots_expiry(spark, sf):
 # ---------------------------------------------------------------- ingest
 
 
-def upsert_idempotent(spark, sf):
-    """Half the customers exist; the batch updates some of them and adds the others; a second run changes nothing."""
+def _upsert_tables(spark, sf):
+    """Half the customers exist; the batch updates some of them and adds the others."""
     c = table(spark, sf, "customer")
     k = F.col("c_custkey")
     url = F.concat(F.lit("https://c.example/"), k.cast("string"))
@@ -350,6 +352,12 @@ def upsert_idempotent(spark, sf):
         url.alias("canonical_url"), h.alias("url_hash"), F.lit(7).cast("long").alias("source_id"), _at(NOW).alias("published_at"), F.col("c_name").alias("title"), F.when(k % 12 == 0, "old").otherwise("new").alias("summary"),
         F.lit(None).cast("binary").alias("content_hash"), F.lit(None).cast("int").alias("word_count"), k.alias("k"),
     )
+    return existing, batch
+
+
+def upsert_idempotent(spark, sf):
+    """An upsert, and that a second one of the same batch changes nothing."""
+    existing, batch = _upsert_tables(spark, sf)
     first = store(ingest.upsert(existing, batch, 10_000_000), "upserted")
     again = ingest.upsert(first.drop("change"), batch, 20_000_000)
     a = first.select("id", "canonical_url", "title", "summary", "source_id", "published_at", "version", F.lower(F.hex("content_hash")).alias("content_hash"), "change")
@@ -513,6 +521,112 @@ def synthetic_articles(spark, sf):
     return generate.articles(spark).groupBy("source_id", "status").agg(F.count("*").alias("n"), F.min("published_at").alias("first_at"), F.max("canonical_url").alias("last_url"), F.sum("word_count").alias("words"))
 
 
+# ---------------------------------------------------------------- health, counts and table functions
+
+
+def source_hosts(spark, sf):
+    p = table(spark, sf, "pages").select((F.col("page_id") % 4).alias("source_id"), "url")
+    return quality.hosts_by_source(p, urls.host_of(F.col("url")))
+
+
+def crawl_health_sources(spark, sf):
+    log = table(spark, sf, "events").select((F.col("user_id") % 20).alias("source_id"), F.col("value").alias("duration_ms"), F.when(F.col("event_type") == "error", "e").alias("error"))
+    h = quality.health_by_source(log)
+    return h.select("source_id", "n", *[F.round(c, 6).alias(c) for c in ("success_rate", "p50_ms", "p99_ms", "max_ms")])
+
+
+def queue_depth(spark, sf):
+    return quality.queue_depth(jobs(spark, sf), _at(NOW))
+
+
+def crawl_health_sliding(spark, sf):
+    """Windows of six hours, a new one every three."""
+    return _rounded(streams.health(_log(spark, sf), "6 hours", every="3 hours"))
+
+
+def session_activity(spark, sf):
+    """Stretches of a user's events that are less than twelve hours apart."""
+    e = table(spark, sf, "events").select("user_id", F.col("ts").cast("timestamp").alias("ts"))
+    s = e.groupBy("user_id", F.session_window("ts", "12 hours").alias("w")).agg(F.count("*").alias("n"))
+    return s.select("user_id", F.col("w.start").cast("timestamp_ntz").alias("started_at"), "n")
+
+
+def status_rollup(spark, sf):
+    a = articles(spark, sf).select("status", F.col("summary").alias("priority"))
+    return a.rollup("status", "priority").agg(F.count("*").alias("n"), F.grouping_id().cast("int").alias("level"))
+
+
+def article_sample(spark, sf):
+    return quality.sampled(articles(spark, sf), F.col("id"), 10).select("id", "source_id")
+
+
+def source_sets(spark, sf):
+    """Sources with pending jobs and due sources: both, one only, either."""
+    j = queue.live(jobs(spark, sf)).select("source_id").distinct()
+    d = queue.due_sources(crawl_sources(spark, sf), _at(NOW)).select(F.col("id").alias("source_id"))
+    named = {"both": j.intersect(d), "live only": j.exceptAll(d), "due only": d.subtract(j), "either": j.union(d).distinct()}
+    out = None
+    for name, df in named.items():
+        one = df.select(F.lit(name).alias("part"), "source_id")
+        out = one if out is None else out.unionByName(one)
+    return out
+
+
+def event_windows(spark, sf):
+    e = table(spark, sf, "events").select("event_id", "user_id", "event_type", "ts")
+    w = Window.partitionBy("user_id").orderBy("ts", "event_id")
+    seconds = F.unix_timestamp(F.col("ts").cast("timestamp"))
+    near = Window.partitionBy("user_id").orderBy(seconds).rangeBetween(-86400, 0)
+    kind = Window.partitionBy("user_id").orderBy("event_type")
+    return e.select("event_id", F.lag("event_id").over(w).alias("before"), F.lead("event_id", 2).over(w).alias("second_after"), F.ntile(4).over(w).alias("quarter"), F.dense_rank().over(kind).alias("kind_rank"), F.count("*").over(near).alias("in_a_day"))
+
+
+def ingest_counters(spark, sf):
+    existing, batch = _upsert_tables(spark, sf)
+    return ingest.change_counts(ingest.upsert(existing, batch, 10_000_000))
+
+
+def fingerprint_backlog(spark, sf):
+    d = table(spark, sf, "documents")
+    a = d.select(F.col("doc_id").alias("id"), F.when(F.col("doc_id") % 3 == 0, F.lit(1)).cast("long").alias("simhash"))
+    content = d.filter("doc_id % 2 = 0").select(F.col("doc_id").alias("article_id"), F.col("text").alias("text_plain"))
+    return ingest.fingerprint_backlog(a, content).select("id", F.length("text_plain").alias("chars"))
+
+
+def full_content_ingest(spark, sf):
+    """Documents as feed entries: sources that declare full content have bodies, the longest of contents and description."""
+    d = spread(table(spark, sf, "documents"))
+    k = F.col("doc_id")
+    body = F.translate(F.coalesce("text", F.lit("")), "<>&", "   ")
+    entries = d.select(
+        (k % 3).alias("source_id"), k.cast("int").alias("entry_idx"), F.concat(F.lit("https://d.example/"), k.cast("string")).alias("link"), F.lit("t").alias("title"), F.lit("short").alias("description"),
+        F.array(F.lit("<i>tiny</i>"), F.concat(F.lit("<p>"), body, F.lit("</p>"))).alias("contents"), _hours(k % 72).alias("published"), F.lit(None).cast("timestamp_ntz").alias("updated"), F.lit(None).cast("int").alias("max_items"), (k % 3 == 0).alias("full_content"),
+    )
+    cleaned = ingest.clean_entries(entries, _at(NOW))
+    return cleaned.select("canonical_url", "summary", "word_count", F.lower(F.hex("content_hash")).alias("content_hash"))
+
+
+def article_touch(spark, sf):
+    """updated_at moves where a row is new or something in it changed."""
+    o = table(spark, sf, "orders").select(F.col("o_orderkey").alias("id"), F.col("o_orderpriority").alias("title"), _at(EPOCH).alias("updated_at"))
+    after = o.withColumn("title", F.when(F.col("id") % 5 == 0, "changed").when(F.col("id") % 7 == 0, F.lit(None)).otherwise(F.col("title")))
+    return cycle.touched(o.filter("id % 11 <> 0"), after, _at(NOW))
+
+
+def url_uuid(spark, sf):
+    return _canonical(spark, sf).select("page_id", urls.uuid_of(F.col("canonical_url")).alias("uuid"))
+
+
+def fts_refresh(spark, sf):
+    """The index after a third of the titles changed, some documents went and some came."""
+    d = search_documents(spark, sf)
+    before = store(d.filter("id % 10 <> 0"), "search-before")
+    after = store(d.filter("id % 10 <> 1").withColumn("title", F.when(F.col("id") % 3 == 0, F.concat(F.lit("New title "), F.col("id").cast("string"))).otherwise(F.col("title"))), "search-after")
+    index = search.write_index(before, written(spark, f"{shared_dir(spark)}/rivulet/index-{uuid.uuid4().hex}"))
+    p = search.refreshed(index, before, after)
+    return p.groupBy("id", "lexeme").agg(F.count("*").alias("n"), F.min("pos").alias("first_pos"), F.min("weight").alias("best_weight"))
+
+
 def _streamed(spark, sf, name):
     return streams.read_table_files(spark, sf, f"{name}.parquet")
 
@@ -553,7 +667,9 @@ dedup_exact_windows simhash_fingerprint dedup_near_pairs dedup_sweep hamming_his
 html_extract link_density extraction_store jobs_by_state enqueue_due enqueue_extraction claim_batch claimed_jobs
 retry_or_dead mark_succeeded reap_leases backoff_schedule source_outcomes crawl_log pending_extraction extract_attempts
 host_rate_schedule robots_decision robots_expiry upsert_idempotent feed_ingest content_upsert validators seed_absent
-config_decode feed_parse quality_checks quality_keys crawl_health_windows fts_postings fts_search fts_rank_cd
+config_decode feed_parse quality_checks quality_keys crawl_health_windows crawl_health_sources crawl_health_sliding queue_depth source_hosts session_activity status_rollup
+article_sample source_sets event_windows ingest_counters fingerprint_backlog full_content_ingest article_touch url_uuid
+fts_refresh fts_postings fts_search fts_rank_cd
 title_trigram_pairs similar_titles unaccent_tokens related_topk related_filtered_topk semantic_dups semantic_winners
 synthetic_articles stream_dedup stream_enqueue stream_health
 """.split()

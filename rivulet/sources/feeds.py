@@ -4,6 +4,7 @@ from __future__ import annotations
 
 import gzip
 import re
+import time
 import urllib.error
 import urllib.request
 import zlib
@@ -155,27 +156,88 @@ def request(url: str, accept: str, agent: str | None, timeout: int | None, etag:
         return out | {"error": f"{type(e).__name__}: {e}"[:2000]}
 
 
-FETCHED = "id long, kind string, status int, content binary, etag string, last_modified string, error string"
+FETCHED = "id long, kind string, status int, content binary, etag string, last_modified string, error string, duration_ms int"
+ROBOTS_ACCEPT, ROBOTS_TIMEOUT, MAX_ROBOTS = "text/plain, */*", 15, 2 << 20
+
+
+def _politely(rows: DataFrame) -> DataFrame:
+    """Rows of one host in one task, if they name their host; each waits the gap of the one before it (see _waits)."""
+    return rows.repartition("host").sortWithinPartitions("host") if "host" in rows.columns else rows
+
+
+class _Waits:
+    """Sleeps so that requests to one host begin at least the gap apart that the host asks for."""
+
+    def __init__(self) -> None:
+        self.free: dict[str, float] = {}
+
+    def __call__(self, row: dict) -> None:
+        host = row.get("host")
+        if host is not None:
+            time.sleep(max(0.0, self.free.get(host, 0.0) - time.monotonic()))
+            self.free[host] = time.monotonic() + (row.get("gap_seconds") or 0.0)
 
 
 def fetch_feeds(sources: DataFrame) -> DataFrame:
-    """id, kind (fetched, not_modified, failed), status, content, etag, last_modified, error for each source.
+    """id, kind (fetched, not_modified, failed), status, content, etag, last_modified, error, duration_ms for each source.
 
-    sources: id, feed_url, user_agent, timeout_sec, http_etag, http_last_modified. Failures are rows; one bad source does
-    not fail the others.
+    sources: id, feed_url, user_agent, timeout_sec, http_etag, http_last_modified, and host and gap_seconds if requests are to
+    be spaced. Failures are rows; one bad source does not fail the others.
     """
+    schema = pa.schema([("id", pa.int64()), ("kind", pa.string()), ("status", pa.int32()), ("content", pa.binary()), ("etag", pa.string()), ("last_modified", pa.string()), ("error", pa.string()), ("duration_ms", pa.int32())])
 
     def work(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        wait = _Waits()
         for batch in batches:
             rows = []
             for r in batch.to_pylist():
+                wait(r)
+                began = time.monotonic()
                 g = request(r["feed_url"], FEED_ACCEPT, r["user_agent"], r["timeout_sec"], r["http_etag"], r["http_last_modified"])
                 kind = "failed" if g["error"] else "not_modified" if g["status"] == 304 else "fetched"
-                rows.append({"id": r["id"], "kind": kind, "status": g["status"], "content": g["body"], "etag": g["etag"], "last_modified": g["last_modified"], "error": g["error"]})
-            schema = pa.schema([("id", pa.int64()), ("kind", pa.string()), ("status", pa.int32()), ("content", pa.binary()), ("etag", pa.string()), ("last_modified", pa.string()), ("error", pa.string())])
+                rows.append({"id": r["id"], "kind": kind, "status": g["status"], "content": g["body"], "etag": g["etag"], "last_modified": g["last_modified"], "error": g["error"], "duration_ms": int(1000 * (time.monotonic() - began))})
+            yield pa.RecordBatch.from_pylist(rows, schema=schema)
+
+    names = ["id", "feed_url", "user_agent", "timeout_sec", "http_etag", "http_last_modified", *[c for c in ("host", "gap_seconds") if c in sources.columns]]
+    return _politely(sources.select(*names)).mapInArrow(work, FETCHED)
+
+
+def fetch_robots(origins: DataFrame, agent: str = USER_AGENT) -> DataFrame:
+    """origin, http_status, body of the robots file of each row of origins (origin, base). No answer is a null status.
+
+    base: scheme://host:port to ask at; the origin, which rules are known by, has no port.
+    """
+    schema = pa.schema([("origin", pa.string()), ("http_status", pa.int32()), ("body", pa.string())])
+
+    def work(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        for batch in batches:
+            rows = []
+            for origin, base in zip(batch.column(0).to_pylist(), batch.column(1).to_pylist(), strict=True):
+                g = request(f"{base}/robots.txt", ROBOTS_ACCEPT, agent, ROBOTS_TIMEOUT, most=MAX_ROBOTS)
+                rows.append({"origin": origin, "http_status": g["status"], "body": g["body"].decode("utf-8", "replace") if g["body"] is not None else None})
             yield pa.RecordBatch.from_pylist(rows, schema=schema)
 
-    return sources.select("id", "feed_url", "user_agent", "timeout_sec", "http_etag", "http_last_modified").mapInArrow(work, FETCHED)
+    return origins.select("origin", "base").mapInArrow(work, "origin string, http_status int, body string")
+
+
+def fetch_pages(pages: DataFrame) -> DataFrame:
+    """id, html, error of pages (id, url, and host and gap_seconds if requests are to be spaced), decoded as html.decode() does."""
+    from ..functions.html import decode
+
+    schema = pa.schema([("id", pa.int64()), ("html", pa.string()), ("error", pa.string())])
+
+    def work(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        wait = _Waits()
+        for batch in batches:
+            for r in batch.to_pylist():
+                wait(r)
+                try:
+                    row = {"id": r["id"], "html": decode(fetch_page(r["url"])), "error": None}
+                except OSError as e:
+                    row = {"id": r["id"], "html": None, "error": str(e)[:2000]}
+                yield pa.RecordBatch.from_pylist([row], schema=schema)
+
+    return _politely(pages).mapInArrow(work, "id long, html string, error string")
 
 
 def fetch_page(url: str, timeout: int = TIMEOUT) -> bytes:

@@ -19,7 +19,7 @@ from pyspark.sql.types import StructType
 from ..operators import dedup
 from ..session import shared_dir
 
-#: Seconds from the end of a run to the next one.
+#: Seconds from the end of a run to the next one (fixed values), for cycle.run().
 EVERY = {"enqueue": 60, "work": 15, "extract": 300, "dedup": 60, "reap": 120}
 
 
@@ -90,14 +90,15 @@ def enqueue_step(job_type: str, now: Column) -> Callable[[DataFrame, DataFrame],
     return step
 
 
-def health(events: DataFrame, size: str = "6 hours", late: str = "1 hour", time: str = "created_at") -> DataFrame:
-    """window_start, n, n_errors, avg_ms, max_ms of a log by tumbling windows; works on streams and on tables.
+def health(events: DataFrame, size: str = "6 hours", late: str = "1 hour", time: str = "created_at", every: str | None = None) -> DataFrame:
+    """window_start, n, n_errors, avg_ms, max_ms of a log by windows, one after another or a new one `every` so often; works
+    on streams and on tables.
 
     Partial aggregation before the shuffle; state is one row for each open window.
     """
     marked = events.withWatermark(time, late) if events.isStreaming else events
     failed = F.col("error").isNotNull()
-    agg = marked.groupBy(F.window(time, size).alias("w")).agg(F.count("*").alias("n"), F.count_if(failed).alias("n_errors"), F.avg("duration_ms").alias("avg_ms"), F.max("duration_ms").alias("max_ms"))
+    agg = marked.groupBy(F.window(time, size, every).alias("w")).agg(F.count("*").alias("n"), F.count_if(failed).alias("n_errors"), F.avg("duration_ms").alias("avg_ms"), F.max("duration_ms").alias("max_ms"))
     return agg.select(F.col("w.start").alias("window_start"), "n", "n_errors", "avg_ms", "max_ms")
 
 
