@@ -61,6 +61,11 @@ def hashed(spark: SparkSession, sf: str) -> DataFrame:
     return bodies(spark, sf).withColumn("content_hash", text.content_hash(F.col("norm")))
 
 
+def hashes(spark: SparkSession, sf: str) -> DataFrame:
+    """Articles with stored hashes: bodies are normalised once, whatever reads the hashes after that."""
+    return store(hashed(spark, sf).drop("norm"), "hashes")
+
+
 def fingerprinted(spark: SparkSession, sf: str) -> DataFrame:
     """Articles with stored fingerprints, as the first step of a sweep leaves them."""
     return store(with_simhash(hashed(spark, sf)).drop("norm"), "fingerprints")
@@ -164,16 +169,16 @@ def body_normalize_hash(spark, sf):
 
 
 def dedup_exact(spark, sf):
-    return dedup.exact_winners(hashed(spark, sf))
+    return dedup.exact_winners(hashes(spark, sf))
 
 
 def dedup_exact_counts(spark, sf):
-    h = hashed(spark, sf).filter("content_hash is not null")
+    h = hashes(spark, sf).filter("content_hash is not null")
     return dedup.first_by_group(h, F.col("content_hash")).agg(F.count("*").alias("groups"), F.sum("n").alias("hashed"), F.sum(F.col("n") - 1).alias("losers"), F.max("n").alias("largest"))
 
 
 def dedup_exact_windows(spark, sf):
-    return dedup.rank_by_first(hashed(spark, sf).filter("content_hash is not null"), "content_hash").select("id", "first_id", "group_size")
+    return dedup.rank_by_first(hashes(spark, sf).filter("content_hash is not null"), "content_hash").select("id", "first_id", "group_size")
 
 
 def simhash_fingerprint(spark, sf):

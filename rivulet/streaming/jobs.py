@@ -40,7 +40,8 @@ def read_table_files(spark: SparkSession, folder: str, name: str) -> DataFrame:
 class Snapshots:
     """A table as numbered folders; a batch writes the next one and a reader takes the last whole one.
 
-    The number is that of the micro-batch, so a batch that is run again overwrites its own folder only.
+    The number is that of the micro-batch, so a batch that is run again overwrites its own folder only. The folder before
+    the one that a batch reads is removed: that batch can't be run again any more.
     """
 
     def __init__(self, spark: SparkSession, folder: str, schema: StructType) -> None:
@@ -56,6 +57,8 @@ class Snapshots:
     def write(self, n: int, df: DataFrame) -> None:
         df.write.mode("overwrite").parquet(f"{self.folder}/v{n}")
         self.last = n
+        old = self.spark._jvm.org.apache.hadoop.fs.Path(f"{self.folder}/v{n - 2}")
+        old.getFileSystem(self.spark._jsc.hadoopConfiguration()).delete(old, True)
 
 
 def run_on_snapshots(stream: DataFrame, step: Callable[[DataFrame, DataFrame], DataFrame], schema: StructType, folder: str | None = None, every: int | None = None) -> tuple[StreamingQuery, Snapshots]:
@@ -128,16 +131,21 @@ def near_pairs_stream(left: DataFrame, right: DataFrame, hours: int = dedup.WIND
     return met.filter(earlier & (distance(F.col("w_simhash"), F.col("l_simhash")) <= radius)).select(F.col("l_id").alias("loser"), F.col("w_id").alias("winner"))
 
 
+#: A host that is quiet for a day is forgotten.
+IDLE_MS = 24 * 3600 * 1000
 RATE = "host string, id long, start double"
 
 
 def rate_limit_stream(requests: DataFrame, gap: float = 3.0) -> DataFrame:
     """host, id, start of a stream of requests (host, id, arrival in seconds): a start waits for the one before it.
 
-    The state of a host is the end of its last gap.
+    The state of a host is the end of its last gap. It goes when the host has sent nothing for IDLE_MS, long after any gap.
     """
 
     def step(key: tuple, frames: Iterator[pd.DataFrame], state: GroupState) -> Iterator[pd.DataFrame]:
+        if state.hasTimedOut:
+            state.remove()
+            return
         free = state.get[0] if state.exists else float("-inf")
         rows = pd.concat(frames).sort_values(["arrival", "id"])
         starts = []
@@ -145,6 +153,7 @@ def rate_limit_stream(requests: DataFrame, gap: float = 3.0) -> DataFrame:
             starts.append(max(t, free))
             free = starts[-1] + gap
         state.update((free,))
+        state.setTimeoutDuration(IDLE_MS)
         yield pd.DataFrame({"host": key[0], "id": rows["id"], "start": starts})
 
-    return requests.groupBy("host").applyInPandasWithState(step, RATE, "free double", "append", GroupStateTimeout.NoTimeout)
+    return requests.groupBy("host").applyInPandasWithState(step, RATE, "free double", "append", GroupStateTimeout.ProcessingTimeTimeout)
