@@ -132,9 +132,11 @@ def decode_blocks(words: np.ndarray, per_block: np.ndarray, n_ids: int) -> np.nd
 
 @contextmanager
 def _open(path: str, mode: str) -> Iterator:
-    """A file on any file system that pyarrow knows; a plain path is local."""
+    """A file on any file system that pyarrow knows, also by Spark's names for them (s3a, s3n); a plain path is local."""
     from pyarrow import fs
 
+    scheme, sep, rest = path.partition("://")
+    path = f"s3://{rest}" if sep and scheme in ("s3a", "s3n") else path
     system, name = fs.FileSystem.from_uri(path) if "://" in path or path.startswith("file:") else (fs.LocalFileSystem(), path)
     if mode == "r":
         with system.open_input_file(name) as f:

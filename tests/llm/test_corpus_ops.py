@@ -545,3 +545,32 @@ def test_pipeline_equals_its_plain_version(spark, sf):
     ids = {r["doc_id"]: [*tok.encode(r["text"] or "", add_special_tokens=False).ids, 1] for r in fourth.collect()}
     check_pieces(cp.packed(spark, fourth, sf).collect(), ids)
     assert sorted({r["doc_id"] for r in cp.run(spark, sf).collect()}) == sorted(left)
+
+
+def test_pipeline_on_odd_and_empty_tables(spark, sf, tmp_path):
+    """Null ids and texts, empty and very long texts, repeated rows, ties, and columns with the names of inner ones."""
+    import corpus_pipeline as cp
+
+    docs = spark.read.parquet(f"{sf}/documents.parquet").limit(120)
+    long = "the rain in spain stays mainly in the plain and " * 20_000
+    rows = [(None, None, "en", "s", 0), (None, "", "en", "s", 0), (None, "words without an id, token=abcdef1234", None, None, None), (900_001, long, "en", "s", len(long)), (900_002, None, None, None, None), (900_003, "12 34", "en", "s", 5)]
+    odd = docs.unionByName(spark.createDataFrame(rows, docs.schema)).unionByName(docs.limit(7)).unionByName(docs.limit(7))
+    for name in ("fp", "rid", "mix_p", "mix_tokens", "c0", "part", "n", "text2", "keys"):
+        odd = odd.withColumn(name, F.lit("clash"))
+    labels = spark.read.parquet(f"{sf}/labels.parquet")
+    odd_labels = labels.unionByName(spark.createDataFrame([(None, 1, 0), (1, None, None)], labels.schema)).unionByName(labels.limit(3))
+    for name, d, lab in (("odd", odd, odd_labels), ("empty", odd.limit(0), labels.limit(0)), ("unlabelled", odd, labels.limit(0))):
+        folder = str(tmp_path / name)
+        d.coalesce(3).write.parquet(f"{folder}/documents.parquet")
+        lab.coalesce(1).write.parquet(f"{folder}/labels.parquet")
+        now = spark.read.parquet(f"{folder}/documents.parquet")
+        for step, stage in cp.STAGES[:-1]:
+            out = common.materialise(stage(spark, now, folder), f"test-{step}")
+            assert out.columns == d.columns and out.count() <= now.count()
+            now = out
+        got = cp.run(spark, folder).collect()
+        ids = [r["doc_id"] for r in now.select("doc_id").collect()]
+        assert sorted({r["doc_id"] or -1 for r in got}) == sorted({i or -1 for i in ids}) and (name != "empty" or not got)
+        if name != "empty":
+            assert 900_001 in ids and 900_002 not in ids and 900_003 not in ids and len(set(ids)) == len(ids)
+            assert all("abcdef1234" not in (r["text"] or "") for r in now.collect())
