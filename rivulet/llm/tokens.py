@@ -12,7 +12,6 @@ from __future__ import annotations
 import json
 import os
 import re
-from itertools import chain
 
 import numpy as np
 
@@ -141,36 +140,32 @@ class Encoder:
     def _learn(self) -> None:
         """Encode the new pieces. A piece is a word with the white space before it; most are letters and one stop."""
         new, self.pieces.new = self.pieces.new, []
-        got: list[list[int] | None] = [None] * len(new)
-        model = self.tok.model.tokenize
-        lead = "\u0120" if self.spaced else ""
-        known, old, ats, sizes, flat = self.pieces.get, self.at.n, self.at.all, self.size.all, self.flat.all
-        rest = []
-        for i, piece in enumerate(new):
-            core, stop = (piece[:-1], piece[-1]) if piece[-1:] in (",", ".") else (piece, "")
+        model, lead, stops = self.tok.model.tokenize, "\u0120" if self.spaced else "", self.stops
+        flat: list[int] = []
+        at: list[int] = []
+        rest: list[int] = []
+        for piece in new:
+            end = piece[-1:]
+            core = piece[:-1] if end in stops else piece
             if not core.isalpha():
-                rest.append(i)
+                rest.append(len(at))
+                at.append(len(flat))
                 continue
-            if stop:
-                n = known(core)
-                if n is not None and n < old:
-                    got[i] = flat[ats[n] : ats[n] + sizes[n]].tolist() + self.stops[stop]
-                    continue
-            if not core.isascii():
-                core = core.encode().decode("latin-1").translate(BYTES)
-            got[i] = [t.id for t in model(lead + core)]
-            if stop:
-                got[i] += self.stops[stop]
-        if rest:
+            at.append(len(flat))
+            flat += [t.id for t in model(lead + (core if core.isascii() else core.encode().decode("latin-1").translate(BYTES)))]
+            if end in stops:
+                flat += stops[end]
+        starts = np.array(at, np.int64)
+        size = np.diff(starts, append=len(flat))
+        own = np.array(flat, np.int64)
+        if rest:  # their ids lie behind those of the others
             enc = self._words([new[i] for i in rest])
-            for i in rest:
-                got[i] = []
-            for n, w in zip(enc.ids, enc.word_ids, strict=True):
-                got[rest[w]].append(n)
-        size = np.fromiter(map(len, got), np.int64, len(got))
-        self.at.extend(self.flat.n + np.cumsum(size) - size)
+            n = np.bincount(np.array(enc.word_ids, np.int64), minlength=len(rest))
+            size[rest], starts[rest] = n, len(flat) + np.cumsum(n) - n
+            own = np.concatenate([own, np.array(enc.ids, np.int64)])
+        self.at.extend(self.flat.n + starts)
         self.size.extend(size)
-        self.flat.extend(np.fromiter(chain.from_iterable(got), self.dtype, int(size.sum())))
+        self.flat.extend(own)
 
     def cut(self, texts: list[str | None]) -> tuple[list[int], list[np.ndarray], dict[int, list[int]]]:
         """Which texts are cut at white space, the numbers of their pieces, and the ids of the other texts."""
