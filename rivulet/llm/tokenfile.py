@@ -12,7 +12,7 @@ from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
 from . import simple8b
-from .common import materialise, new_path, small_batches
+from .common import new_path, small_batches
 from .tokens import Encoder
 
 #: Rows tokenised at once in a Python worker.
@@ -58,7 +58,9 @@ def write_token_files(docs: DataFrame, tokenizer: str, end_id: int, folder: str
     rows = docs.select(F.col("doc_id").cast("long").alias("doc_id"), F.col("text").cast("string").alias("text"))
     order = ("doc_id", F.xxhash64("text"))
     placed = rows.repartitionByRange(*order).sortWithinPartitions(*order, "text")
-    return materialise(placed.mapInArrow(write, "part int, path string, n_docs long, n_ids long"), "token-manifest")
+    # one row for each partition, as read_token_files() needs them on the driver anyway
+    manifest = "part int, path string, n_docs long, n_ids long"
+    return docs.sparkSession.createDataFrame(placed.mapInArrow(write, manifest).collect(), manifest)
 
 
 def read_token_files(manifest: DataFrame) -> DataFrame:
