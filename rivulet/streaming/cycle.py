@@ -55,6 +55,15 @@ class Tables:
             old.getFileSystem(self.spark._jsc.hadoopConfiguration()).delete(old, True)
 
 
+    def append(self, name: str, df: DataFrame) -> None:
+        """Rows more in the last snapshot of a table that only grows."""
+        if self.last[name] < 0:
+            self[name] = df
+            return
+        schema = self.spark.createDataFrame([], TABLES[name]).schema
+        df.select(*[F.col(f.name).cast(f.dataType).alias(f.name) for f in schema.fields]).write.mode("append").parquet(f"{self.folder}/{name}/v{self.last[name]}")
+
+
 def touched(before: DataFrame, after: DataFrame, now: Column, key: str = "id") -> DataFrame:
     """after with updated_at = now in rows that are new or differ from before in any column but updated_at."""
     columns = [c for c in after.columns if c not in (key, "updated_at")]
@@ -161,7 +170,7 @@ class Cycle:
     def _log(self, ends: DataFrame, now: Column) -> None:
         rows = queue.log_rows(ends, now)
         sized = rows.drop("bytes").join(ends.select("job_id", "bytes"), "job_id") if "bytes" in ends.columns else rows
-        self.t["log"] = self.t["log"].unionByName(sized.select([f.split()[0] for f in LOG.split(", ")]))
+        self.t.append("log", sized.select([f.split()[0] for f in LOG.split(", ")]))
 
     # ------------------------------------------------------------ pages
 
