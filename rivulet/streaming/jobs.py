@@ -131,21 +131,16 @@ def near_pairs_stream(left: DataFrame, right: DataFrame, hours: int = dedup.WIND
     return met.filter(earlier & (distance(F.col("w_simhash"), F.col("l_simhash")) <= radius)).select(F.col("l_id").alias("loser"), F.col("w_id").alias("winner"))
 
 
-#: A host that is quiet for a day is forgotten.
-IDLE_MS = 24 * 3600 * 1000
 RATE = "host string, id long, start double"
 
 
 def rate_limit_stream(requests: DataFrame, gap: float = 3.0) -> DataFrame:
     """host, id, start of a stream of requests (host, id, arrival in seconds): a start waits for the one before it.
 
-    The state of a host is the end of its last gap. It goes when the host has sent nothing for IDLE_MS, long after any gap.
+    The state of a host is the end of its last gap, one number for each host.
     """
 
     def step(key: tuple, frames: Iterator[pd.DataFrame], state: GroupState) -> Iterator[pd.DataFrame]:
-        if state.hasTimedOut:
-            state.remove()
-            return
         free = state.get[0] if state.exists else float("-inf")
         rows = pd.concat(frames).sort_values(["arrival", "id"])
         starts = []
@@ -153,7 +148,6 @@ def rate_limit_stream(requests: DataFrame, gap: float = 3.0) -> DataFrame:
             starts.append(max(t, free))
             free = starts[-1] + gap
         state.update((free,))
-        state.setTimeoutDuration(IDLE_MS)
         yield pd.DataFrame({"host": key[0], "id": rows["id"], "start": starts})
 
-    return requests.groupBy("host").applyInPandasWithState(step, RATE, "free double", "append", GroupStateTimeout.ProcessingTimeTimeout)
+    return requests.groupBy("host").applyInPandasWithState(step, RATE, "free double", "append", GroupStateTimeout.NoTimeout)
