@@ -1,14 +1,18 @@
 """Near copies by the Jaccard similarity of word shingles, for stages that drop them.
 
-Two texts are linked if their sets of word shingles have a similarity of AT_LEAST. Candidates share one of BANDS keys, each
-over ROWS minimum hashes: a pair of similarity 0.8 does so with probability 1 - (1 - 0.8^ROWS)^BANDS, 0.9999, and a more
-similar one more surely. Every link is checked on the sets themselves, as 64-bit hashes. Equal sets count as one.
-
-Members of a key are first checked against one of them: the one that shares its keys with most others, which in a group of
-copies is what they were copied from. So a group of n near copies gives about n checks, not n². Members of keys that do not
-end in one component are then met once more, exactly: two sets of similarity
-0.8 share one of their rarest shingles (prefix filter), at places from which their overlap can still be reached (positional
-filter). What was edited too much to be linked differs in its rarest shingles from all others and meets nothing.
+Two texts are linked if their sets of word shingles have a similarity of AT_LEAST. Equal sets count as one. Links are found
+by operator 9's method: fingerprints of the sets meet in tiles by exclusive-or and bit counts, at a RADIUS that 0.9999 of
+the pairs of similarity 0.8 are within (more of more similar ones). Pairs within it whose sketches, one bit of each of BANDS *
+ROWS minimum hashes, are far apart are none, nor are sets whose sizes are not within AT_LEAST of each other: they never meet.
+All others are checked on the sets themselves, as 64-bit hashes. In a group of copies each is paired with the one in the
+middle, so a group of n near copies gives about n checks, not n².
+
+An exact check follows for what lies beyond the radius, or was paired with the middle only. Texts share one of BANDS keys,
+each over ROWS minimum hashes, with probability 1 - (1 - 0.8^ROWS)^BANDS, 0.9999, if their similarity is 0.8. Members of keys
+that are in several components are checked against one of them, the one that shares its keys with most others. Those that
+still are in several meet once more: two sets of similarity 0.8 share one of their rarest shingles (prefix
+filter), at places from which their overlap can still be reached (positional filter). What was edited too much to be linked
+differs in its rarest shingles from all others and meets nothing.
 """
 
 from __future__ import annotations
@@ -22,13 +26,17 @@ from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
 from .common import attach, connected_components, materialise, plus, small_batches, spread_joins
-from .simhash import SEED, first_of_each, named
+from .simhash import SEED, first_of_each, majority, named, near_pairs
 
 WORDS = 5
 #: The least similarity, as a fraction, so that it is compared in integers.
 AT_LEAST = (4, 5)
 ROWS = 5
 BANDS = 24
+#: Bits that fingerprints of linked sets differ in at most. At 0.8 each differs with probability acos(2 * 0.8 / 1.8) / pi.
+RADIUS = 22
+#: Bits of the sketches likewise, of BANDS * ROWS: each differs with probability 0.1 at 0.8.
+SKETCH_RADIUS = 30
 #: Rows of a prefix shingle on one side that meet all others in one task.
 TILE = 1024
 #: Shingles whose minimum hashes are taken at once.
@@ -46,30 +54,61 @@ def shingles(text: str | None, words: int = WORDS) -> np.ndarray:
     return np.unique(np.fromiter(map(xxh64_intdigest, cut, repeat(SEED)), np.uint64, n))
 
 
-def keys(h: np.ndarray) -> list[int]:
-    """The keys of a set of shingles, as unsigned integers; each band has its own seed."""
-    from xxhash import xxh64_intdigest
-
+def _least(h: np.ndarray) -> np.ndarray:
+    """The minimum hashes of a set of shingles."""
     low = np.full(ROWS * BANDS, np.iinfo(np.uint64).max)
     for lo in range(0, len(h), CHUNK):
         low = np.minimum(low, (_TIMES[:, None] * h[None, lo : lo + CHUNK]).min(axis=1))
+    return low
+
+
+def _banded(low: np.ndarray) -> list[int]:
+    from xxhash import xxh64_intdigest
+
     return [xxh64_intdigest(low[k * ROWS : (k + 1) * ROWS].tobytes(), k) for k in range(BANDS)]
 
 
+def keys(h: np.ndarray) -> list[int]:
+    """The keys of a set of shingles, as unsigned integers; each band has its own seed."""
+    return _banded(_least(h))
+
+
+def sketch(low: np.ndarray) -> np.ndarray:
+    """One bit of each minimum hash, in two words."""
+    bits = np.zeros(128, np.uint8)
+    bits[: len(low)] = (low >> np.uint64(24)) & np.uint64(1)
+    return np.packbits(bits, bitorder="little").view(np.uint64)
+
+
+def step(size: int) -> int:
+    """The step of a set's size: sets that are similar enough are one apart at most."""
+    return int(np.log(size) / np.log(AT_LEAST[1] / AT_LEAST[0]))
+
+
 def _with_keys(docs: DataFrame, words: int) -> DataFrame:
-    """docs with the hash of the shingle set of `text` in fp and its keys."""
+    """docs with the hash of the shingle set of `text` in fp, its keys, its fingerprint in print, its sketch in s0 and s1 and its step."""
     from xxhash import xxh64_intdigest
 
     at = docs.columns.index("text")
-    schema = plus(docs, fp="long", keys="array<long>")
+    more = {"fp": "long", "keys": "array<long>", "print": "long", "s0": "long", "s1": "long", "step": "int"}
+    schema = plus(docs, **more)
 
     def work(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         for batch in batches:
-            sets = [shingles(x.as_py(), words) for x in batch.column(at)]
-            fp = np.array([xxh64_intdigest(h.tobytes(), SEED) for h in sets], np.uint64)
-            flat = np.array([keys(h) for h in sets], np.uint64).reshape(-1)
-            lists = pa.ListArray.from_arrays(np.arange(len(sets) + 1, dtype=np.int32) * BANDS, pa.array(flat.view(np.int64)))
-            yield pa.RecordBatch.from_arrays([*batch.columns, pa.array(fp.view(np.int64)), lists], [*batch.schema.names, "fp", "keys"])
+            fp, flat, prints, bits, steps = [], [], [], [], []
+            for x in batch.column(at):
+                h = shingles(x.as_py(), words)
+                low = _least(h)
+                fp.append(xxh64_intdigest(h.tobytes(), SEED))
+                flat += _banded(low)
+                prints.append(majority(h))
+                bits.append(sketch(low))
+                steps.append(step(len(h)))
+            own, flat, prints = (pa.array(np.array(c, np.uint64).view(np.int64)) for c in (fp, flat, prints))
+            s = np.array(bits, np.uint64).reshape(-1, 2).view(np.int64)
+            lists = pa.ListArray.from_arrays(np.arange(len(fp) + 1, dtype=np.int32) * BANDS, flat)
+            columns = [own, lists, prints, pa.array(s[:, 0]), pa.array(s[:, 1]), pa.array(steps, pa.int32())]
+            yield pa.RecordBatch.from_arrays([*batch.columns, *columns], [*batch.schema.names, *more])
 
     small_batches(docs)
     return docs.mapInArrow(work, schema)
@@ -112,30 +151,42 @@ def _checked(pairs: DataFrame, sets: DataFrame) -> DataFrame:
 
 
 def components(reps: DataFrame, texts: DataFrame, words: int = WORDS) -> DataFrame:
-    """(node, root) of the similar sets of reps (fp, rid, keys, a written table) that are linked; texts: rid, text."""
+    """(node, root) of the similar sets of reps (fp, rid, keys, print, s0, s1, step, a written table) that are linked; texts: rid, text."""
+    near = near_pairs(reps.select(F.col("fp").alias("node"), "print", "s0", "s1", "step"), RADIUS, SKETCH_RADIUS)
     rows = reps.select("fp", F.explode("keys").alias("key"))
     shared = rows.groupBy("key").agg(F.count("*").alias("n")).filter("n > 1").withColumn("size", F.col("n"))
     met = materialise(attach(rows, materialise(shared, "near-keys"), "key", "n"), "near-met")
-    own = materialise(met.groupBy("fp").agg(F.sum("size").alias("wide"), F.collect_list("key").alias("k")), "near-own")
-    ranked = own.select("fp", "wide", F.explode("k").alias("key"))
-    pivots = ranked.groupBy("key").agg(F.count("*").alias("n"), F.max(F.struct("wide", "fp"))["fp"].alias("b"))
-    sets = materialise(_sets(texts.join(reps.select("fp", "rid").join(own.select("fp"), "fp"), "rid"), words), "near-sets")
-    led = attach(met.select("key", "fp"), materialise(pivots, "near-pivots"), "key", "n")
-    stars = led.select(F.col("fp").alias("a"), "b").filter("a <> b").select(F.least("a", "b").alias("a"), F.greatest("a", "b").alias("b")).distinct()
-    first = materialise(_checked(materialise(stars, "near-stars"), sets), "near-links")
-
-    roots = connected_components(first)
-    rooted = materialise(own.join(roots.withColumnRenamed("node", "fp"), "fp", "left").select("fp", F.coalesce("root", "fp").alias("root"), "k"), "near-rooted")
-    dealt = rooted.select("fp", "root", F.explode("k").alias("key"))
-    mixed = dealt.groupBy("key").agg(F.count("*").alias("n"), F.min("root").alias("low"), F.max("root").alias("high")).filter("low < high").select("key", "n")
-    open_ = attach(dealt, materialise(mixed, "near-mixed"), "key", "n").select("fp", "root").distinct()
-    open_ = materialise(open_, "near-open")
-    second = _checked(_prefix_pairs(open_, sets), sets)
-    # what the second links connect are the components of the first ones
+    wide = met.groupBy("fp").agg(F.sum("size").alias("wide"))
+    own = near.select(F.explode(F.array("a", "b")).alias("fp")).distinct().join(wide, "fp", "full")
+    own = materialise(own, "near-own")
+    sets = materialise(_sets(texts.join(reps.select("fp", "rid").join(own, "fp"), "rid"), words), "near-sets")
+    roots = connected_components(_checked(near, sets))
+    rooted = own.join(roots.withColumnRenamed("node", "fp"), "fp", "left").select("fp", "wide", F.coalesce("root", "fp").alias("root"))
+    rooted = materialise(rooted, "near-rooted")
+
+    apart = _apart(met.select("key", "fp"), rooted)
+    pivots = apart.groupBy("key").agg(F.count("*").alias("n"), F.max(F.struct("wide", "fp", "root")).alias("p")).select("key", "n", F.col("p.fp").alias("b"), F.col("p.root").alias("b_root"))
+    led = attach(apart, materialise(pivots, "near-pivots"), "key", "n").filter("root <> b_root")
+    stars = materialise(led.select(F.least("fp", "b").alias("a"), F.greatest("fp", "b").alias("b")).distinct(), "near-stars")
+    rooted = _merged(rooted, _checked(stars, sets))
+
+    open_ = materialise(_apart(apart.select("key", "fp"), rooted).select("fp", "root").distinct(), "near-open")
+    return _merged(rooted, _checked(_prefix_pairs(open_, sets), sets)).select(F.col("fp").alias("node"), "root")
+
+
+def _merged(rooted: DataFrame, links: DataFrame) -> DataFrame:
+    """rooted (fp, root and others, a written table) after links (a, b) have connected its components, written."""
     root = lambda c: rooted.select(F.col("fp").alias(c), F.col("root").alias(f"{c}_root"))
-    more = connected_components(second.join(root("a"), "a").join(root("b"), "b").select(F.col("a_root").alias("a"), F.col("b_root").alias("b")))
+    more = connected_components(links.join(root("a"), "a").join(root("b"), "b").select(F.col("a_root").alias("a"), F.col("b_root").alias("b")))
     up = more.select(F.col("node").alias("root"), F.col("root").alias("up"))
-    return rooted.select(F.col("fp").alias("node"), "root").join(up, "root", "left").select("node", F.coalesce("up", "root").alias("root"))
+    return materialise(rooted.join(up, "root", "left").withColumn("root", F.coalesce("up", "root")).drop("up"), "near-rooted")
+
+
+def _apart(met: DataFrame, rooted: DataFrame) -> DataFrame:
+    """The rows of met (key, fp) whose key has members in more than one component, with what rooted says of fp, written."""
+    dealt = materialise(met.join(rooted, "fp"), "near-dealt")
+    mixed = dealt.groupBy("key").agg(F.count("*").alias("n"), F.min("root").alias("low"), F.max("root").alias("high")).filter("low < high").select("key", "n")
+    return materialise(attach(dealt, materialise(mixed, "near-mixed"), "key", "n"), "near-apart")
 
 
 def _prefix_pairs(members: DataFrame, sets: DataFrame) -> DataFrame:
@@ -171,9 +222,10 @@ def one_of_each(docs: DataFrame, words: int = WORDS) -> DataFrame:
     text, doc_id = f"c{names.index('text')}", f"c{names.index('doc_id')}"
     marked = _with_keys(plain.select("*", F.col(text).cast("string").alias("text")), words).drop("text")
     table = materialise(marked.withColumn("rid", F.monotonically_increasing_id()), "near-docs")
-    prints = table.select(F.col(doc_id).cast("long").alias("doc_id"), "fp", "rid", "keys")
-    group = prints.groupBy("fp").agg(F.min("doc_id").alias("least"), F.count("*").alias("n"), F.min(F.struct("rid", "keys")).alias("r"))
-    reps = materialise(group.select("fp", "least", "n", "r.rid", "r.keys"), "near-fps")
+    of_set = ["keys", "print", "s0", "s1", "step"]
+    prints = table.select(F.col(doc_id).cast("long").alias("doc_id"), "fp", "rid", *of_set)
+    group = prints.groupBy("fp").agg(F.min("doc_id").alias("least"), F.count("*").alias("n"), F.min(F.struct("rid", *of_set)).alias("r"))
+    reps = materialise(group.select("fp", "least", "n", "r.*"), "near-fps")
     found = components(reps, table.select("rid", F.col(text).cast("string").alias("text")), words)
     comp = named(reps.select("fp", "least", "n"), found)
-    return first_of_each(table.drop("keys"), prints.drop("keys"), comp).toDF(*names)
+    return first_of_each(table.drop(*of_set), prints.drop(*of_set), comp).toDF(*names)

@@ -4,6 +4,9 @@ Distinct fingerprints are sorted into classes by the population counts of their
 tiles of at most about TILE. Two fingerprints within RADIUS bits have quarter counts that differ by RADIUS at most in
 sum, so tile pairs beyond that are never formed; the others are compared whole, with exclusive-or and bit counts in
 numpy. Copies share a fingerprint and cost nothing. A tile pair returns the forest of its links, not all of them.
+
+At a wide radius quarter counts part nothing, so near_pairs() has classes by the count of the whole fingerprint and by a step
+of the caller's, and as links then are no copies yet, it returns pairs to be checked.
 """
 
 from __future__ import annotations
@@ -31,6 +34,17 @@ BOUNDED = 4
 ROWS = 64
 #: Hashes whose bits are counted at once.
 CHUNK = 1 << 16
+#: near_pairs(): least and most rows of a tile, and the share of all rows that it has between these.
+WIDE_TILE = (4096, 131072)
+WIDE_SHARE = 32
+#: near_pairs(): rows and columns compared at once, which a core's cache holds.
+BLOCK = (16, 4096)
+#: near_pairs(): a node with at most so many near ones is paired with all of them, others with the one in their middle.
+FEW = 4
+#: near_pairs(): population counts of a class.
+COUNTS = 16
+#: near_pairs(): hits of a tile pair that are held; if there are more, they are found twice.
+HELD = 1 << 20
 
 
 def fingerprint(text: str | None, words: int = WORDS) -> int:
@@ -45,12 +59,16 @@ def fingerprint(text: str | None, words: int = WORDS) -> int:
         shingles, n = [b" ".join(tokens)], 1
     else:
         shingles = map(b" ".join, zip(*(tokens[k:] for k in range(words)), strict=False))
-    h = np.fromiter(map(xxh64_intdigest, shingles, repeat(SEED)), np.uint64, n)
+    return majority(np.fromiter(map(xxh64_intdigest, shingles, repeat(SEED)), np.uint64, n))
+
+
+def majority(h: np.ndarray) -> int:
+    """The bits that are set in over half of some unsigned 64-bit hashes."""
     votes = np.zeros(64, np.int64)
-    for lo in range(0, n, CHUNK):
+    for lo in range(0, len(h), CHUNK):
         part = h[lo : lo + CHUNK]
         votes += np.unpackbits(part.view(np.uint8).reshape(-1, 8), axis=1, bitorder="little").sum(axis=0, dtype=np.int64)
-    return int(np.packbits(2 * votes > n, bitorder="little").view(np.uint64)[0])
+    return int(np.packbits(2 * votes > len(h), bitorder="little").view(np.uint64)[0])
 
 
 def with_fingerprint(docs: DataFrame, words: int = WORDS, name: str = "fp") -> DataFrame:
@@ -152,6 +170,107 @@ def _all(*conditions):
     return out
 
 
+def _hits(a: list[np.ndarray], b: list[np.ndarray], same: bool, radius: int, most: int) -> Iterator[tuple[np.ndarray, ...]]:
+    """Places i, j of near rows of two tiles (node, print, s0, s1), and how many bits their sketches differ in."""
+    rows, cols = BLOCK
+    xor, far = np.empty(BLOCK, np.uint64), np.empty(BLOCK, np.uint8)
+    for lo in range(0, len(a[1]), rows):
+        p = a[1][lo : lo + rows, None]
+        for k in range(lo // cols * cols if same else 0, len(b[1]), cols):
+            q = b[1][None, k : k + cols]
+            x, c = xor[: p.shape[0], : q.shape[1]], far[: p.shape[0], : q.shape[1]]
+            np.bitwise_count(np.bitwise_xor(p, q, out=x), out=c)
+            i, j = np.divmod(np.flatnonzero(c <= radius), q.shape[1])
+            i, j = i + lo, j + k
+            if same:
+                i, j = i[i < j], j[i < j]
+            d = np.bitwise_count(a[2][i] ^ b[2][j]) + np.bitwise_count(a[3][i] ^ b[3][j])
+            if (near := d <= most).any():
+                yield i[near], j[near], d[near]
+
+
+def _thinned(a: list[np.ndarray], b: list[np.ndarray], same: bool, radius: int, most: int) -> Iterator[pa.RecordBatch]:
+    """Of two tiles: node, how many near ones it has, the heaviest of them, its weight, and all of them if they are FEW.
+
+    The weight of a row is the sum of the nearness of its near rows: in a group of copies it is the largest for what they
+    were copied from.
+    """
+    degree, weight = ([np.zeros(len(t[0]), np.int64) for t in (a, b)] for _ in range(2))
+    held, n = [], 0
+    for i, j, d in _hits(a, b, same, radius, most):
+        for side, at in enumerate((i, j)):
+            np.add.at(degree[0 if same else side], at, 1)
+            np.add.at(weight[0 if same else side], at, most + 1 - d.astype(np.int64))
+        n += len(i)
+        held = [*held, (i, j)] if n <= HELD else []
+    if not n:
+        return
+    if same:
+        degree[1], weight[1] = degree[0], weight[0]
+    order = [np.argsort(w, kind="stable") for w in weight]
+    rank = [np.argsort(o) for o in order]
+    best = [np.full(len(t[0]), -1) for t in (a, b)]
+    few = [([], []), ([], [])]
+    for i, j, *_ in held if n <= HELD else _hits(a, b, same, radius, most):
+        for side, (at, to) in enumerate(((i, j), (j, i))):
+            own = 0 if same else side
+            np.maximum.at(best[own], at, rank[1 - side][to])
+            all_ = degree[own][at] <= FEW
+            few[own][0].append(at[all_])
+            few[own][1].append((b, a)[side][0][to[all_]])
+    for side, (own, other) in enumerate(((a, b), (b, a))[: 1 if same else 2]):
+        at, nodes = (np.concatenate(c) for c in few[side])
+        near = np.flatnonzero(degree[side])
+        to = order[1 - side][best[side][near]]
+        offsets = np.concatenate([[0], np.cumsum(np.bincount(at, minlength=len(own[0]))[near])]).astype(np.int32)
+        lists = pa.ListArray.from_arrays(offsets, pa.array(nodes[np.argsort(at, kind="stable")]))
+        columns = [own[0][near], degree[side][near], weight[1 - side][to], other[0][to]]
+        yield pa.RecordBatch.from_arrays([*map(pa.array, columns), lists], ["a", "n", "w", "b", "few"])
+
+
+def _meet(batches: Iterator[pa.RecordBatch], radius: int, most: int) -> Iterator[pa.RecordBatch]:
+    for batch in batches:
+        sides = []
+        for c in (batch.column(0), batch.column(1)):
+            fields = [c.values.field(k).to_numpy(zero_copy_only=False) for k in range(4)]
+            sides.append(([fields[0], *[f.view(np.uint64) for f in fields[1:]]], c.offsets.to_numpy()))
+        same = batch.column(2).to_pylist()
+        (fa, oa), (fb, ob) = sides
+        for r in range(batch.num_rows):
+            yield from _thinned([f[oa[r] : oa[r + 1]] for f in fa], [f[ob[r] : ob[r + 1]] for f in fb], same[r], radius, most)
+
+
+def near_pairs(items: DataFrame, radius: int, most: int, tile: int | None = None) -> DataFrame:
+    """items (node, print, s0, s1, longs, step, a written table; nodes are distinct): pairs (a < b, written) of near nodes.
+
+    Near are nodes whose prints differ in at most radius bits, whose sketches s0, s1 differ in at most `most` and whose steps
+    (few, from 0) differ by one at most. A node with more than FEW near ones is paired with the one in the middle of them only.
+    """
+    spark = items.sparkSession
+    kinds = 64 // COUNTS + 1
+    classed = items.withColumn("cls", (F.col("step") * kinds + F.floor(F.bit_count("print") / COUNTS)).cast("int"))
+    count = {r["cls"]: r["n"] for r in classed.groupBy("cls").agg(F.count("*").alias("n")).collect()}  # some for each step
+    tile = tile or min(max(sum(count.values()) // WIDE_SHARE, WIDE_TILE[0]), WIDE_TILE[1])
+    parts = {c: -(-n // tile) for c, n in count.items()}
+    dealt = classed.join(F.broadcast(spark.createDataFrame([*parts.items()], "cls int, parts int")), "cls")
+    dealt = dealt.withColumn("tile", F.pmod(F.xxhash64("node"), F.col("parts")).cast("int"))
+    tiles = materialise(dealt.groupBy("cls", "tile").agg(F.collect_list(F.struct("node", "print", "s0", "s1")).alias("rows")), "wide-tiles")
+    # counts of two classes that lie d classes apart differ by COUNTS * (d - 1) + 1 at least
+    reach = lambda c, t: t // kinds - c // kinds <= 1 and COUNTS * (abs(t % kinds - c % kinds) - 1) + 1 <= radius
+    pairs = spark.createDataFrame([(c, t, parts[t]) for c in parts for t in parts if c <= t and reach(c, t)], "cls int, to int, parts int")
+    left = tiles.join(F.broadcast(pairs), "cls")
+    first = F.when(F.col("cls") == F.col("to"), F.col("tile")).otherwise(F.lit(0))
+    left = left.select(F.col("cls").alias("a_cls"), F.col("tile").alias("a_tile"), F.col("rows").alias("a"), F.col("to").alias("cls"), F.explode(F.sequence(first, F.col("parts") - 1)).alias("tile"))
+    # a number of its own, as AQE would put much work into few tasks by its few bytes
+    n = int(spark.conf.get("spark.sql.shuffle.partitions"))
+    met = left.repartition(n, "cls", "tile").join(tiles.repartition(n, "cls", "tile").hint("merge"), ["cls", "tile"])
+    met = met.select("a", F.col("rows").alias("b"), ((F.col("a_cls") == F.col("cls")) & (F.col("a_tile") == F.col("tile"))).alias("same"))
+    found = materialise(met.mapInArrow(lambda it: _meet(it, radius, most), "a long, n long, w long, b long, few array<long>"), "wide-hits")
+    each = found.groupBy("a").agg(F.sum("n").alias("n"), F.max(F.struct("w", "b"))["b"].alias("b"), F.flatten(F.collect_list("few")).alias("few"))
+    pairs = each.select("a", F.explode(F.when(F.col("n") <= FEW, F.col("few")).otherwise(F.array("b"))).alias("b"))
+    return materialise(pairs.select(F.least("a", "b").alias("a"), F.greatest("a", "b").alias("b")).distinct(), "wide-pairs")
+
+
 def components(prints: DataFrame, radius: int = RADIUS, tile: int = TILE) -> DataFrame:
     """prints (doc_id, fp, a written table): fp, component_id and n (rows with that fp) for each fingerprint."""
     fps = materialise(prints.groupBy("fp").agg(F.min("doc_id").alias("least"), F.count("*").alias("n")), "simhash-fps")

@@ -88,3 +88,55 @@ def test_stage_equals_all_pairs(spark, sf):
     docs = spark.read.parquet(f"/root/testdata/{sf}/documents.parquet")
     got = cp.near_duplicates(spark, docs, f"/root/testdata/{sf}")
     assert sorted(r["doc_id"] for r in got.collect()) == plain_kept([(r["doc_id"], r["text"]) for r in docs.collect()])
+
+
+def test_links_come_from_the_fingerprints(spark):
+    """Operator 9's tiles link pairs of similarity 0.80 to 0.83 and a large group of near copies, where no keys are shared."""
+    rng = random.Random(5)
+    groups = [[f"w{rng.randrange(10**6)}" for _ in range(rng.randrange(100, 300))] for _ in range(300)]
+    texts = []
+    for g, base in enumerate(groups):
+        texts.append(" ".join(base))
+        for _ in range(200 if g == 0 else 1):
+            # a word changed changes five shingles of each
+            own = list(base)
+            for k in range(max((len(base) - 4) // 50, 1)):
+                own[20 + 25 * k % (len(own) - 40)] = f"x{rng.randrange(10**9)}"
+            texts.append(" ".join(own))
+    docs = nearcopies.materialise(spark.createDataFrame([*enumerate(texts)], "rid long, text string").repartition(4), "test-docs")
+    marked = nearcopies._with_keys(docs, nearcopies.WORDS)
+    first = [0, *range(201, len(texts), 2)]
+    alone = nearcopies.materialise(marked.drop("text").withColumn("keys", nearcopies.F.array("rid")), "test-reps")
+    node = {r["rid"]: r["fp"] for r in alone.collect()}
+    root = {r["node"]: r["root"] for r in nearcopies.components(alone, docs).collect()}
+    sets = plain_sets(texts)
+    pairs = [(0, k) for k in range(1, 201)] + [(k, k + 1) for k in first[1:]]
+    pairs = [(a, b) for a, b in pairs if similarity(sets[a], sets[b]) >= 0.8]
+    together = sum(root.get(node[a], a) == root.get(node[b], b) for a, b in pairs)
+    assert len(pairs) > 400 and together >= 0.995 * len(pairs)
+    assert len({root[node[k]] for k in first if node[k] in root}) == len([k for k in first if node[k] in root])
+
+
+def test_tiles_at_a_wide_radius(spark):
+    """Every pair of few near ones is returned, whatever the tiles; in a large group each is paired with the middle."""
+    from rivulet.llm import simhash
+
+    rng = random.Random(6)
+    rows = []
+    for _ in range(60):
+        fp, s, step = rng.getrandbits(64), rng.getrandbits(64), rng.randrange(6)
+        for _ in range(3):
+            rows.append((len(rows), fp ^ sum(1 << k for k in rng.sample(range(64), rng.randrange(0, 12))), s ^ (1 << rng.randrange(64)), 0, step + rng.randrange(3)))
+    fp, n = rng.getrandbits(64), len(rows)
+    rows.append((n, fp, 0, (1 << 40) - 1, 9))
+    rows += [(n + 1 + k, fp ^ (1 << k % 64) ^ (1 << rng.randrange(64)), 0, sum(1 << b for b in rng.sample(range(40, 64), 4)) | (1 << 40) - 1, 9) for k in range(100)]
+    signed = [(r[0], *[x - (1 << 64) if x >> 63 else x for x in r[1:]]) for r in rows]
+    items = nearcopies.materialise(spark.createDataFrame(signed, "node long, print long, s0 long, s1 long, step int"), "test-items")
+    d = lambda a, b: (rows[a][1] ^ rows[b][1]).bit_count()
+    far = lambda a, b: sum((rows[a][k] ^ rows[b][k]).bit_count() for k in (2, 3))
+    want = {(a, b) for a in range(n) for b in range(a + 1, n) if d(a, b) <= 22 and far(a, b) <= 20 and abs(rows[a][4] - rows[b][4]) <= 1}
+    for tile in (None, 16):
+        got = {(r["a"], r["b"]) for r in simhash.near_pairs(items, 22, 20, tile).collect()}
+        assert {p for p in got if p[1] < n} == want
+        assert len({p for p in got if p[0] == n}) == 100
+        assert len({p for p in got if p[0] >= n}) <= 101
