@@ -4,7 +4,9 @@ from __future__ import annotations
 
 import sys
 import uuid
+from collections.abc import Iterator
 
+import pyarrow as pa
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 from pyspark.sql.types import DataType, StructField, StructType
@@ -21,6 +23,9 @@ def worker_cache() -> dict:
 #: Rows that may share one copy of a large row in spread_join().
 SHARE = 1000
 
+#: Small rows that one task joins without any dealing, whatever their keys.
+FEW_ROWS = 1 << 13
+
 #: Rows of an Arrow batch where whole texts go to Python: a few MB each, in the JVM's direct memory and in the worker.
 BATCH_ROWS = 1000
 
@@ -82,16 +87,36 @@ def _follow(p: DataFrame) -> DataFrame:
     return p.select("node", F.col("parent").alias("before")).join(up, "before").select("node", F.col("next").alias("parent"), "before")
 
 
-def connected_components(edges: DataFrame) -> DataFrame:
-    """(node, root) for every node of edges (a, b); root is the smallest node that can be reached.
+def _united(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+    """Edges a, b of one task -> node, root."""
+    parent: dict[int, int] = {}
+
+    def find(x: int) -> int:
+        while (up := parent.setdefault(x, x)) != x:
+            parent[x] = x = parent[up]
+        return x
+
+    for batch in batches:
+        for a, b in zip(batch.column(0).to_pylist(), batch.column(1).to_pylist(), strict=True):
+            low, high = sorted((find(a), find(b)))
+            parent[high] = low
+    nodes = list(parent)
+    yield pa.RecordBatch.from_arrays([pa.array(c, pa.int64()) for c in (nodes, [find(x) for x in nodes])], ["node", "root"])
+
+
+def connected_components(edges: DataFrame, alone: int = 0) -> DataFrame:
+    """(node, root) for every node of edges (a, b, longs); root is the smallest node that can be reached.
 
     Rounds of hooking: each node takes its smallest neighbour as parent, if that is smaller; parents are followed to the
     end by pointer doubling; edges are then rewritten between the roots. A round leaves only local minima as roots, so
     the number of rounds is logarithmic. Minima are pre-aggregated before the shuffle; each step is written to the
-    shared folder.
+    shared folder. Up to `alone` distinct edges are united in one task instead: rounds over few edges take a dozen plans, which
+    the driver keeps memory for.
     """
     e = edges.select(F.least("a", "b").alias("a"), F.greatest("a", "b").alias("b")).filter("a < b").distinct()
     e = materialise(e, "cc-edges")
+    if alone and e.count() <= alone:
+        return materialise(e.coalesce(1).mapInArrow(_united, "node long, root long"), "cc-roots")
     roots = None
     while not e.isEmpty():
         both = e.unionByName(e.select(F.col("b").alias("a"), F.col("a").alias("b")))

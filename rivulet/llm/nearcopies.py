@@ -25,7 +25,7 @@ import pyarrow as pa
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
-from .common import attach, connected_components, materialise, plus, small_batches, spread_joins
+from .common import FEW_ROWS, SHARE, attach, connected_components, materialise, plus, small_batches, spread_joins
 from .simhash import SEED, first_of_each, majority, named, near_pairs
 
 WORDS = 5
@@ -39,6 +39,8 @@ RADIUS = 22
 SKETCH_RADIUS = 30
 #: Rows of a prefix shingle on one side that meet all others in one task.
 TILE = 1024
+#: Links, 2 MB of them, that one task connects.
+ALONE = 1 << 17
 #: Shingles whose minimum hashes are taken at once.
 CHUNK = 2048
 _TIMES = np.random.default_rng(SEED).integers(0, 1 << 64, ROWS * BANDS, np.uint64, endpoint=False) | np.uint64(1)
@@ -145,8 +147,17 @@ def _similar(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
 
 
 def _checked(pairs: DataFrame, sets: DataFrame) -> DataFrame:
-    """The pairs (a, b, a written table) whose sets are similar enough. Either side may hold one member very often."""
-    met = spread_joins(pairs, sets.select("fp", "set"), "fp", {"a": "a_", "b": "b_"}).select("a", "b", "a_set", "b_set")
+    """The pairs (a, b, a written table) whose sets are similar enough. Either side may hold one member very often.
+
+    If none is in over SHARE pairs there is nothing to spread, and two joins do: the driver keeps memory for each plan and
+    exchange, however few its rows.
+    """
+    own = sets.select("fp", "set")
+    if pairs.count() <= SHARE or all(pairs.groupBy(c).count().agg(F.max("count")).first()[0] <= SHARE for c in ("a", "b")):
+        side = lambda c: own.select(F.col("fp").alias(c), F.col("set").alias(f"{c}_set"))
+        met = pairs.join(side("a"), "a").join(side("b"), "b").select("a", "b", "a_set", "b_set")
+    else:
+        met = spread_joins(pairs, own, "fp", {"a": "a_", "b": "b_"}).select("a", "b", "a_set", "b_set")
     return met.mapInArrow(_similar, "a long, b long")
 
 
@@ -155,29 +166,33 @@ def components(reps: DataFrame, texts: DataFrame, words: int = WORDS) -> DataFra
     near = near_pairs(reps.select(F.col("fp").alias("node"), "print", "s0", "s1", "step"), RADIUS, SKETCH_RADIUS)
     rows = reps.select("fp", F.explode("keys").alias("key"))
     shared = rows.groupBy("key").agg(F.count("*").alias("n")).filter("n > 1").withColumn("size", F.col("n"))
-    met = materialise(attach(rows, materialise(shared, "near-keys"), "key", "n"), "near-met")
+    met = materialise(attach(rows, materialise(shared, "near-keys"), "key", "n", FEW_ROWS), "near-met")
     wide = met.groupBy("fp").agg(F.sum("size").alias("wide"))
     own = near.select(F.explode(F.array("a", "b")).alias("fp")).distinct().join(wide, "fp", "full")
     own = materialise(own, "near-own")
     sets = materialise(_sets(texts.join(reps.select("fp", "rid").join(own, "fp"), "rid"), words), "near-sets")
-    roots = connected_components(_checked(near, sets))
+    roots = connected_components(_checked(near, sets), ALONE)
     rooted = own.join(roots.withColumnRenamed("node", "fp"), "fp", "left").select("fp", "wide", F.coalesce("root", "fp").alias("root"))
     rooted = materialise(rooted, "near-rooted")
 
     apart = _apart(met.select("key", "fp"), rooted)
+    if apart.isEmpty():
+        return rooted.select(F.col("fp").alias("node"), "root")
     pivots = apart.groupBy("key").agg(F.count("*").alias("n"), F.max(F.struct("wide", "fp", "root")).alias("p")).select("key", "n", F.col("p.fp").alias("b"), F.col("p.root").alias("b_root"))
-    led = attach(apart, materialise(pivots, "near-pivots"), "key", "n").filter("root <> b_root")
+    led = attach(apart, materialise(pivots, "near-pivots"), "key", "n", FEW_ROWS).filter("root <> b_root")
     stars = materialise(led.select(F.least("fp", "b").alias("a"), F.greatest("fp", "b").alias("b")).distinct(), "near-stars")
     rooted = _merged(rooted, _checked(stars, sets))
 
     open_ = materialise(_apart(apart.select("key", "fp"), rooted).select("fp", "root").distinct(), "near-open")
-    return _merged(rooted, _checked(_prefix_pairs(open_, sets), sets)).select(F.col("fp").alias("node"), "root")
+    if not open_.isEmpty():
+        rooted = _merged(rooted, _checked(_prefix_pairs(open_, sets), sets))
+    return rooted.select(F.col("fp").alias("node"), "root")
 
 
 def _merged(rooted: DataFrame, links: DataFrame) -> DataFrame:
     """rooted (fp, root and others, a written table) after links (a, b) have connected its components, written."""
     root = lambda c: rooted.select(F.col("fp").alias(c), F.col("root").alias(f"{c}_root"))
-    more = connected_components(links.join(root("a"), "a").join(root("b"), "b").select(F.col("a_root").alias("a"), F.col("b_root").alias("b")))
+    more = connected_components(links.join(root("a"), "a").join(root("b"), "b").select(F.col("a_root").alias("a"), F.col("b_root").alias("b")), ALONE)
     up = more.select(F.col("node").alias("root"), F.col("root").alias("up"))
     return materialise(rooted.join(up, "root", "left").withColumn("root", F.coalesce("up", "root")).drop("up"), "near-rooted")
 
@@ -186,7 +201,7 @@ def _apart(met: DataFrame, rooted: DataFrame) -> DataFrame:
     """The rows of met (key, fp) whose key has members in more than one component, with what rooted says of fp, written."""
     dealt = materialise(met.join(rooted, "fp"), "near-dealt")
     mixed = dealt.groupBy("key").agg(F.count("*").alias("n"), F.min("root").alias("low"), F.max("root").alias("high")).filter("low < high").select("key", "n")
-    return materialise(attach(dealt, materialise(mixed, "near-mixed"), "key", "n"), "near-apart")
+    return materialise(attach(dealt, materialise(mixed, "near-mixed"), "key", "n", FEW_ROWS), "near-apart")
 
 
 def _prefix_pairs(members: DataFrame, sets: DataFrame) -> DataFrame:
@@ -199,7 +214,7 @@ def _prefix_pairs(members: DataFrame, sets: DataFrame) -> DataFrame:
     each = materialise(sets.join(members, "fp").select("fp", "root", F.size("set").alias("size"), F.explode("set").alias("s")), "near-shingles")
     often = materialise(each.groupBy("s").agg(F.count("*").alias("n")).withColumn("often", F.col("n")), "near-often")
     order = F.array_sort(F.collect_list(F.struct("often", "s")))
-    line = attach(each, often, "s", "n").groupBy("fp", "root", "size").agg(order.alias("line"))
+    line = attach(each, often, "s", "n", FEW_ROWS).groupBy("fp", "root", "size").agg(order.alias("line"))
     # at most so many shingles of a set can be missing from a similar one, and one more
     head = line.select("fp", "root", "size", F.posexplode(F.slice("line", F.lit(1), F.col("size") - F.ceil(F.col("size") * num / den).cast("int") + 1)).alias("at", "x"))
     head = materialise(head.select("fp", "root", "size", "at", "x.s", "x.often").filter("often > 1"), "near-prefixes")

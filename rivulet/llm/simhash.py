@@ -19,7 +19,7 @@ import pyarrow as pa
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
-from .common import attach, connected_components, materialise, plus, small_batches
+from .common import FEW_ROWS, attach, connected_components, materialise, plus, small_batches
 
 WORDS = 3
 SEED = 42
@@ -318,7 +318,7 @@ def first_of_each(table: DataFrame, prints: DataFrame, comp: DataFrame) -> DataF
     prints: doc_id, fp, rid. Among rows with the same smallest doc_id the first written one stays; rows with null doc_id
     come last.
     """
-    best = attach(prints, comp.withColumn("key", F.col("component_id")), "fp", "n")
+    best = attach(prints, comp.withColumn("key", F.col("component_id")), "fp", "n", FEW_ROWS)
     # a component is named by its smallest doc_id; fingerprints without any doc_id are named by themselves
     name = F.struct(F.col("component_id"), F.when(F.col("component_id").isNull(), F.col("fp")).alias("alone"))
     keep = best.groupBy(name.alias("name")).agg(F.min(F.struct(F.col("doc_id").isNull().alias("none"), "doc_id", "rid")).alias("first"))

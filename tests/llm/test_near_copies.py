@@ -140,3 +140,44 @@ def test_tiles_at_a_wide_radius(spark):
         assert {p for p in got if p[1] < n} == want
         assert len({p for p in got if p[0] == n}) == 100
         assert len({p for p in got if p[0] >= n}) <= 101
+
+
+def test_few_plans_for_a_small_table(spark):
+    """The driver keeps memory for each plan: 62 of them for 1,000 documents took it over its limit in the pipeline."""
+    plans = lambda: spark._jsparkSession.sharedState().statusStore().executionsCount()
+    docs = spark.read.parquet("/root/testdata/sf0.01/documents.parquet")
+    before = plans()
+    nearcopies.one_of_each(docs).write.format("noop").mode("overwrite").save()
+    assert plans() - before <= 52
+
+
+def test_few_links_are_connected_in_one_task(spark):
+    from rivulet.llm import common
+
+    rng = random.Random(7)
+    links = [(rng.randrange(-200, 200), rng.randrange(-200, 200)) for _ in range(150)] + [(k + 1, k) for k in range(1000, 1100)] + [(7, 7)]
+    edges = spark.createDataFrame(links, "a long, b long").repartition(3)
+    rounds, one = ({r["node"]: r["root"] for r in common.connected_components(edges, n).collect()} for n in (0, 1000))
+    assert one == rounds and len(one) > 200
+    assert common.connected_components(edges.limit(0), 1000).count() == 0
+
+
+@pytest.mark.parametrize("n", [30, nearcopies.SHARE + 200])
+def test_pairs_are_checked_alike_few_or_crowded(spark, n):
+    rng = random.Random(9)
+    own = {k: sorted({*range(rng.randrange(10), 40)}) for k in range(n)}
+    sets = nearcopies.materialise(spark.createDataFrame([*own.items()], "fp long, set array<long>").repartition(3), "test-sets")
+    pairs = nearcopies.materialise(spark.createDataFrame([(0, k) for k in range(1, n)], "a long, b long"), "test-pairs")
+    got = {(r["a"], r["b"]) for r in nearcopies._checked(pairs, sets).collect()}
+    assert got == {(0, k) for k in range(1, n) if similarity({*own[0]}, {*own[k]}) >= 0.8}
+
+
+def test_a_small_left_side_is_joined_once(spark):
+    from rivulet.operators.skew import attach
+
+    left = spark.createDataFrame([(k % 7, k) for k in range(300)] + [(None, -1)], "key long, x long")
+    right = spark.createDataFrame([(k, k * 10, 50) for k in range(7)], "key long, v long, n long")
+    rows = lambda df: sorted(tuple(r) for r in df.collect())
+    few = attach(left, right, "key", "n", 1000)
+    assert rows(few) == rows(attach(left, right, "key", "n")) and len(rows(few)) == 300
+    assert "Union" not in few._jdf.queryExecution().optimizedPlan().toString()
