@@ -6,8 +6,6 @@ snapshot to snapshot, so a sweep can be repeated at will: a second one changes n
 
 from __future__ import annotations
 
-from collections.abc import Iterator
-
 import numpy as np
 import pyarrow as pa
 from pyspark.sql import Column, DataFrame, Window
@@ -15,6 +13,7 @@ from pyspark.sql import functions as F
 
 from ..functions.simhash import bands, distance
 from ..session import store
+from . import tiles
 from .skew import attach
 
 DUPLICATE = "duplicate"
@@ -163,33 +162,27 @@ def hamming_histogram(fps: DataFrame, most: int = HISTOGRAM, tile: int = TILE) -
     """distance, pairs: how many pairs of rows have fingerprints at each distance up to `most`. Exact at any distance.
 
     Distinct fingerprints are dealt into tiles; each two tiles are a piece of work of their own, in which exclusive-or and
-    bit counts run in numpy, and give one row for each distance. Equal fingerprints are counted from their multiplicity.
+    bit counts run in numpy, and only pairs within `most` are looked at further. A piece gives one row for each distance. Equal fingerprints are counted from their multiplicity.
     What is compared grows with the square of the distinct fingerprints, as a histogram of all pairs has to.
     """
-    distinct = store(fps.filter(F.col("simhash").isNotNull()).groupBy("simhash").agg(F.count("*").alias("n")), "distinct-fingerprints")
-    tiles = max(1, -(-distinct.count() // tile))
-    dealt = distinct.select(F.pmod(F.xxhash64("simhash"), F.lit(tiles)).alias("t"), "simhash", "n")
-    blocks = store(dealt.groupBy("t").agg(F.collect_list("simhash").alias("f"), F.collect_list("n").alias("w")), "fingerprint-tiles")
-    left = blocks.select("t", F.col("f").alias("f1"), F.col("w").alias("w1"), F.explode(F.sequence(F.col("t"), F.lit(tiles - 1).cast("long"))).alias("t2"))
-    right = blocks.select(F.col("t").alias("t2"), F.col("f").alias("f2"), F.col("w").alias("w2"))
-    met = left.join(right, "t2").select("f1", "w1", "f2", "w2", (F.col("t") == F.col("t2")).alias("same"))
-    near = met.mapInArrow(_distances, "distance int, pairs long").filter(F.col("distance") <= most)
+    distinct = store(fps.filter(F.col("simhash").isNotNull()).groupBy("simhash").agg(F.count("*").alias("n")).withColumn("bucket", F.lit(0).cast("long")), "distinct-fingerprints")
+    pieces = tiles.meetings(distinct, [], "simhash", {"simhash": F.col("simhash"), "n": F.col("n")}, tile, "fingerprint", beside=False)
+    near = pieces.applyInArrow(lambda piece: _distances(piece, most), "distance int, pairs long")
     same = distinct.select(F.lit(0).alias("distance"), F.expr("n * (n - 1) div 2").alias("pairs")).filter("pairs > 0")
     return near.unionByName(same).groupBy("distance").agg(F.sum("pairs").alias("pairs"))
 
 
-def _distances(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-    for batch in batches:
-        total = np.zeros(65, np.int64)
-        for r in range(batch.num_rows):
-            f1, w1, f2, w2 = (np.asarray(batch.column(k)[r].values.to_numpy(zero_copy_only=False)) for k in range(4))
-            same = batch.column(4)[r].as_py()
-            for i in range(len(f1)):
-                other, weight = (f2[i + 1 :], w2[i + 1 :]) if same else (f2, w2)
-                far = np.bitwise_count((other ^ f1[i]).view(np.uint64))
-                total += (np.bincount(far, weight, 65) * w1[i]).astype(np.int64)
-        some = np.flatnonzero(total)
-        yield pa.RecordBatch.from_arrays([pa.array(some.astype(np.int32)), pa.array(total[some])], ["distance", "pairs"])
+def _distances(piece: pa.Table, most: int) -> pa.Table:
+    x, y, same = tiles.sides(piece, ("simhash", "n"))
+    total = np.zeros(65, np.int64)
+    plain = bool((x[1] == 1).all() and (y[1] == 1).all())
+    for i, j, far in tiles.within(x[:1], y[:1], most, same):
+        if plain:
+            total += np.bincount(far, minlength=65)
+        else:
+            np.add.at(total, far, x[1][i] * y[1][j])
+    some = np.flatnonzero(total)
+    return pa.table({"distance": pa.array(some.astype(np.int32)), "pairs": pa.array(total[some])})
 
 
 def duplicate_keys(df: DataFrame, *keys: str) -> DataFrame:
