@@ -2,17 +2,16 @@
 
 from __future__ import annotations
 
-from collections.abc import Iterator
-
 import numpy as np
 import pyarrow as pa
 from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
 
 from ..session import store
+from . import tiles
 
-#: Vectors of a tile.
-TILE = 1024
+#: Vectors of a tile, tiles of a bucket of time at most, rows multiplied at once, and pairs checked at once.
+TILE, PARTS, STEP, CHECKED = 1024, 8, 256, 65_536
 RELATED, CANDIDATES, WINDOW_DAYS, SAME = 8, 5, 3, 0.92
 
 
@@ -53,53 +52,73 @@ def semantic_candidates(vectors: DataFrame, days: int = WINDOW_DAYS, k: int | No
     least `least`.
 
     vectors: id, model, published_at, vector. Rows lie in tiles of one model and bucket of time; a tile meets those of its own
-    bucket and of the buckets beside it, each two in a piece of work of their own. Products are taken in double in numpy, and
-    a row keeps its k best of each tile. Rows with another number of dimensions, with null or with zero vectors meet nothing.
+    bucket and of the buckets beside it, each two in a piece of work of their own, once for both ways round. A bucket has
+    PARTS tiles at most, so what is moved grows with the rows. Products are taken in double in numpy, and a row keeps its k
+    best of each piece. Rows with another number of dimensions, with null or with zero vectors meet nothing.
     """
     width = days * 86400 * 1_000_000
-    at = F.unix_micros(F.col("published_at").cast("timestamp"))
-    known = F.col("vector").isNotNull() & F.col("id").isNotNull() & at.isNotNull()
-    rows = store(vectors.filter(known).select("id", "model", at.alias("at"), F.size("vector").alias("dim"), F.col("vector").cast("array<double>").alias("v"), F.floor(at / width).alias("bucket")), "vector-rows")
-    counts = rows.groupBy("model", "dim", "bucket").agg(F.count("*").alias("n"))
-    counts = store(counts.select("model", "dim", "bucket", F.ceil(F.col("n") / tile).cast("int").alias("parts")), "vector-counts")
-    dealt = rows.join(counts, ["model", "dim", "bucket"]).withColumn("part", F.pmod(F.xxhash64("id"), F.col("parts")).cast("int"))
-    tiles = store(dealt.groupBy("model", "dim", "bucket", "part").agg(F.collect_list("id").alias("ids"), F.collect_list("at").alias("ats"), F.flatten(F.collect_list("v")).alias("flat")), "vector-tiles")
-    beside = tiles.withColumn("to", F.explode(F.array(*[F.col("bucket") + d for d in (-1, 0, 1)])))
-    sizes = counts.select("model", "dim", F.col("bucket").alias("to"), F.col("parts").alias("to_parts"))
-    left = beside.join(sizes, ["model", "dim", "to"]).withColumn("to_part", F.explode(F.sequence(F.lit(0), F.col("to_parts") - 1)))
-    left = left.select("model", "dim", "to", "to_part", *[F.col(c).alias(f"a_{c}") for c in ("ids", "ats", "flat")])
-    right = tiles.select("model", "dim", F.col("bucket").alias("to"), F.col("part").alias("to_part"), "ids", "ats", "flat")
-    met = left.join(right, ["model", "dim", "to", "to_part"]).select("dim", "a_ids", "a_ats", "a_flat", "ids", "ats", "flat")
-    near = met.mapInArrow(lambda it: _near(it, width, least, k), "id long, other long, similarity double")
+    near = _meetings(vectors, width, tile).applyInArrow(lambda piece: _near(piece, width, least, k), "id long, other long, similarity double")
     order = Window.partitionBy("id").orderBy(F.desc("similarity"), "other")
     ranked = near.withColumn("rank", F.row_number().over(order))
     return ranked if k is None else ranked.filter(F.col("rank") <= k)
 
 
-def _near(batches: Iterator[pa.RecordBatch], width: int, least: float, k: int | None) -> Iterator[pa.RecordBatch]:
-    for batch in batches:
-        for r in range(batch.num_rows):
-            dim = batch.column(0)[r].as_py()
-            values = [batch.column(c)[r].values.to_numpy(zero_copy_only=False) for c in range(1, 7)]
-            (ids, ats, flat), (ids2, ats2, flat2) = values[:3], values[3:]
-            with np.errstate(divide="ignore", invalid="ignore"):
-                x, y = flat.reshape(-1, dim), flat2.reshape(-1, dim)
-                cos = (x @ y.T) / (np.linalg.norm(x, axis=1)[:, None] * np.linalg.norm(y, axis=1)[None, :])
-            fit = (cos >= least) & (np.abs(ats[:, None] - ats2[None, :]) <= width) & (ids[:, None] != ids2[None, :])
-            i, j = np.nonzero(fit)
-            s = cos[i, j]
-            if k is not None and len(i):
-                order = np.lexsort((ids2[j], -s, i))
-                i, j, s = i[order], j[order], s[order]
-                place = np.arange(len(i)) - np.searchsorted(i, i, "left")
-                i, j, s = i[place < k], j[place < k], s[place < k]
-            yield pa.RecordBatch.from_arrays([pa.array(ids[i]), pa.array(ids2[j]), pa.array(s)], ["id", "other", "similarity"])
-
-
-def semantic_winners(vectors: DataFrame, least: float = SAME, days: int = WINDOW_DAYS) -> DataFrame:
-    """id, winner: the earliest of the near rows that come before a row."""
-    when = vectors.select("id", F.col("published_at").alias("p"))
-    pairs = semantic_candidates(vectors, days, None, least).select("id", "other")
-    dated = pairs.join(when, "id").join(when.select(F.col("id").alias("other"), F.col("p").alias("p2")), "other")
-    earlier = dated.filter(F.struct("p2", "other") < F.struct("p", "id"))
-    return earlier.groupBy("id").agg(F.min(F.struct("p2", "other")).alias("w")).select("id", F.col("w.other").alias("winner"))
+def _meetings(vectors: DataFrame, width: int, tile: int):
+    """Pairs of tiles of one model and number of dimensions, `width` microseconds to a bucket."""
+    at = F.unix_micros(F.col("published_at").cast("timestamp"))
+    known = F.col("vector").isNotNull() & F.col("id").isNotNull() & at.isNotNull() & F.col("model").isNotNull() & (F.size("vector") > 0)
+    rows = store(vectors.filter(known).select("id", "model", at.alias("at"), F.size("vector").alias("dim"), F.col("vector").alias("v"), F.floor(at / width).alias("bucket")), "vector-rows")
+    # collected as they are: floats take half of what doubles do, and become doubles where they are compared
+    return tiles.meetings(rows, ["model", "dim"], "id", {"ids": F.col("id"), "ats": F.col("at"), "v": (F.col("v"), F.flatten)}, tile, "vector", most=PARTS)
+
+
+def _hits(piece: pa.Table, width: int, least: float) -> tuple[np.ndarray, ...]:
+    """ids, times, other ids, other times, cosines of the pairs of a piece that are near enough, both ways round."""
+    dim = piece.column("dim")[0].as_py()
+    x, y, same = tiles.sides(piece, ("ids", "ats", "v"))
+    vx, vy = (side[2].astype(np.float64).reshape(-1, dim) for side in (x, y))
+    nx, ny = np.linalg.norm(vx, axis=1), np.linalg.norm(vy, axis=1)
+    out: list[tuple[np.ndarray, ...]] = []
+    with np.errstate(divide="ignore", invalid="ignore"):
+        ux, uy = vx / nx[:, None], vy / ny[:, None]
+        for lo in range(0, len(ux), STEP):
+            # looked for by products of unit vectors; what is near is computed again, pair by pair, so equal vectors give equal numbers
+            i, j = np.nonzero(ux[lo : lo + STEP] @ uy.T >= least - 1e-9)
+            i = i + lo
+            fit = (np.abs(x[1][i] - y[1][j]) <= width) & (x[0][i] != y[0][j])
+            i, j = i[fit], j[fit]
+            s = np.concatenate([np.einsum("nd,nd->n", vx[i[n : n + CHECKED]], vy[j[n : n + CHECKED]]) for n in range(0, len(i), CHECKED)] or [np.zeros(0)]) / (nx[i] * ny[j])
+            i, j, s = i[s >= least], j[s >= least], s[s >= least]
+            out.append((x[0][i], x[1][i], y[0][j], y[1][j], s))
+            if not same:
+                out.append((y[0][j], y[1][j], x[0][i], x[1][i], s))
+    kinds = (np.int64, np.int64, np.int64, np.int64, np.float64)
+    return tuple(np.concatenate([o[c] for o in out]) if out else np.zeros(0, kind) for c, kind in enumerate(kinds))
+
+
+def _near(piece: pa.Table, width: int, least: float, k: int | None) -> pa.Table:
+    i, _, j, _, s = _hits(piece, width, least)
+    if k is not None and len(i):
+        order = np.lexsort((j, -s, i))
+        i, j, s = i[order], j[order], s[order]
+        best = np.arange(len(i)) - np.searchsorted(i, i, "left") < k
+        i, j, s = i[best], j[best], s[best]
+    return pa.table({"id": i, "other": j, "similarity": s})
+
+
+def _earliest(piece: pa.Table, width: int, least: float) -> pa.Table:
+    """Of each row's near and earlier rows the first one, by time and id."""
+    i, p, j, q, _ = _hits(piece, width, least)
+    before = (q < p) | ((q == p) & (j < i))
+    i, j, q = i[before], j[before], q[before]
+    order = np.lexsort((j, q, i))
+    i, j, q = i[order], j[order], q[order]
+    first = np.concatenate([[True], i[1:] != i[:-1]]) if len(i) else np.zeros(0, bool)
+    return pa.table({"id": i[first], "at": q[first], "other": j[first]})
+
+
+def semantic_winners(vectors: DataFrame, least: float = SAME, days: int = WINDOW_DAYS, tile: int = TILE) -> DataFrame:
+    """id, winner: the earliest of the near rows that come before a row. A row leaves a piece with one winner at most."""
+    width = days * 86400 * 1_000_000
+    found = _meetings(vectors, width, tile).applyInArrow(lambda piece: _earliest(piece, width, least), "id long, at long, other long")
+    return found.groupBy("id").agg(F.min(F.struct("at", "other")).alias("w")).select("id", F.col("w.other").alias("winner"))

@@ -3,9 +3,10 @@
 import random
 from datetime import datetime, timedelta
 
+import numpy as np
 import pytest
 
-from rivulet.operators import search
+from rivulet.operators import search, vectors
 
 T0 = datetime(2024, 1, 1)
 
@@ -29,3 +30,24 @@ def test_title_pairs_equal_all_pairs_whatever_the_tiles(spark, tile):
                     want.add((a, b, round(len(x & y) / len(x | y), 9)))
     got = search.title_pairs(spark.createDataFrame(rows, "id long, title string, published_at timestamp_ntz"), 0.6, tile=tile).collect()
     assert len(got) == len(want) and {(r["a"], r["b"], round(r["similarity"], 9)) for r in got} == want
+
+
+@pytest.mark.parametrize("tile", [5, 1024])
+def test_semantic_candidates_and_winners_equal_all_pairs_whatever_the_tiles(spark, tile):
+    rng = np.random.default_rng(2)
+    base = rng.standard_normal((12, 6))
+    rows = [(i, "m" if i % 3 else "n", T0 + timedelta(hours=int(rng.integers(0, 300))), (base[i % 12] + rng.standard_normal(6) * 0.2 * (i % 2)).astype(np.float32).tolist()) for i in range(90)]
+    df = spark.createDataFrame(rows, "id long, model string, published_at timestamp_ntz, vector array<float>")
+    cos = lambda a, b: float(np.dot(a, b) / (np.linalg.norm(a) * np.linalg.norm(b)))
+    near, winners = {}, {}
+    for a, m, p, v in rows:
+        own = [(b, q, cos(v, w)) for b, o, q, w in rows if b != a and o == m and abs(p - q) <= timedelta(days=3)]
+        near[a] = [b for b, _, s in sorted(own, key=lambda r: (-round(r[2], 9), r[0])) if s >= 0.9][:5]
+        earlier = [(q, b) for b, q, s in own if s >= 0.9 and (q, b) < (p, a)]
+        if earlier:
+            winners[a] = min(earlier)[1]
+    got = {}
+    for r in sorted(vectors.semantic_candidates(df, least=0.9, tile=tile).collect(), key=lambda r: (r["id"], r["rank"])):
+        got.setdefault(r["id"], []).append(r["other"])
+    assert got == {a: b for a, b in near.items() if b}
+    assert {r["id"]: r["winner"] for r in vectors.semantic_winners(df, 0.9, tile=tile).collect()} == winners
