@@ -51,3 +51,12 @@ def test_semantic_candidates_and_winners_equal_all_pairs_whatever_the_tiles(spar
         got.setdefault(r["id"], []).append(r["other"])
     assert got == {a: b for a, b in near.items() if b}
     assert {r["id"]: r["winner"] for r in vectors.semantic_winners(df, 0.9, tile=tile).collect()} == winners
+
+
+def test_words_of_documents_are_grouped_without_a_sort(spark):
+    rows = [(1, "A b, a été", "b c", "c c a"), (1, "c", None, "b"), (2, "", "", "x_1"), (3, None, None, None)]
+    d = spark.createDataFrame(rows, "id long, title string, summary string, body string")
+    got = search.document_words(d)
+    assert sorted(map(tuple, got.collect())) == sorted(map(tuple, search.words_by_document(search.postings(d)).collect()))
+    assert {(r["id"], r["lexeme"]): (r["n"], r["first_pos"], r["best_weight"]) for r in got.collect()}[1, "c"] == (8, 1, "A")
+    assert all("SortAggregate" not in df._jdf.queryExecution().executedPlan().toString() for df in (got, search.words_by_document(search.postings(d))))
